@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_order, stable_id
@@ -47,21 +47,8 @@ def lookup_join(
         *on, F.struct(F.lit(True).alias("hit"), *values).alias("_hot")
     )
     first = facts.join(F.broadcast(few), on, "left")
-    own = F.col("_hot").isNotNull()
-    spread = first.select(
-        "*", F.when(own, F.col(row_id)).alias("_own"), *[F.col(c).alias(f"_k_{c}") for c in on]
-    )
-    rest = dim.select(
-        F.lit(None).cast(facts.schema[row_id].dataType).alias("_own"),
-        *[F.col(c).alias(f"_k_{c}") for c in on],
-        F.struct(F.lit(True).alias("hit"), *values).alias("_cold"),
-    )
-    second = spread.join(
-        rest,
-        [spread["_own"].eqNullSafe(rest["_own"])]
-        + [spread[f"_k_{c}"] == rest[f"_k_{c}"] for c in on],
-        "left",
-    )
+    cold = dim.select(*on, F.struct(F.lit(True).alias("hit"), *values).alias("_cold"))
+    second = lookup_where(first, cold, on, F.col("_hot").isNull(), row_id)
     found = F.coalesce("_hot", "_cold")
     out = second.select(*facts.columns, found.alias("_found"))
     if how == "inner":
@@ -70,6 +57,28 @@ def lookup_join(
     return out.select(*order, *[F.col("_found")[c].alias(c) for c in values])
 
 
+def lookup_where(
+    facts: DataFrame, dim: DataFrame, on: Sequence[str], needed: Column, row_id: str
+) -> DataFrame:
+    """Left-join lookup rows to the facts that need them; the others keep nulls.
+
+    Facts that need nothing are keyed by their own id, so they do not gather under a null key.
+    """
+    marked = facts.withColumn("_own", F.when(~needed, F.col(row_id)))
+    kind = facts.schema[row_id].dataType
+    side = dim.select(
+        F.lit(None).cast(kind).alias("_dim_own"),
+        *[F.col(c).alias(f"_dim_{c}") for c in on],
+        *[c for c in dim.columns if c not in on],
+    )
+    match = F.col("_own").eqNullSafe(F.col("_dim_own"))
+    for c in on:
+        match = match & (F.col(c) == F.col(f"_dim_{c}"))
+    return marked.join(side, match, "left").drop(
+        "_own", "_dim_own", *[f"_dim_{c}" for c in on]
+    )
+
+
 def enrich(
     rollouts: DataFrame,
     questions: DataFrame,

@@ -19,8 +19,11 @@ from shiftlens.operators.joins import (
     hot_keys,
     label_join,
     lookup_join,
+    lookup_where,
+    transfer_threshold,
 )
-from shiftlens.operators.metrics import evaluate_scores
+from shiftlens.operators.metrics import evaluate_scores, exact_binomial_ci
+from shiftlens.operators.quality import group_leakage, require_empty
 from shiftlens.operators.ranking import first_k, rank_by_hash
 from shiftlens.operators.sampling import group_folds, permute_labels
 from shiftlens.schema import (
@@ -82,8 +85,10 @@ def shift_cells(rollouts: DataFrame) -> DataFrame:
         rate["clean"].alias("clean_frequency"),
         rate["correct"].alias("correct_state_frequency"),
         rate["corrupted"].alias("corrupted_state_frequency"),
-        *[F.when(complete, c).alias(n) for c, n in zip(_shift_columns(raw), ("raw_shift", "score"))],
+        F.when(complete, raw).alias("raw_shift"),
+        F.when(complete, (raw + 1.0) / 2.0).alias("score"),
         complete.alias("complete"),
+        cell_rows.alias("cell_rows"),
     )
 
 
@@ -124,9 +129,12 @@ def loo_answer_shift(
             keyed, cells.drop("arm", "cell_rows"), keys, "left", hot=hot, row_id="rollout_id"
         )
         # A focal answer that no sibling gave has frequency zero wherever all arms have rows.
-        unmatched = F.when(F.col("complete").isNull(), F.col("question_id"))
-        zeros = scored.withColumn("_q", unmatched).join(
-            complete_questions(rollouts).withColumnRenamed("question_id", "_q"), "_q", "left"
+        zeros = lookup_where(
+            scored,
+            complete_questions(rollouts),
+            ["question_id"],
+            F.col("complete").isNull(),
+            "rollout_id",
         )
         names = ("clean_frequency", "correct_state_frequency", "corrupted_state_frequency")
         fill = {**dict.fromkeys((*names, "raw_shift"), 0.0), "score": 0.5}
@@ -172,6 +180,24 @@ def truncate_siblings(rollouts: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _used_siblings(condition: str, k: int) -> Column:
+    """Return the first ``k`` kept siblings of one arm without the focal row."""
+    focal = F.col("rollout_id")
+    mine = F.exists(
+        "_kept",
+        lambda s: (s["condition"] == condition)
+        & (s["rollout_id"] == focal)
+        & (s["sibling"] <= k),
+    )
+    limit = F.when(mine, k + 1).otherwise(k)
+    return F.filter(
+        "_kept",
+        lambda s: (s["condition"] == condition)
+        & (s["rollout_id"] != focal)
+        & (s["sibling"] <= limit),
+    )
+
+
 def _truncated_shift(focal: DataFrame, rollouts: DataFrame, k: int) -> DataFrame:
     kept = truncate_siblings(rollouts, k)
     # At most 3 (k + 1) rows per question: the sibling lists fit one short array.
@@ -188,19 +214,7 @@ def _truncated_shift(focal: DataFrame, rollouts: DataFrame, k: int) -> DataFrame
     # Leaving the focal row out moves the cut by one only where the focal row is among the k.
     hits, left = {}, {}
     for condition, arm in _ARM.items():
-        mine = F.exists(
-            "_kept",
-            lambda s, c=condition: (s["condition"] == c)
-            & (s["rollout_id"] == F.col("rollout_id"))
-            & (s["sibling"] <= k),
-        )
-        limit = F.when(mine, k + 1).otherwise(k)
-        used = F.filter(
-            "_kept",
-            lambda s, c=condition, m=limit: (s["condition"] == c)
-            & (s["rollout_id"] != F.col("rollout_id"))
-            & (s["sibling"] <= m),
-        )
+        used = _used_siblings(condition, k)
         hits[arm] = F.size(F.filter(used, lambda s: s["parsed_answer"] == F.col("focal_answer")))
         left[arm] = F.size(used)
     rate = _frequencies(hits, left)
@@ -662,7 +676,84 @@ def invalid_split_diagnostic(examples: DataFrame, *, seed: int) -> DataFrame:
 
 def external_transfer(
     model: PipelineModel, thresholds: DataFrame, study: DataFrame, *, component: str
-) -> tuple[DataFrame, DataFrame]:
-    """Apply a frozen model and threshold to another study without refitting."""
+) -> DataFrame:
+    """Apply a frozen model and its frozen threshold to another study without refitting.
+
+    Ranking metrics come from the study's scores; the transferred recall and false-positive
+    rate come from the threshold chosen elsewhere, with exact intervals.
+    """
     scored = predict(model, study).withColumn("component", F.lit(component))
-    return scored, evaluate_scores(scored, ["component"])
+    ranking = evaluate_scores(scored, ["component"])
+    moved = transfer_threshold(scored, thresholds).select(
+        "component",
+        F.col("threshold").alias("transferred_threshold"),
+        "true_positives",
+        "false_positives",
+        F.col("positives").alias("_p"),
+        "negatives",
+        F.col("recall").alias("transferred_recall"),
+        F.col("false_positive_rate").alias("transferred_false_positive_rate"),
+    )
+    recall = exact_binomial_ci(moved, "true_positives", "_p")
+    recall = recall.withColumnRenamed("low", "recall_low").withColumnRenamed(
+        "high", "recall_high"
+    )
+    both = exact_binomial_ci(recall, "false_positives", "negatives")
+    both = both.withColumnRenamed("low", "fpr_low").withColumnRenamed("high", "fpr_high")
+    return ranking.join(both.drop("_p"), "component")
+
+
+def baseline_report(rows: DataFrame, *, label: str = "label") -> DataFrame:
+    """Fit the surface monitor on the training split and evaluate the test split.
+
+    A group in more than one split fails the report.
+    """
+    require_empty(group_leakage(rows), "question groups cross splits")
+    model = surface_monitor(rows.filter("split = 'train'"), label)
+    return evaluate_scores(predict(model, rows.filter("split = 'test'")))
+
+
+def sibling_sensitivity(
+    focal: DataFrame, rollouts: DataFrame, *, label: str = "label"
+) -> DataFrame:
+    """Compare the answer shift from all siblings with one and two siblings per arm.
+
+    A reduced score qualifies when it keeps 90 percent of the full AUROC and loses at most
+    0.05; ``cheapest`` marks the smallest one that does.
+    """
+    labels = focal.select("rollout_id", F.col(label).alias("label"))
+    parts = None
+    for name, k in (("all", None), ("one", 1), ("two", 2)):
+        scored = loo_answer_shift(focal, rollouts, siblings=k).filter("reject_reason IS NULL")
+        part = scored.select("rollout_id", F.lit(name).alias("siblings"), "score")
+        parts = part if parts is None else parts.unionByName(part)
+    rates = evaluate_scores(parts.join(labels, "rollout_id"), ["siblings"]).select(
+        "siblings", "auroc"
+    )
+    full = rates.filter("siblings = 'all'").select(F.col("auroc").alias("_full"))
+    good = (F.col("auroc") >= F.lit(0.90) * F.col("_full")) & (
+        F.col("_full") - F.col("auroc") <= F.lit(0.05)
+    )
+    judged = rates.crossJoin(F.broadcast(full)).select("siblings", "auroc", good.alias("qualifies"))
+    pick = judged.filter("qualifies AND siblings <> 'all'").agg(
+        F.min("siblings").alias("_pick")
+    )
+    return judged.crossJoin(F.broadcast(pick)).select(
+        "siblings",
+        "auroc",
+        "qualifies",
+        F.coalesce(F.col("siblings") == F.col("_pick"), F.lit(False)).alias("cheapest"),
+    )
+
+
+def placebo_eval(
+    focal: DataFrame, rollouts: DataFrame, *, label: str = "label"
+) -> DataFrame:
+    """Evaluate the answer shift after exchanging the correct and the corrupted arm."""
+    shifts = loo_answer_shift(swap_conditions(focal), swap_conditions(rollouts))
+    labels = focal.select("rollout_id", F.col(label).alias("label"))
+    rows = shifts.filter("reject_reason IS NULL").join(labels, "rollout_id")
+    return evaluate_scores(
+        rows.select("rollout_id", "label", "score", F.lit("placebo").alias("component")),
+        ["component"],
+    )

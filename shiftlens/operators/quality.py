@@ -65,8 +65,10 @@ def freeze_validation(questions: DataFrame, *, group: str = "template_group") ->
             F.array(
                 F.struct(F.lit("empty").alias("rule"), (F.col("_n") == 0).alias("_bad"),
                          F.col("_n").alias("rows")),
-                F.struct(F.lit("no_collection"), F.col("_none") > 0, F.col("_none")),
-                F.struct(F.lit("fewer_than_two_collections"), F.col("_g") < 2, F.col("_g")),
+                F.struct(F.lit("no_collection").alias("rule"),
+                         (F.col("_none") > 0).alias("_bad"), F.col("_none").alias("rows")),
+                F.struct(F.lit("fewer_than_two_collections").alias("rule"),
+                         (F.col("_g") < 2).alias("_bad"), F.col("_g").alias("rows")),
             )
         )
     ).filter("_bad").select("rule", F.lit(None).cast("string").alias("value"), "rows")

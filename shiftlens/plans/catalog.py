@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shiftlens.operators.metrics import evaluate_scores
 from shiftlens.plans import (  # noqa: F401
+    join_queries,
+    metric_queries,
+    report_queries,
     text_queries,
 )
 from shiftlens.plans.registry import ORACLES, QUERIES

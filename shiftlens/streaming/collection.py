@@ -35,10 +35,12 @@ def stream_ingest(
     delay: str = "1 day",
     key: str = "rollout_id",
 ) -> DataFrame:
-    """Keep valid rollouts and drop repeats of an id within the watermark."""
+    """Keep valid rollouts and drop repeats of an id (within the watermark on a stream)."""
     valid = rollouts
     for rule in rules.values():
         valid = valid.filter(F.coalesce(F.expr(rule), F.lit(False)))
+    if not valid.isStreaming:
+        return valid.dropDuplicates([key])
     return valid.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
