@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_draw
-from shiftlens.operators.joins import lookup_join
 from shiftlens.operators.metrics import evaluate_counts, score_counts
 from shiftlens.operators.ranking import rank_by_hash, split_points
+from shiftlens.session import materialize
 
 INDEX_SEED = "cluster"
 # Cumulative probabilities of a Poisson variable with mean one.
@@ -86,6 +86,7 @@ def resampled_sums(
     if samples <= 0:
         raise ValueError("samples must be positive")
     by = list(by)
+    clusters = materialize(clusters.select(*by, group, *sums))
     if method == "poisson":
         rows = clusters.select("*", _replicates(samples).alias("replicate"))
         weight = poisson_weight(seed, F.col("replicate"), F.col(group))
@@ -194,22 +195,20 @@ def cluster_bootstrap_accuracy(
 
 
 def replicate_counts(
-    scores: DataFrame,
+    counts: DataFrame,
     by: Sequence[str],
     *,
     group: str = "question_id",
     samples: int,
     seed: int,
-) -> tuple[DataFrame, list]:
-    """Return score counts of every replicate and the split points of the scores.
+) -> DataFrame:
+    """Resample the score counts of clusters: one row per replicate and distinct score.
 
     Each cluster carries its replicate multiplicities as one short array, so the counts of a
     large cluster are joined row by row without being gathered.
     """
     by = list(by)
-    counts = score_counts(scores, [*by, group])
-    points = split_points(counts, "score")
-    indexed = indexed_clusters(scores.select(group).distinct(), [], group)
+    indexed = indexed_clusters(counts.select(group).distinct(), [], group)
     times = draws(indexed, [], samples, seed).groupBy("_slot", "replicate").agg(
         F.count("*").alias("w")
     )
@@ -217,18 +216,17 @@ def replicate_counts(
         F.collect_list(F.struct("replicate", "w")).alias("_times")
     )
     weights = indexed.select(group, "_slot").join(lists, "_slot").drop("_slot")
-    exploded = lookup_join(counts, weights, [group]).select(
+    exploded = counts.join(weights, group).select(
         *by, "score", "pos", "neg", F.inline("_times")
     )
-    merged = exploded.groupBy(*by, "replicate", "score").agg(
+    return exploded.groupBy(*by, "replicate", "score").agg(
         F.sum(F.col("pos") * F.col("w")).alias("pos"),
         F.sum(F.col("neg") * F.col("w")).alias("neg"),
     )
-    return merged, points
 
 
 def replicate_metrics(
-    scores: DataFrame,
+    counts: DataFrame,
     by: Sequence[str],
     *,
     group: str = "question_id",
@@ -236,9 +234,18 @@ def replicate_metrics(
     seed: int,
     recall: float = 0.5,
 ) -> DataFrame:
-    """Evaluate every replicate; replicates with one class are marked unavailable."""
-    counts, points = replicate_counts(scores, by, group=group, samples=samples, seed=seed)
-    return evaluate_counts(counts, [*by, "replicate"], recall=recall, points=points)
+    """Evaluate every replicate; replicates with one class are marked unavailable.
+
+    ``counts`` holds one row per cluster and distinct score and should be materialized.
+    """
+    points = split_points(counts, "score")
+    drawn = replicate_counts(counts, by, group=group, samples=samples, seed=seed)
+    return evaluate_counts(drawn, [*by, "replicate"], recall=recall, points=points)
+
+
+def _merged(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add up score counts over clusters."""
+    return counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 METRICS = ("auroc", "auprc", "false_positive_rate")
@@ -261,7 +268,8 @@ def cluster_bootstrap_metrics(
 ) -> DataFrame:
     """Return clustered intervals of AUROC, average precision and FPR at fixed recall."""
     by = list(by)
-    rows = replicate_metrics(scores, by, group=group, samples=samples, seed=seed)
+    counts = materialize(score_counts(scores, [*by, group]))
+    rows = replicate_metrics(counts, by, group=group, samples=samples, seed=seed)
     long = _long(rows.filter("available"), by)
     return interval(long, "value", [*by, "metric"]).withColumn(
         "requested_samples", F.lit(samples).cast("long")
@@ -288,8 +296,9 @@ def paired_bootstrap_difference(
         )
         return sides.select(*keys, "metric", (F.col("_a") - F.col("_b")).alias("value"))
 
-    point = evaluate_counts(score_counts(pair, ["component"]), ["component"])
-    rows = replicate_metrics(pair, ["component"], group=group, samples=samples, seed=seed)
+    counts = materialize(score_counts(pair, ["component", group]))
+    point = evaluate_counts(_merged(counts, ["component"]), ["component"])
+    rows = replicate_metrics(counts, ["component"], group=group, samples=samples, seed=seed)
     edges = interval(difference(rows, ["replicate"]), "value", ["metric"], method="linear")
     observed = difference(point, []).select("metric", F.col("value").alias("point"))
     return observed.join(edges, "metric", "left")

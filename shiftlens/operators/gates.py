@@ -17,6 +17,7 @@ from shiftlens.operators.aggregates import graded, screen_cells
 from shiftlens.operators.bootstrap import interval, resampled_sums
 from shiftlens.operators.joins import enrich
 from shiftlens.schema import CLEAN, CLEAN_STOP, CORRECT_CONTINUATION, CORRUPTED_CONTINUATION
+from shiftlens.session import materialize
 
 # (check, measure, operator, other measure or None, factor, offset)
 Check = tuple[str, str, str, str | None, float, float]
@@ -550,7 +551,8 @@ def gate_measures(
         (F.lit(spec.effect) & (F.col("status") == CLEAN_STOP) & ~sound).alias("bad_target"),
     )
     counted = counted.withColumn("hit_target", F.when(sound, F.col("hit_target")))
-    cells = _per_cell(counted, spec)
+    # One row per question and arm feeds all measures below.
+    cells = materialize(_per_cell(counted, spec))
     request = F.col("provider_request_id")
     filled = request.isNotNull() & (request != "")
     stored = rows.agg(

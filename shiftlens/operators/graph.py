@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.operators.joins import lookup_join
-from shiftlens.session import reliable_checkpoint
+from shiftlens.session import materialize
 
 
 def path_counts(
@@ -32,5 +32,5 @@ def path_counts(
             F.sum(walks).cast("decimal(38,0)").alias("walks")
         )
         if checkpoint_every and step % checkpoint_every == 0 and step < steps:
-            frontier = reliable_checkpoint(frontier)
+            frontier = materialize(frontier)
     return frontier

@@ -44,16 +44,13 @@ def _curve(counts: DataFrame, by: Sequence[str], points: Sequence | None) -> Dat
         descending=True,
         points=points,
         following=("pos", "neg"),
+        totals={"positives": "pos", "negatives": "neg"},
     )
-    totals = counts.groupBy(*by).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
-    )
-    joined = curve.join(totals, by) if by else curve.crossJoin(F.broadcast(totals))
     # A point between two equal steps lies on a straight line and is not a corner. The first
     # and the last point always stay.
     straight = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
-    return joined.withColumn("corner", first | ~F.coalesce(straight, F.lit(False)))
+    return curve.withColumn("corner", first | ~F.coalesce(straight, F.lit(False)))
 
 
 def roc_curve(

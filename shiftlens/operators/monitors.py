@@ -32,7 +32,7 @@ from shiftlens.schema import (
     CORRUPTED_CONTINUATION,
     SHIFT_ARMS,
 )
-from shiftlens.session import fits_broadcast
+from shiftlens.session import fits_broadcast, materialize
 
 _ARM = {CLEAN: "clean", CORRECT_CONTINUATION: "correct", CORRUPTED_CONTINUATION: "corrupted"}
 
@@ -98,6 +98,7 @@ def loo_answer_shift(
     *,
     siblings: int | None = None,
     strict: bool = False,
+    keep: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Score focal rows by how much more often siblings of the corrupted arm give their answer.
@@ -105,10 +106,11 @@ def loo_answer_shift(
     The shift is the answer's frequency in the corrupted arm minus the larger of its frequencies
     in the clean and the correct arm, the focal row left out; the score maps it to [0, 1]. Rows
     with an empty cell get a null score and ``reject_reason`` (an error with ``strict``).
-    ``siblings`` uses exactly the first so many siblings of each arm by rollout id.
+    ``siblings`` uses exactly the first so many siblings of each arm by rollout id; ``keep``
+    names focal columns to carry along.
     """
     if siblings is not None:
-        out = _truncated_shift(focal, rollouts, siblings)
+        out = _truncated_shift(focal, rollouts, siblings, keep)
     else:
         cells = shift_cells(rollouts).withColumn("_arm", F.coalesce("arm", F.lit("")))
         keyed = focal.filter(F.col("parsed_answer").isNotNull()).select(
@@ -118,6 +120,7 @@ def loo_answer_shift(
             F.when(F.col("condition").isin(*SHIFT_ARMS), F.col("condition"))
             .otherwise("")
             .alias("_arm"),
+            *keep,
         )
         # The cell table knows how many rollouts share a cell: those many focal rows at most
         # need it, so hot cells are found without another pass over the facts.
@@ -145,6 +148,7 @@ def loo_answer_shift(
             "focal_answer",
             *[F.when(unseen, v).otherwise(F.col(c)).alias(c) for c, v in fill.items()],
             F.coalesce("complete", "_full").alias("complete"),
+            *keep,
         )
     failed = ~F.coalesce(F.col("complete"), F.lit(False))
     reason = F.when(failed, "cell_empty" if siblings is None else "too_few_siblings")
@@ -198,7 +202,9 @@ def _used_siblings(condition: str, k: int) -> Column:
     )
 
 
-def _truncated_shift(focal: DataFrame, rollouts: DataFrame, k: int) -> DataFrame:
+def _truncated_shift(
+    focal: DataFrame, rollouts: DataFrame, k: int, keep: Sequence[str]
+) -> DataFrame:
     kept = truncate_siblings(rollouts, k)
     # At most 3 (k + 1) rows per question: the sibling lists fit one short array.
     lists = kept.groupBy("question_id").agg(
@@ -207,7 +213,7 @@ def _truncated_shift(focal: DataFrame, rollouts: DataFrame, k: int) -> DataFrame
         ).alias("_kept")
     )
     keyed = focal.filter(F.col("parsed_answer").isNotNull()).select(
-        "rollout_id", "question_id", F.col("parsed_answer").alias("focal_answer")
+        "rollout_id", "question_id", F.col("parsed_answer").alias("focal_answer"), *keep
     )
     hot = None if fits_broadcast(lists) else hot_keys(keyed, ["question_id"])
     joined = lookup_join(keyed, lists, ["question_id"], "left", hot=hot, row_id="rollout_id")
@@ -232,6 +238,7 @@ def _truncated_shift(focal: DataFrame, rollouts: DataFrame, k: int) -> DataFrame
         F.when(complete, raw).alias("raw_shift"),
         F.when(complete, (raw + 1.0) / 2.0).alias("score"),
         complete.alias("complete"),
+        *keep,
     )
 
 
@@ -247,21 +254,27 @@ def swap_conditions(
     )
 
 
-def score_decomposition(shifts: DataFrame) -> DataFrame:
-    """Return the recurrence-only and suppression-only parts as components."""
+def score_decomposition(
+    shifts: DataFrame, *, keep: Sequence[str] = (), full: bool = False
+) -> DataFrame:
+    """Return the recurrence-only and suppression-only parts as components.
+
+    ``full`` adds the answer shift itself.
+    """
     suppressed = 1.0 - F.greatest("clean_frequency", "correct_state_frequency")
-    parts = F.array(
-        F.struct(
-            F.lit("corrupted_recurrence_only").alias("component"),
-            F.col("corrupted_state_frequency").alias("score"),
-        ),
-        F.struct(
-            F.lit("control_suppression_only").alias("component"), suppressed.alias("score")
-        ),
-    )
-    return shifts.filter(F.col("score").isNotNull()).select(
-        "rollout_id", "question_id", F.inline(parts)
+    named = [
+        ("corrupted_recurrence_only", F.col("corrupted_state_frequency")),
+        ("control_suppression_only", suppressed),
+    ]
+    if full:
+        named.append(("counterfactual_answer_shift", F.col("score")))
+    parts = [
+        F.struct(F.lit(n).alias("component"), c.alias("component_score")) for n, c in named
+    ]
+    rows = shifts.filter(F.col("score").isNotNull()).select(
+        "rollout_id", "question_id", *keep, F.inline(F.array(*parts))
     )
+    return rows.withColumnRenamed("component_score", "score")
 
 
 def causal_label(
@@ -454,7 +467,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=1e-8,
         probabilityCol="_probability",
         rawPredictionCol="_raw",
         predictionCol="_prediction",
@@ -534,8 +547,9 @@ def oof_scores(
     label: str = "label",
 ) -> DataFrame:
     """Score every training row by a surface monitor that never saw its group."""
-    assigned = lookup_join(
-        train, group_folds(train, folds, seed, group=group, label=label), [group]
+    keys = train.select(group, label)
+    assigned = materialize(
+        train.join(group_folds(keys, folds, seed, group=group, label=label), group)
     )
     scored = None
     for fold in range(folds):
@@ -565,7 +579,8 @@ def local_component_scores(
     every = primary.select(*keep, F.lit(True).alias("_primary")).unionByName(
         secondary.select(*keep, F.lit(False).alias("_primary"))
     )
-    rows = with_surface_features(every).drop("reasoning")
+    # Features are computed in one pass over the texts; the fits read the narrow table.
+    rows = materialize(with_surface_features(every).drop("reasoning"))
     in_train = F.col("_primary") & (F.col("split") == "train")
     train = rows.filter(in_train)
     shuffled = train.join(
@@ -585,16 +600,18 @@ def local_component_scores(
     full = "full_train_model"
     surface = surface_monitor(train)
     shift = loo_answer_shift(
-        rows.withColumn("rollout_id", F.col("example_id")), rollouts, strict=True
-    ).select(F.col("rollout_id").alias("example_id"), "score")
+        rows.withColumn("rollout_id", F.col("example_id")),
+        rollouts,
+        strict=True,
+        keep=["example_id", "split"],
+    )
     parts = [
         component("correctness_only", "constant_known_incorrect_control",
                   rows.withColumn("score", F.lit(1.0))),
         component("reasoning_length", full, predict(length_monitor(train), rows)),
         component("template_identity", full, predict(template_monitor(train), rows)),
         component("shuffled_label_surface", full, predict(surface_monitor(shuffled), rows)),
-        component("counterfactual_answer_shift", "fixed_label_free",
-                  rows.join(shift, "example_id")),
+        component("counterfactual_answer_shift", "fixed_label_free", shift),
         component("surface", "five_fold_question_oof", oof_scores(train, folds=folds, seed=seed)),
         component("surface", full, predict(surface, rows.filter(~in_train))),
     ]
@@ -613,25 +630,28 @@ def hybrid_scores(
     primary: DataFrame, local: DataFrame, judge: DataFrame, *, label: str = "label"
 ) -> DataFrame:
     """Fuse four components, fitted on out-of-fold training scores, for validation and test."""
-    judged = judge.select("example_id", F.col("view").alias("component"), "score")
-    own = local.filter(F.col("component").isin("surface", "counterfactual_answer_shift"))
-    in_fold = (
-        (F.col("component") == "surface")
-        & (F.col("split") == "train")
-        & (F.col("score_origin") != "five_fold_question_oof")
+    judged = judge.select(
+        "example_id", F.col("view").alias("component"), "score", F.lit("judge").alias("origin")
     )
-    checked = own.select(
+    own = local.filter(F.col("component").isin("surface", "counterfactual_answer_shift"))
+    stacked = own.select(
+        "example_id", "component", "score", F.col("score_origin").alias("origin")
+    ).unionByName(judged)
+    members = primary.select("example_id", (F.col("split") == "train").alias("_train"))
+    rows = stacked.join(members, "example_id")
+    in_fold = F.col("_train") & (F.col("component") == "surface") & (
+        F.col("origin") != "five_fold_question_oof"
+    )
+    scores = rows.select(
         "example_id",
         "component",
         F.when(
             in_fold, F.raise_error(F.lit("hybrid training scores must be out of fold"))
         ).otherwise(F.col("score")).alias("score"),
     )
-    ids = primary.select("example_id")
-    scores = checked.unionByName(judged).join(ids, "example_id", "left_semi")
     matrix = component_matrix(scores, HYBRID_COMPONENTS)
-    rows = primary.select("example_id", "question_id", "split", label).join(
-        matrix, "example_id"
+    rows = materialize(
+        primary.select("example_id", "question_id", "split", label).join(matrix, "example_id")
     )
     assemble = VectorAssembler(inputCols=list(HYBRID_COMPONENTS), outputCol="features")
     model = fit_logistic(rows.filter("split = 'train'"), [assemble], label=label)

@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlens.functions.ids import hash_order
-from shiftlens.session import estimated_bytes
+from shiftlens.session import SMALL_PLAN_BYTES, is_small
 
 ROWS_PER_BUCKET = 1_000_000
-# A plan estimated below this size is sorted in one task without being measured first.
-SMALL_PLAN_BYTES = 64 << 20
 MAX_BUCKETS = 1024
 SAMPLE_KEYS = 8192
 
@@ -37,7 +35,7 @@ def split_points(
     Empty when the data fit one bucket. Numbers use a quantile sketch; other types use the
     keys with the smallest hashes, a uniform sample of at most ``SAMPLE_KEYS`` values.
     """
-    if estimated_bytes(df) <= small_plan_bytes:
+    if is_small(df, small_plan_bytes):
         return []
     numeric = isinstance(df.schema[key].dataType, T.NumericType)
     aggregates = [F.count("*").alias("n")]
@@ -81,35 +79,41 @@ def running_sums(
     descending: bool = False,
     points: Sequence | None = None,
     following: Sequence[str] = (),
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of columns in key order within each group.
 
     ``df`` must hold one row per (group, key). ``sums`` maps new names to input columns.
-    Columns named in ``following`` also get ``next_<name>``, the value of the next row in order.
+    Columns named in ``following`` also get ``next_<name>``, the value of the next row in order;
+    ``totals`` maps new names to columns summed over the whole group.
     ``points`` may pass known split points; by default they are measured.
     """
     points = split_points(df, key) if points is None else points
-    by = list(by)
+    by, totals = list(by), totals or {}
     order = F.col(key).desc() if descending else F.col(key).asc()
     if not points:
         window = Window.partitionBy(*by).orderBy(order)
         total = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.select("*", *[F.sum(c).over(total).alias(n) for n, c in sums.items()])
-        return out.select(
-            "*", *[F.lead(c).over(window).alias(f"next_{c}") for c in following]
+        whole = Window.partitionBy(*by)
+        return df.select(
+            "*",
+            *[F.sum(c).over(total).alias(n) for n, c in sums.items()],
+            *[F.lead(c).over(window).alias(f"next_{c}") for c in following],
+            *[F.sum(c).over(whole).alias(n) for n, c in totals.items()],
         )
     bucket = bucket_of(F.col(key), points)
     rows = df.withColumn("_bucket", F.lit(len(points)) - bucket if descending else bucket)
     first = F.max_by if descending else F.min_by
-    totals = rows.groupBy(*by, "_bucket").agg(
-        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
+    buckets = rows.groupBy(*by, "_bucket").agg(
+        *[F.sum(c).alias(f"_t_{n}") for n, c in {**sums, **totals}.items()],
         *[first(c, key).alias(f"_f_{c}") for c in following],
     )
     across = Window.partitionBy(*by).orderBy("_bucket")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = buckets.select(
         *by,
         "_bucket",
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(f"_w_{n}") for n in totals],
         *[
             F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums
         ],
@@ -125,6 +129,7 @@ def running_sums(
             F.coalesce(F.lead(c).over(within), F.col(f"_n_{c}")).alias(f"next_{c}")
             for c in following
         ],
+        *[F.col(f"_w_{n}").alias(n) for n in totals],
     )
 
 
@@ -153,13 +158,18 @@ def rank_by_hash(
     seed: int | str,
     *,
     rank: str = "rn",
-    digits: int = 2,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rank rows 1..n within each group by the hash of (seed, key).
 
-    The leading ``digits`` hex digits are the bucket, so one group spreads over 16**digits tasks.
+    The leading ``digits`` hex digits are the bucket, so one group spreads over 16**digits tasks;
+    by default a plan too small to be worth it is sorted directly.
     """
     staged = df.withColumn("_h", hash_order(seed, key))
+    if digits == 0 or (digits is None and is_small(df)):
+        window = Window.partitionBy(*by).orderBy("_h", key)
+        return staged.withColumn(rank, F.row_number().over(window).cast("long")).drop("_h")
+    digits = digits or 2
     ranked = _bucketed_rank(
         staged, list(by), F.substring("_h", 1, digits), [F.col("_h"), F.col(key)], rank
     )
@@ -256,9 +266,7 @@ def exact_quantiles(
     by = list(by)
     rows = F.sum(weight) if weight else F.count("*")
     counts = df.groupBy(*by, value).agg(rows.alias("_c"))
-    ends = running_sums(counts, by, value, {"_hi": "_c"}, points=points)
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    joined = _join_groups(ends, sizes, by)
+    joined = running_sums(counts, by, value, {"_hi": "_c"}, points=points, totals={"_n": "_c"})
     picks = []
     for name, p in probabilities.items():
         place = F.lit(p) * (F.col("_n") - 1)
@@ -273,6 +281,3 @@ def exact_quantiles(
         results.append((low + (high - low) * (place - F.floor(place))).alias(name))
     return found.select(*by, F.col("_n").alias("n"), *results)
 
-
-def _join_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(groups, by) if by else rows.crossJoin(F.broadcast(groups))

@@ -164,12 +164,8 @@ SELECT * FROM ({_rounded_sql(_ALL)})
 WHERE component IN ('corrupted_recurrence_only', 'control_suppression_only')""",
 )
 def m9(v: Views) -> DataFrame:
-    parts = monitors.score_decomposition(v.shifts)
-    labels = v.examples.select(
-        F.col("example_id").alias("rollout_id"), F.col("binary_label").alias("label")
-    )
-    return _rounded(metrics.evaluate_scores(lookup_join(parts, labels, ["rollout_id"]),
-                                            ["component"]))
+    parts = v.scores.filter("component <> 'counterfactual_answer_shift'")
+    return _rounded(metrics.evaluate_scores(parts, ["component"]))
 
 
 _SIBLING_METRICS = _metrics_sql(

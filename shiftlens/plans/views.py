@@ -130,19 +130,10 @@ class Views:
     @cached_property
     def scores(self) -> DataFrame:
         """Long scores of the primary examples: the shift and its two parts."""
-        parts = score_decomposition(self.shifts).unionByName(
-            self.shifts.filter(F.col("score").isNotNull()).select(
-                "rollout_id",
-                "question_id",
-                F.lit("counterfactual_answer_shift").alias("component"),
-                "score",
-            )
-        )
-        keys = self.examples.filter("is_primary").select(
-            F.col("example_id").alias("rollout_id"), "split", "family", "mechanism", "kind",
-            F.col("binary_label").alias("label"),
-        )
-        return parts.join(keys, "rollout_id").withColumnRenamed("rollout_id", "example_id")
+        keep = ["example_id", "split", "family", "mechanism", "kind", "binary_label"]
+        shifts = loo_answer_shift(self.examples.filter("is_primary"), self.rollouts, keep=keep)
+        parts = score_decomposition(shifts, keep=keep, full=True)
+        return parts.drop("rollout_id").withColumnRenamed("binary_label", "label")
 
     @cached_property
     def rollout_texts(self) -> DataFrame:

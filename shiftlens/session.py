@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,18 +27,28 @@ def build_session(app: str = "shiftlens", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Return the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. A temporary folder is set only where
-    the session names none, which is the single-machine test case.
+    A temporary folder is used only where the session names none: the single-machine test case.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shiftlens-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reduced table to the shared folder and read it back.
+
+    Used where one reduced table feeds several branches: the facts are then scanned once, a
+    lost executor costs a read instead of the whole lineage, and later joins see true sizes.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/shiftlens-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -53,6 +64,15 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
+# A plan estimated below this size is small enough to sort in one task.
+SMALL_PLAN_BYTES = 64 << 20
+
+
+def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
+    """Check a plan's estimated size against what one task sorts easily."""
+    return estimated_bytes(df) <= limit
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Check a plan's estimated size against the session's broadcast threshold."""
     return estimated_bytes(df) <= broadcast_limit(df.sparkSession)
