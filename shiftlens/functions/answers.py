@@ -16,7 +16,7 @@ NUMERIC_PATTERN = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+|\d+/\d+|\\d?frac\{[+-]?\d+\}\{[
 MAX_ANSWER_CHARS = 200
 # Reduced fractions are computed in DECIMAL(38); longer ones are left ambiguous.
 MAX_FRACTION_DIGITS = 32
-EUCLID_STEPS = 160
+STEPS_PER_DIGIT = 5
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,8 +54,10 @@ def reduced_fraction(num: Column, den: Column) -> Column:
 
     def with_gcd(v: Column) -> Column:
         state = F.struct(F.abs(v["n"]).alias("x"), F.abs(v["d"]).alias("y"))
+        # Euclid's rule needs fewer than five steps per digit of the smaller number.
+        digits = F.least(F.length(v["n"].cast("string")), F.length(v["d"].cast("string")))
         gcd = F.aggregate(
-            F.sequence(F.lit(1), F.lit(EUCLID_STEPS)),
+            F.sequence(F.lit(1), F.lit(STEPS_PER_DIGIT) * digits + 2),
             state,
             lambda s, _: F.when(s["y"] == 0, s).otherwise(
                 F.struct(
@@ -78,42 +80,48 @@ def reduced_fraction(num: Column, den: Column) -> Column:
     return let(let(pair, with_gcd), text)
 
 
-def _canonical(value: Column) -> Column:
-    compact = F.regexp_replace(value, " ", "")
-    braces = r"^\\frac\{([^{}]+)\}\{([^{}]+)\}$"
-    short = r"^\\frac\s*([+-]?\d+)\s*([+-]?\d+)$"
-    whole = r"^\s*[+-]?\d+\s*$"
+# The shapes of numeric answers.
+SHORT_FRACTION = r"^\\frac\s*([+-]?\d+)\s*([+-]?\d+)$"
+BRACED_FRACTION = r"^\\frac\{([^{}]+)\}\{([^{}]+)\}$"
+BRACED_INTEGERS = r"^\\frac\{\s*[+-]?\d+\s*\}\{\s*[+-]?\d+\s*\}$"
 
-    def group(pattern: str, index: int) -> Column:
-        return F.regexp_extract(value, pattern, index)
 
-    decimals = F.regexp_extract(compact, r"\.(\d*)$", 1)
-    scale = F.rpad(F.lit("1"), F.length(decimals) + 1, F.lit("0"))
-    return (
-        F.when(
-            value.rlike(short),
-            reduced_fraction(_big(group(short, 1)), _big(group(short, 2))),
-        )
-        .when(
-            value.rlike(braces),
-            F.when(
-                group(braces, 1).rlike(whole) & group(braces, 2).rlike(whole),
-                reduced_fraction(_big(group(braces, 1)), _big(group(braces, 2))),
-            ),
-        )
-        .when(compact.rlike(r"^[+-]?\d+$"), _integer_text(compact))
-        .when(
-            compact.rlike(r"^[+-]?\d+/\d+$"),
-            reduced_fraction(
-                _big(F.substring_index(compact, "/", 1)), _big(F.substring_index(compact, "/", -1))
-            ),
-        )
-        .when(
-            compact.rlike(r"^[+-]?(?:\d+\.\d*|\.\d+)$"),
-            reduced_fraction(_big(F.regexp_replace(compact, r"\.", "")), _big(scale)),
+def _canonical(value: Column) -> Column:
+    """Classify an unwrapped answer once, then render its canonical form."""
+    compact = F.replace(value, F.lit(" "), F.lit(""))
+    shape = (
+        F.when(value.rlike(SHORT_FRACTION), "short")
+        .when(value.rlike(BRACED_INTEGERS), "braced")
+        .when(value.rlike(BRACED_FRACTION), "ambiguous")
+        .when(compact.rlike(r"^[+-]?\d+$"), "integer")
+        .when(compact.rlike(r"^[+-]?\d+/\d+$"), "slash")
+        .when(compact.rlike(r"^[+-]?(?:\d+\.\d*|\.\d+)$"), "decimal")
+        .when((value != "") & (F.length(value) <= MAX_ANSWER_CHARS), "text")
+    )
+
+    def parts(v: Column) -> Column:
+        text, bare = v["text"], v["bare"]
+
+        def side(index: int, slash: Column, decimal: Column) -> Column:
+            return (
+                F.when(v["shape"] == "short", F.regexp_extract(text, SHORT_FRACTION, index))
+                .when(v["shape"] == "braced", F.regexp_extract(text, BRACED_FRACTION, index))
+                .when(v["shape"] == "slash", slash)
+                .when(v["shape"] == "decimal", decimal)
+            )
+
+        places = F.length(F.substring_index(bare, ".", -1))
+        scale = F.rpad(F.lit("1"), places + 1, F.lit("0"))
+        top = side(1, F.substring_index(bare, "/", 1), F.replace(bare, F.lit("."), F.lit("")))
+        bottom = side(2, F.substring_index(bare, "/", -1), scale)
+        return (
+            F.when(v["shape"] == "integer", _integer_text(bare))
+            .when(v["shape"] == "text", F.lower(strip(F.regexp_replace(text, r"\s+", " "))))
+            .otherwise(reduced_fraction(_big(top), _big(bottom)))
         )
-        .when((value != "") & (F.length(value) <= MAX_ANSWER_CHARS),
-              F.lower(strip(F.regexp_replace(value, r"\s+", " "))))
+
+    return let(
+        F.struct(value.alias("text"), compact.alias("bare"), shape.alias("shape")), parts
     )
 
 
@@ -188,8 +196,8 @@ def grade_normalized(predicted: Column, gold: Column) -> Column:
 
 def grade(predicted: Column, gold: Column) -> Column:
     """Grade a predicted answer against the gold answer."""
-    pair = F.struct(normalize_answer(predicted).alias("p"), normalize_answer(gold).alias("g"))
-    full = let(pair, lambda v: grade_normalized(v["p"], v["g"]))
+    both = F.transform(F.array(predicted, gold), normalize_answer)
+    full = let(both, lambda v: grade_normalized(v[0], v[1]))
     # Plain integers are their own normal form.
     plain = r"^(?:0|-?[1-9][0-9]*)$"
     return (

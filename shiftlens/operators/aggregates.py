@@ -12,6 +12,7 @@ from shiftlens.functions.text import mentions_any
 from shiftlens.operators.joins import lookup_join
 from shiftlens.operators.ranking import exact_quantiles
 from shiftlens.schema import CLEAN_STOP, HINT_CONDITIONS
+from shiftlens.session import settle
 
 SCORABLE = f"status = '{CLEAN_STOP}' AND parsed_answer IS NOT NULL"
 
@@ -335,7 +336,7 @@ def stratum_quantiles(scores: DataFrame, points: Sequence | None = None) -> Data
     # Value counts first: the expansion to three strata then carries counts, not rows.
     counts = scores.groupBy("component", "kind", "family", "score").agg(F.count("*").alias("_c"))
     rows = counts.select("component", F.explode(strata).alias("stratum"), "score", "_c")
-    merged = rows.groupBy("component", "stratum", "score").agg(F.sum("_c").alias("_c"))
+    merged = settle(rows.groupBy("component", "stratum", "score").agg(F.sum("_c").alias("_c")))
     means = merged.groupBy("component", "stratum").agg(
         (F.sum(F.col("score").cast("decimal(20,15)") * F.col("_c")).cast("double")
          / F.sum("_c")).alias("mean")

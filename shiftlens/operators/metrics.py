@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shiftlens.operators.joins import transfer_threshold
 from shiftlens.operators.ranking import running_sums
 from shiftlens.schema import PREVALENCES
+from shiftlens.session import settle
 
 _WIDE = "decimal(19,0)"
 
@@ -62,7 +63,7 @@ def roc_curve(
 ) -> DataFrame:
     """Return ROC points by falling threshold, collinear ones dropped, origin included."""
     by = list(by)
-    curve = _curve(score_counts(scores, by), by, points)
+    curve = _curve(settle(score_counts(scores, by)), by, points)
     if prune:
         curve = curve.filter("corner")
     rows = curve.select(
@@ -144,7 +145,8 @@ def evaluate_scores(
 
     ``strict`` fails on a group that lacks a class instead of marking it unavailable.
     """
-    out = evaluate_counts(score_counts(scores, by), by, recall=recall, points=points)
+    counts = settle(score_counts(scores, by))
+    out = evaluate_counts(counts, by, recall=recall, points=points)
     if strict:
         out = out.withColumn(
             "available",

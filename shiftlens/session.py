@@ -51,6 +51,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Materialize a reduced table unless its plan is small enough to run twice."""
+    return df if is_small(df) else materialize(df)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Return Catalyst's size estimate of a plan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
