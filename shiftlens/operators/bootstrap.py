@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_draw
+from shiftlens.operators.joins import attach
 from shiftlens.operators.metrics import evaluate_counts, score_counts
 from shiftlens.operators.ranking import rank_by_hash, split_points
 from shiftlens.session import materialize
@@ -122,7 +123,7 @@ def interval(
 
     def at(p: float) -> Column:
         index = F.floor(F.lit(p) * (F.size("_v") - 1)).cast("int") + 1
-        return F.try_element_at("_v", index)
+        return F.when(F.size("_v") > 0, F.try_element_at("_v", F.greatest(index, F.lit(1))))
 
     return ordered.select(
         *by,
@@ -216,7 +217,8 @@ def replicate_counts(
         F.collect_list(F.struct("replicate", "w")).alias("_times")
     )
     weights = indexed.select(group, "_slot").join(lists, "_slot").drop("_slot")
-    exploded = counts.join(weights, group).select(
+    # The scores of one hot cluster spread by score.
+    exploded = attach(counts, weights, [group], row_id="score").select(
         *by, "score", "pos", "neg", F.inline("_times")
     )
     return exploded.groupBy(*by, "replicate", "score").agg(

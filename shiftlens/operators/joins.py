@@ -79,6 +79,20 @@ def lookup_where(
     )
 
 
+def attach(
+    facts: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    *,
+    row_id: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join a lookup table of unknown size: broadcast if it fits, else hot keys apart."""
+    hot = None if fits_broadcast(dim) else hot_keys(facts, on, hot_rows)
+    return lookup_join(facts, dim, on, how, hot=hot, row_id=row_id)
+
+
 def enrich(
     rollouts: DataFrame,
     questions: DataFrame,
@@ -93,8 +107,9 @@ def enrich(
     """
     dim = questions.withColumn("known_question", F.lit(True))
     clash = [c for c in questions.columns if c in rollouts.columns and c != key]
-    hot = None if fits_broadcast(questions) else hot_keys(rollouts, [key], hot_rows)
-    joined = lookup_join(rollouts, dim.drop(*clash), [key], "left", hot=hot, row_id=row_id)
+    joined = attach(
+        rollouts, dim.drop(*clash), [key], "left", row_id=row_id, hot_rows=hot_rows
+    )
     return joined.withColumn("known_question", F.coalesce("known_question", F.lit(False)))
 
 
@@ -182,7 +197,8 @@ def overlap(fresh: DataFrame, *prior: DataFrame, key: str = "question_id") -> Da
 def label_join(rollouts: DataFrame, shifts: DataFrame) -> DataFrame:
     """Attach the answer shift of (question, hinted option)."""
     evidence = shifts.select("question_id", "hinted_option", "hint_effect", "lower_bound_95")
-    return lookup_join(rollouts, evidence, ["question_id", "hinted_option"], "left")
+    keys = ["question_id", "hinted_option"]
+    return attach(rollouts, evidence, keys, "left", row_id="rollout_id")
 
 
 def component_matrix(scores: DataFrame, components: Sequence[str]) -> DataFrame:

@@ -15,8 +15,8 @@ from shiftlens.functions.text import SURFACE_FEATURES, mentions_any, surface_fea
 from shiftlens.operators.aggregates import scorable
 from shiftlens.operators.joins import (
     HOT_ROWS,
+    attach,
     component_matrix,
-    hot_keys,
     label_join,
     lookup_join,
     lookup_where,
@@ -215,8 +215,7 @@ def _truncated_shift(
     keyed = focal.filter(F.col("parsed_answer").isNotNull()).select(
         "rollout_id", "question_id", F.col("parsed_answer").alias("focal_answer"), *keep
     )
-    hot = None if fits_broadcast(lists) else hot_keys(keyed, ["question_id"])
-    joined = lookup_join(keyed, lists, ["question_id"], "left", hot=hot, row_id="rollout_id")
+    joined = attach(keyed, lists, ["question_id"], "left", row_id="rollout_id")
     # Leaving the focal row out moves the cut by one only where the focal row is among the k.
     hits, left = {}, {}
     for condition, arm in _ARM.items():
@@ -548,9 +547,8 @@ def oof_scores(
 ) -> DataFrame:
     """Score every training row by a surface monitor that never saw its group."""
     keys = train.select(group, label)
-    assigned = materialize(
-        train.join(group_folds(keys, folds, seed, group=group, label=label), group)
-    )
+    dealt = group_folds(keys, folds, seed, group=group, label=label)
+    assigned = materialize(attach(train, dealt, [group], row_id="example_id"))
     scored = None
     for fold in range(folds):
         model = surface_monitor(assigned.filter(F.col("fold") != fold), label)

@@ -190,13 +190,24 @@ def artifact_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def manifest_digest(manifest: DataFrame) -> DataFrame:
-    """Return one digest over a manifest, independent of row order."""
+    """Return one digest over a manifest, independent of row order.
+
+    Entries are digested in 4096 buckets by path hash first, then the bucket digests together.
+    """
     entry = F.concat_ws("|", "path", F.col("length").cast("string"), "sha256")
-    listed = manifest.agg(
-        F.count("*").alias("artifacts"),
+    rows = manifest.select(
+        F.substring(F.sha2("path", 256), 1, 3).alias("_bucket"), "length", entry.alias("_entry")
+    )
+    buckets = rows.groupBy("_bucket").agg(
+        F.count("*").alias("n"),
         F.sum("length").alias("bytes"),
-        F.array_sort(F.collect_list(entry)).alias("_e"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list("_entry")), "\n"), 256).alias("_digest"),
+    )
+    whole = buckets.agg(
+        F.sum("n").alias("artifacts"),
+        F.sum("bytes").alias("bytes"),
+        F.array_sort(F.collect_list(F.concat_ws("|", "_bucket", "_digest"))).alias("_d"),
     )
-    return listed.select(
-        "artifacts", "bytes", F.sha2(F.array_join("_e", "\n"), 256).alias("manifest_sha256")
+    return whole.select(
+        "artifacts", "bytes", F.sha2(F.array_join("_d", "\n"), 256).alias("manifest_sha256")
     )
