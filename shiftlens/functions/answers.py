@@ -24,9 +24,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def parse_option_answer(text: Column, options: Column) -> Column:
@@ -83,6 +90,8 @@ def reduced_fraction(num: Column, den: Column) -> Column:
 # The shapes of numeric answers.
 SHORT_FRACTION = r"^\\frac\s*([+-]?\d+)\s*([+-]?\d+)$"
 BRACED_FRACTION = r"^\\frac\{([^{}]+)\}\{([^{}]+)\}$"
+# Plain integers are their own normal form.
+PLAIN_INTEGER = r"^(?:0|-?[1-9][0-9]*)$"
 BRACED_INTEGERS = r"^\\frac\{\s*[+-]?\d+\s*\}\{\s*[+-]?\d+\s*\}$"
 
 
@@ -90,12 +99,16 @@ def _canonical(value: Column) -> Column:
     """Classify an unwrapped answer once, then render its canonical form."""
     compact = F.replace(value, F.lit(" "), F.lit(""))
     shape = (
-        F.when(value.rlike(SHORT_FRACTION), "short")
-        .when(value.rlike(BRACED_INTEGERS), "braced")
-        .when(value.rlike(BRACED_FRACTION), "ambiguous")
-        .when(compact.rlike(r"^[+-]?\d+$"), "integer")
+        F.when(compact.rlike(r"^[+-]?\d+$"), "integer")
         .when(compact.rlike(r"^[+-]?\d+/\d+$"), "slash")
         .when(compact.rlike(r"^[+-]?(?:\d+\.\d*|\.\d+)$"), "decimal")
+        .when(
+            value.startswith(r"\frac"),
+            F.when(value.rlike(SHORT_FRACTION), "short")
+            .when(value.rlike(BRACED_INTEGERS), "braced")
+            .when(value.rlike(BRACED_FRACTION), "ambiguous")
+            .when(F.length(value) <= MAX_ANSWER_CHARS, "text"),
+        )
         .when((value != "") & (F.length(value) <= MAX_ANSWER_CHARS), "text")
     )
 
@@ -125,14 +138,21 @@ def _canonical(value: Column) -> Column:
     )
 
 
+def _unwrap(text: Column) -> Column:
+    wrapped = text.startswith(r"\text{") | text.startswith(r"\mathrm{")
+    inner = F.regexp_replace(text, r"^\\(?:text|mathrm)\{(.+)\}$", "$1")
+    return F.when(wrapped, inner).otherwise(text)
+
+
 def normalize_answer(value: Column) -> Column:
     """Return the canonical exact-match form of an answer, or null when ambiguous."""
-    line = F.regexp_replace(strip(F.substring_index(value, "\n", 1)), r"\.+$", "")
-    bare = F.regexp_replace(strip(line), r"^[$ ]+|[$ ]+$", "")
+    line = F.rtrim(strip(F.substring_index(value, "\n", 1)), F.lit("."))
+    bare = F.btrim(strip(line), F.lit("$ "))
     plain = F.replace(bare, F.lit(r"\dfrac"), F.lit(r"\frac"))
-    plain = F.regexp_replace(plain, r"\\[,!]", "")
-    plain = strip(F.regexp_replace(plain, r"^\\(?:text|mathrm)\{(.+)\}$", "$1"))
-    return let(plain, _canonical)
+    plain = F.replace(F.replace(plain, F.lit(r"\,"), F.lit("")), F.lit(r"\!"), F.lit(""))
+    plain = strip(let(plain, _unwrap))
+    full = let(plain, _canonical)
+    return F.when(value.rlike(PLAIN_INTEGER), value).otherwise(full)
 
 
 def boxed_answers(text: Column) -> Column:
@@ -140,7 +160,8 @@ def boxed_answers(text: Column) -> Column:
     outer = F.regexp_extract_all(text, F.lit(BOXED_PATTERN), 1)
 
     def deeper(found: Column) -> Column:
-        inner = F.transform(found, lambda t: F.regexp_extract_all(t, F.lit(BOXED_PATTERN), 1))
+        nested = F.filter(found, lambda t: F.contains(t, F.lit(r"\boxed{")))
+        inner = F.transform(nested, lambda t: F.regexp_extract_all(t, F.lit(BOXED_PATTERN), 1))
         return F.flatten(inner)
 
     return let(
@@ -198,12 +219,10 @@ def grade(predicted: Column, gold: Column) -> Column:
     """Grade a predicted answer against the gold answer."""
     both = F.transform(F.array(predicted, gold), normalize_answer)
     full = let(both, lambda v: grade_normalized(v[0], v[1]))
-    # Plain integers are their own normal form.
-    plain = r"^(?:0|-?[1-9][0-9]*)$"
     return (
         F.when(predicted.isNull() | gold.isNull(), "review")
         .when(
-            predicted.rlike(plain) & gold.rlike(plain),
+            predicted.rlike(PLAIN_INTEGER) & gold.rlike(PLAIN_INTEGER),
             F.when(predicted == gold, "correct").otherwise("incorrect"),
         )
         .otherwise(full)

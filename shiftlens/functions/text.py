@@ -127,7 +127,8 @@ def surface_features(text: Column, answer: Column) -> dict[str, Column]:
         "backtrack_count": _count_terms(lowered, BACKTRACK),
         "contradiction_count": _count_terms(lowered, CONTRADICTION),
         "answer_mentions": F.when(
-            answer.isNotNull() & (answer != ""), F.regexp_count(text, mention)
+            answer.isNotNull() & (answer != "") & F.contains(text, answer),
+            F.regexp_count(text, mention),
         )
         .otherwise(0)
         .cast("long"),

@@ -47,16 +47,26 @@ def indexed_clusters(clusters: DataFrame, by: Sequence[str], group: str) -> Data
     return joined.withColumn("_slot", F.col("_rank") - 1).drop("_rank")
 
 
+def _width(df: DataFrame) -> int:
+    """Return how many tasks a step that multiplies its rows should use."""
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, shuffle)
+
+
 def draws(
     clusters: DataFrame, by: Sequence[str], samples: int, seed: int | Column
 ) -> DataFrame:
     """Draw G clusters per replicate: one row per replicate and slot, drawn index included.
 
-    ``clusters`` comes from :func:`indexed_clusters`; every cluster row fills its own slot, so
-    the draws are made where the clusters are.
+    ``clusters`` comes from :func:`indexed_clusters`; every cluster row fills its own slot. The
+    narrow slot table is spread over all cores first, because each row becomes ``samples`` rows.
     """
     picked = hash_draw(seed, F.col("replicate"), F.col("_slot"), F.col("_g"))
-    slots = clusters.select(*by, "_slot", "_g", _replicates(samples).alias("replicate"))
+    spread = clusters.select(*by, "_slot", "_g").repartition(
+        _width(clusters), *by, "_slot"
+    )
+    slots = spread.select("*", _replicates(samples).alias("replicate"))
     return slots.select(*by, "replicate", picked.alias("_slot"))
 
 
@@ -89,7 +99,8 @@ def resampled_sums(
     by = list(by)
     clusters = materialize(clusters.select(*by, group, *sums))
     if method == "poisson":
-        rows = clusters.select("*", _replicates(samples).alias("replicate"))
+        spread = clusters.repartition(_width(clusters), *by, group)
+        rows = spread.select("*", _replicates(samples).alias("replicate"))
         weight = poisson_weight(seed, F.col("replicate"), F.col(group))
         return rows.withColumn("_w", weight).groupBy(*by, "replicate").agg(
             *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums]

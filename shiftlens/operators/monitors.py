@@ -492,6 +492,16 @@ def with_surface_features(
     )
 
 
+def surface_table(
+    rows: DataFrame, text: str = "reasoning", answer: str = "parsed_answer"
+) -> DataFrame:
+    """Compute the features in one pass over the texts and keep the narrow table.
+
+    Fits make several passes; they read this table, never the texts.
+    """
+    return materialize(with_surface_features(rows, text, answer).drop(text))
+
+
 def surface_monitor(train: DataFrame, label: str = "label") -> PipelineModel:
     """Fit the surface monitor on rows that carry the feature columns."""
     assemble = VectorAssembler(inputCols=list(SURFACE_FEATURES), outputCol="features")
@@ -577,8 +587,7 @@ def local_component_scores(
     every = primary.select(*keep, F.lit(True).alias("_primary")).unionByName(
         secondary.select(*keep, F.lit(False).alias("_primary"))
     )
-    # Features are computed in one pass over the texts; the fits read the narrow table.
-    rows = materialize(with_surface_features(every).drop("reasoning"))
+    rows = surface_table(every)
     in_train = F.col("_primary") & (F.col("split") == "train")
     train = rows.filter(in_train)
     shuffled = train.join(

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_order
 from shiftlens.operators.joins import HOT_ROWS, lookup_join
-from shiftlens.operators.ranking import rank_by_hash, round_robin_quota
+from shiftlens.operators.ranking import first_k, rank_by_hash, round_robin_quota
 from shiftlens.session import fits_broadcast, literal_rows
 
+# Up to this sample size Spark prunes ranks before the shuffle.
+SMALL_SAMPLE = 1000
+
 
 def _fail(condition: Column, message: Column, value: Column) -> Column:
     return F.when(condition, F.raise_error(message)).otherwise(value)
@@ -31,12 +34,24 @@ def balanced_select(
 
     With ``outer`` columns every outer group gives ``n`` rows. ``turn`` is the round a row was
     taken in, so (turn, strata) is the selection order. ``strict`` fails when rows run short.
+
+    ``key`` must be unique. Only keys and strata are ranked; whole rows are picked up by key at
+    the end. A stratum never gives more than ``n`` rows, so for a small sample every task keeps
+    just its first ``n`` keys of a stratum.
     """
     if n <= 0:
         raise ValueError("sample size must be positive")
     outer, strata = list(outer), list(strata)
     groups = [*outer, *strata]
-    ranked = rank_by_hash(df, groups, key, seed, rank="turn")
+    keys = df.select(*groups, key)
+    if n <= SMALL_SAMPLE:
+        hashed = keys.withColumn("_h", hash_order(seed, key))
+        order = [F.col("_h"), F.col(key)]
+        ranked = first_k(
+            hashed, groups, order, n, salt=F.substring("_h", 1, 2), rank="turn"
+        ).select(*groups, key, F.col("turn").cast("long").alias("turn"))
+    else:
+        ranked = rank_by_hash(keys, groups, key, seed, rank="turn")
     sizes = df.groupBy(*groups).agg(F.count("*").alias("size"))
     quota = round_robin_quota(sizes, outer, strata, n)
     taken = F.col("quota")
@@ -44,7 +59,8 @@ def balanced_select(
         text = F.concat(F.lit(f"need {n} rows, have "), F.col("total").cast("string"))
         taken = _fail(F.col("total") < n, text, taken)
     quota = quota.select(*groups, taken.alias("quota"))
-    return ranked.join(quota, groups).filter(F.col("turn") <= F.col("quota")).drop("quota")
+    picked = ranked.join(quota, groups).filter(F.col("turn") <= F.col("quota"))
+    return df.join(picked.select(key, "turn"), key)
 
 
 def hash_top_k(df: DataFrame, k: int, seed: int, *, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from shiftlens.operators import bootstrap, gates, metrics, monitors, quality
 from shiftlens.operators.joins import lookup_join
 from shiftlens.plans.registry import query
 from shiftlens.plans.report_queries import _SIBLING_SQL, CONTROL, TREATED
-from shiftlens.plans.text_queries import judged
+from shiftlens.plans.text_queries import _PAYLOADS, judged
 from shiftlens.plans.views import Views
 
 SAMPLES = 1000
@@ -376,7 +376,7 @@ def b6(v: Views) -> DataFrame:
 
 
 def _featured(v: Views) -> DataFrame:
-    return monitors.with_surface_features(v.labelled_text)
+    return monitors.surface_table(v.labelled_text)
 
 
 def _fit_and_score(rows: DataFrame, fit) -> DataFrame:
@@ -504,7 +504,15 @@ def q5(v: Views) -> DataFrame:
     return report.groupBy("study").agg(F.count("*").alias("checks"))
 
 
-@query("u1_component_scores")
+@query(
+    "u1_component_scores",
+    f"""
+SELECT example_id, component, score FROM scores
+UNION ALL
+SELECT example_id, view, arg_min(probability, attempt) FROM ({_PAYLOADS})
+WHERE attempt <= 2 AND termination_clean AND reject_reason IS NULL
+  AND provider_request_id IS NOT NULL GROUP BY example_id, view""",
+)
 def u1_components(v: Views) -> DataFrame:
     judge = judged(v).filter("scored").select(
         "example_id", F.col("view").alias("component"), "score"

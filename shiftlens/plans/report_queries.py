@@ -147,7 +147,7 @@ _CELLS_SQL = f"""
 SELECT *, correct / nullif(scorable, 0)::DOUBLE AS accuracy,
   coalesce(questions = expected AND scorable >= 2
     AND correct / nullif(scorable, 0)::DOUBLE BETWEEN 0.1 AND 0.7, FALSE) AS eligible
-FROM (SELECT q.family, q.tier, 19 AS expected, count(*) AS questions,
+FROM (SELECT q.family, q.tier, 20 AS expected, count(*) AS questions,
     count(s.grade) AS scorable, count(*) FILTER (s.grade = 'correct') AS correct,
     count(*) FILTER (s.grade = 'incorrect') AS incorrect, 0::BIGINT AS review
   FROM questions q LEFT JOIN (SELECT question_id, min(grade) AS grade FROM ({_FIRST_CLEAN})
@@ -156,7 +156,7 @@ FROM (SELECT q.family, q.tier, 19 AS expected, count(*) AS questions,
 
 def _screen(v: Views) -> DataFrame:
     return aggregates.screen_cells(
-        v.questions, _first_clean(v), expected_per_cell=19, min_scorable=2, low=0.1, high=0.7
+        v.questions, _first_clean(v), expected_per_cell=20, min_scorable=2, low=0.1, high=0.7
     )
 
 
@@ -809,14 +809,14 @@ for _name in gates.GATES:
 @query(
     "a19_gate_screening",
     f"""
-WITH cells AS MATERIALIZED ({_CELLS_SQL.replace("19 AS expected", "19 AS expected")
+WITH cells AS MATERIALIZED ({_CELLS_SQL
     .replace("0.1 AND 0.7", "0.3 AND 0.7")})
 SELECT 'screening' AS study, chk AS "check", '=' AS op, value::DOUBLE AS value,
   0.0::DOUBLE AS bound, value = 0 AS passed
 FROM (SELECT 'one_rollout_per_question' AS chk, (SELECT count(*) FROM questions
     WHERE question_id NOT IN (SELECT question_id FROM ({_FIRST_CLEAN}) GROUP BY ALL
       HAVING count(*) = 1)) AS value
-  UNION ALL SELECT 'no_malformed_cells', (SELECT count(*) FROM cells WHERE questions <> 19)
+  UNION ALL SELECT 'no_malformed_cells', (SELECT count(*) FROM cells WHERE questions <> 20)
   UNION ALL SELECT 'no_missing_family', 4 - (SELECT count(DISTINCT family) FROM cells
     WHERE eligible AND family IN ('f0', 'f1', 'f2', 'f9'))
   UNION ALL SELECT 'families_as_frozen', (SELECT count(DISTINCT family) FROM cells
@@ -827,7 +827,7 @@ FROM (SELECT 'one_rollout_per_question' AS chk, (SELECT count(*) FROM questions
 def a19_screening(v: Views) -> DataFrame:
     rows = _first_clean(v).drop("grade", "hit_target", "_r")
     return gates.screening_gate(
-        v.questions, rows, families=("f0", "f1", "f2", "f9"), expected_per_cell=19,
+        v.questions, rows, families=("f0", "f1", "f2", "f9"), expected_per_cell=20,
         min_scorable=2, model="m",
     )
 

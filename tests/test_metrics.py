@@ -146,6 +146,16 @@ def test_balanced_select_needs_enough_rows(spark):
         sampling.balanced_select(df, ["s"], 6, 1).collect()
 
 
+def test_large_and_small_samples_agree(spark, monkeypatch):
+    df = spark.range(300).select(
+        F.col("id").cast("string").alias("question_id"), (F.col("id") % 7 * F.col("id") % 5).alias("s")
+    )
+    small = sampling.balanced_select(df, ["s"], 40, 1).collect()
+    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 0)
+    large = sampling.balanced_select(df, ["s"], 40, 1).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, large)) and len(small) == 40
+
+
 def test_selection_ignores_outcomes_and_partitioning(spark):
     df = spark.range(60).select(
         F.col("id").cast("string").alias("question_id"), (F.col("id") % 4).alias("s"),
