@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from shiftlens.functions.ids import hash_order, stable_id
 from shiftlens.operators.ranking import rank_by_key
 from shiftlens.schema import JUDGE_VIEWS
-from shiftlens.session import fits_broadcast
+from shiftlens.session import fits_broadcast, setting
 
-HOT_ROWS = 2_000_000
 
-
-def hot_keys(facts: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Return the keys holding at least ``rows`` fact rows; at most ``total / rows`` exist."""
+def hot_keys(facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Return the keys holding at least ``hotRows`` facts; at most ``total / hotRows`` exist."""
     counts = facts.groupBy(*on).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") >= rows).select(*on)
+    return counts.filter(F.col("_n") >= setting(facts, "hotRows")).select(*on)
 
 
 def lookup_join(
@@ -86,10 +84,9 @@ def attach(
     how: str = "inner",
     *,
     row_id: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a lookup table of unknown size: broadcast if it fits, else hot keys apart."""
-    hot = None if fits_broadcast(dim) else hot_keys(facts, on, hot_rows)
+    hot = None if fits_broadcast(dim) else hot_keys(facts, on)
     return lookup_join(facts, dim, on, how, hot=hot, row_id=row_id)
 
 
@@ -99,7 +96,6 @@ def enrich(
     *,
     key: str = "question_id",
     row_id: str = "rollout_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attach question columns to rollouts and mark keys the question table lacks.
 
@@ -107,9 +103,7 @@ def enrich(
     """
     dim = questions.withColumn("known_question", F.lit(True))
     clash = [c for c in questions.columns if c in rollouts.columns and c != key]
-    joined = attach(
-        rollouts, dim.drop(*clash), [key], "left", row_id=row_id, hot_rows=hot_rows
-    )
+    joined = attach(rollouts, dim.drop(*clash), [key], "left", row_id=row_id)
     return joined.withColumn("known_question", F.coalesce("known_question", F.lit(False)))
 
 

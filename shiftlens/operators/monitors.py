@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from shiftlens.functions.text import SURFACE_FEATURES, mentions_any, surface_features
 from shiftlens.operators.aggregates import scorable
 from shiftlens.operators.joins import (
-    HOT_ROWS,
     attach,
     component_matrix,
     label_join,
@@ -32,7 +31,7 @@ from shiftlens.schema import (
     CORRUPTED_CONTINUATION,
     SHIFT_ARMS,
 )
-from shiftlens.session import fits_broadcast, materialize
+from shiftlens.session import fits_broadcast, materialize, setting
 
 _ARM = {CLEAN: "clean", CORRECT_CONTINUATION: "correct", CORRUPTED_CONTINUATION: "corrupted"}
 
@@ -99,7 +98,6 @@ def loo_answer_shift(
     siblings: int | None = None,
     strict: bool = False,
     keep: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Score focal rows by how much more often siblings of the corrupted arm give their answer.
 
@@ -127,7 +125,7 @@ def loo_answer_shift(
         keys = ["question_id", "_arm", "focal_answer"]
         hot = None
         if not fits_broadcast(cells):
-            hot = cells.filter(F.col("cell_rows") >= hot_rows).select(*keys)
+            hot = cells.filter(F.col("cell_rows") >= setting(cells, "hotRows")).select(*keys)
         scored = lookup_join(
             keyed, cells.drop("arm", "cell_rows"), keys, "left", hot=hot, row_id="rollout_id"
         )

@@ -16,26 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlens.functions.ids import hash_order
-from shiftlens.session import SMALL_PLAN_BYTES, is_small
+from shiftlens.session import is_small, setting
 
-ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1024
 SAMPLE_KEYS = 8192
 
 
-def split_points(
-    df: DataFrame,
-    key: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-    small_plan_bytes: int = SMALL_PLAN_BYTES,
-) -> list:
+def split_points(df: DataFrame, key: str, *, max_buckets: int = MAX_BUCKETS) -> list:
     """Measure ``df`` and return the key values that cut it into even buckets.
 
     Empty when the data fit one bucket. Numbers use a quantile sketch; other types use the
     keys with the smallest hashes, a uniform sample of at most ``SAMPLE_KEYS`` values.
     """
-    if is_small(df, small_plan_bytes):
+    if is_small(df):
         return []
     numeric = isinstance(df.schema[key].dataType, T.NumericType)
     aggregates = [F.count("*").alias("n")]
@@ -43,7 +36,7 @@ def split_points(
         cuts = [F.lit(i / max_buckets) for i in range(1, max_buckets)]
         aggregates.append(F.percentile_approx(key, F.array(*cuts), F.lit(10_000)).alias("q"))
     row = df.agg(*aggregates).first()
-    buckets = min(max_buckets, -(-row["n"] // rows_per_bucket))
+    buckets = min(max_buckets, -(-row["n"] // setting(df, "rowsPerBucket")))
     if buckets <= 1:
         return []
     if numeric:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_order
-from shiftlens.operators.joins import HOT_ROWS, lookup_join
+from shiftlens.operators.joins import lookup_join
 from shiftlens.operators.ranking import first_k, rank_by_hash, round_robin_quota
-from shiftlens.session import fits_broadcast, literal_rows
+from shiftlens.session import fits_broadcast, literal_rows, setting
 
 # Up to this sample size Spark prunes ranks before the shuffle.
 SMALL_SAMPLE = 1000
@@ -175,7 +175,7 @@ def collection_balanced_sample(
     if min_group <= 0:
         raise ValueError("min_group must be positive")
     large = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_group)
-    hot = None if fits_broadcast(large) else large.filter(F.col("_n") >= HOT_ROWS)
+    hot = None if fits_broadcast(large) else large.filter(F.col("_n") >= setting(df, "hotRows"))
     eligible = lookup_join(df, large.select(group), [group], hot=hot, row_id=key)
     return balanced_select(eligible, [group], n, seed, key=key).drop("turn")
 

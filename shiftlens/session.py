@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Limits that decide between the direct and the spread form of an operator; a session may
+# override each as spark.shiftlens.<name>.
+LIMITS = {
+    # A plan estimated below this size is sorted in one task.
+    "smallPlanBytes": 64 << 20,
+    # Ordered groups are cut into buckets of about this many rows.
+    "rowsPerBucket": 1_000_000,
+    # Keys with at least this many fact rows are joined without moving their facts together.
+    "hotRows": 2_000_000,
+}
+
 
 def build_session(app: str = "shiftlens", master: str | None = None, **conf: str) -> SparkSession:
     """Return a session with adaptive execution, UTC time and Arrow switched on."""
@@ -69,13 +80,14 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-# A plan estimated below this size is small enough to sort in one task.
-SMALL_PLAN_BYTES = 64 << 20
+def setting(df: DataFrame, name: str) -> int:
+    """Return one of the ``spark.shiftlens.*`` limits of the session."""
+    return int(df.sparkSession.conf.get(f"spark.shiftlens.{name}", str(LIMITS[name])))
 
 
-def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
+def is_small(df: DataFrame) -> bool:
     """Check a plan's estimated size against what one task sorts easily."""
-    return estimated_bytes(df) <= limit
+    return estimated_bytes(df) <= setting(df, "smallPlanBytes")
 
 
 def fits_broadcast(df: DataFrame) -> bool:

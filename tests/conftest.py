@@ -38,3 +38,21 @@ def frame(spark):
         return spark.createDataFrame(rows, schema)
 
     return make
+
+
+@pytest.fixture()
+def tiny_limits(spark):
+    """Shrink all limits so that every operator takes its large-data form."""
+    changed = {
+        "spark.shiftlens.smallPlanBytes": "0",
+        "spark.shiftlens.rowsPerBucket": "100",
+        "spark.shiftlens.hotRows": "20",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    yield
+    for key in changed:
+        spark.conf.unset(key)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

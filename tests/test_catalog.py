@@ -38,3 +38,16 @@ def test_query_matches_sql(spark, entry, name):
         spark, connect(FOLDER), name, entry.queries()[name], entry.oracle_sql()[name], FOLDER
     )
     assert problem is None and rows > 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    ("j1_enrich", "j6_loo_answer_shift", "j11_collection_plan", "j12_judge_plan", "m1_roc_curve",
+     "m6_evaluate_scores", "a15_stratum_quantiles", "b3_cluster_bootstrap_metrics",
+     "w2_grouped_split", "w4_select_audit", "w10_permute_labels"),
+)
+def test_large_data_form_matches_sql(spark, entry, tiny_limits, name):
+    problem, rows = compare(
+        spark, connect(FOLDER), name, entry.queries()[name], entry.oracle_sql()[name], FOLDER
+    )
+    assert problem is None and rows > 0

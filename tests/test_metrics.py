@@ -86,14 +86,14 @@ def test_metrics_match_numpy_with_and_without_buckets(frame, points):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
 
 
-def test_split_points_are_measured(spark):
+def test_split_points_are_measured(spark, tiny_limits):
     df = spark.range(1000).select((F.col("id") / 1000).alias("score"))
-    points = ranking.split_points(df, "score", rows_per_bucket=100, small_plan_bytes=0)
+    points = ranking.split_points(df, "score")
     assert len(points) == 9
     sizes = df.groupBy(ranking.bucket_of(F.col("score"), points)).count().collect()
     assert max(r["count"] for r in sizes) < 150
     text = spark.range(1000).select(F.col("id").cast("string").alias("k"))
-    points = ranking.split_points(text, "k", rows_per_bucket=100, small_plan_bytes=0)
+    points = ranking.split_points(text, "k")
     assert points == sorted(points) and len(points) == 9
     ranked = ranking.rank_by_key(text, [], "k", points=points).orderBy("k").collect()
     assert [r.rn for r in ranked] == list(range(1, 1001))

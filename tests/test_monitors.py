@@ -59,9 +59,7 @@ def brute(rows, focal, k=None):
     return (cells[ARMS[2]] - max(cells[ARMS[0]], cells[ARMS[1]]) + 1) / 2
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 3])
-@pytest.mark.parametrize("k", [None, 1, 2])
-def test_shift_equals_brute_force(spark, frame, k, hot_rows):
+def check_shift(frame, k):
     rng = random.Random(3)
     rows = [
         (f"{i:03d}", f"q{0 if i % 3 == 0 else i % 7}", rng.choice([*ARMS, "peer_scratch_note"]),
@@ -69,20 +67,10 @@ def test_shift_equals_brute_force(spark, frame, k, hot_rows):
         for i in range(200)
     ]
     df = frame(rows, SCHEMA).repartition(7)
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        # A negative threshold sends every lookup down the large-table path.
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if hot_rows == 3 else limit)
-        focal = df.filter("status = 'clean_stop'")
-        got = {
-            r.rollout_id: r.score
-            for r in monitors.loo_answer_shift(
-                focal, df, siblings=k, hot_rows=hot_rows
-            ).collect()
-        }
-        local = df.collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    focal = df.filter("status = 'clean_stop'")
+    scored = monitors.loo_answer_shift(focal, df, siblings=k)
+    got = {r.rollout_id: r.score for r in scored.collect()}
+    local = df.collect()
     focals = [r for r in local if r.status == "clean_stop"]
     assert len(got) == len(focals)
     for row in focals:
@@ -90,6 +78,16 @@ def test_shift_equals_brute_force(spark, frame, k, hot_rows):
         assert got[row.rollout_id] == want or abs(got[row.rollout_id] - want) < 1e-12
 
 
+@pytest.mark.parametrize("k", [None, 1, 2])
+def test_shift_equals_brute_force(frame, k):
+    check_shift(frame, k)
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_shift_with_hot_questions(frame, tiny_limits, k):
+    check_shift(frame, k)
+
+
 def test_focal_outside_arms_with_unseen_answer(frame):
     rows = cohort(frame, ("AB", "AA", "BB"))
     focal = frame([("x", "q1", "peer_scratch_note", "Z", "clean_stop")], SCHEMA)

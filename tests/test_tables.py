@@ -194,13 +194,13 @@ def test_streamed_windows_drop_late_rows(spark, tmp_path):
     assert [(r.window_start.hour, r.rollouts) for r in rows][:2] == [(0, 1), (5, 1)]
 
 
-def test_lookup_join_with_hot_keys(spark):
+def test_lookup_join_with_hot_keys(spark, tiny_limits):
     facts = spark.range(300).select(
         F.col("id").cast("string").alias("row"),
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("k"),
     )
     dim = spark.range(15).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hot = joins.hot_keys(facts, ["k"], 50)
+    hot = joins.hot_keys(facts, ["k"])
     assert [r.k for r in hot.collect()] == [0]
     for how in ("left", "inner"):
         plain = joins.lookup_join(facts, dim, ["k"], how).select("row", "k", "v")
