@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.digests import canonical_digest, canonical_json
-from shiftlens.functions.text import exposes_provenance, naturalize_prefix
+from shiftlens.functions.text import exposes_provenance, naturalize_prefix, pick_wrong_option
 from shiftlens.operators.sampling import balanced_select
 
 # Prompt wording. {o} is the hinted option, {v} its text.
@@ -91,14 +91,6 @@ MATH_ARMS = {
 CORRUPTED_ARMS = tuple(arm for arm in MATH_ARMS if arm.startswith("corrupted"))
 
 
-def pick_wrong_option(options: Column, gold: Column, index: Column | int = 0) -> Column:
-    """Return a wrong option, cycling through the sorted wrong options by index."""
-    index = F.lit(index) if isinstance(index, int) else index
-    wrong = F.array_sort(F.filter(F.map_keys(options), lambda k: k != gold))
-    place = F.try_mod(index, F.size(wrong)) + 1
-    return F.when(F.size(wrong) > 0, F.try_element_at(wrong, place.cast("int")))
-
-
 def render_options(options: Column) -> Column:
     """Render options as one ``key. text`` line each."""
     lines = F.transform(F.map_entries(options), lambda e: F.concat(e["key"], F.lit(". "),

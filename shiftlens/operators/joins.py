@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_order, stable_id
+from shiftlens.functions.text import pick_wrong_option
 from shiftlens.operators.ranking import rank_by_key
 from shiftlens.schema import JUDGE_VIEWS
 from shiftlens.session import fits_broadcast, setting
@@ -227,17 +228,26 @@ def collection_plan(
     base_seed: int,
     model: str,
     group: str = "template_group",
+    choices: bool = False,
     points: Sequence | None = None,
 ) -> DataFrame:
     """Build the full factorial of question, condition and sample with logical seeds.
 
-    Rows sorted by (sample_index, round, group, condition_index) interleave the groups.
+    Rows sorted by (sample_index, round, group, condition_index) interleave the groups. With
+    ``choices`` the questions are multiple choice: they keep their own order, and each gets a
+    ``hinted_option``, wrong options taken in turn by question index.
     """
     if samples <= 0:
         raise ValueError("samples must be positive")
-    base = questions.select("question_id", F.coalesce(group, F.lit("unknown")).alias(group))
+    hints = ["options", "gold_answer"] if choices else []
+    base = questions.select(
+        "question_id", F.coalesce(group, F.lit("unknown")).alias(group), *hints
+    )
     numbered = rank_by_key(base, [], "question_id", rank="_i", points=points)
-    turns = rank_by_key(numbered, [group], "question_id", rank="round", points=points)
+    if choices:
+        turns = numbered.withColumn("round", F.col("_i"))
+    else:
+        turns = rank_by_key(numbered, [group], "question_id", rank="round", points=points)
     arms = F.array(
         *[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(conditions)]
     )
@@ -258,6 +268,12 @@ def collection_plan(
         "question_id",
         F.col("_arm.c").alias("condition"),
         seed.alias("seed"),
+        *[
+            pick_wrong_option(F.col("options"), F.col("gold_answer"), F.col("_i") - 1).alias(
+                "hinted_option"
+            )
+            for _ in hints[:1]
+        ],
     )
     return planned.withColumn(
         "rollout_id", stable_id("question_id", "condition", "seed", F.lit(model))
@@ -325,8 +341,12 @@ def matched_controls(
     controls; those bounded lists are then resolved in order.
     """
     order = [F.col(c) for c in ("distance", "mismatch", "tie")]
+    beyond = F.col("case_index") >= pairs
     near = cases.select(
-        "case_index",
+        F.when(beyond, F.raise_error(F.lit("more cases than pairs")))
+        .otherwise(F.col("case_index"))
+        .cast("int")
+        .alias("case_index"),
         "case_id",
         "family",
         F.col("tier_rank").alias("_t"),

@@ -64,9 +64,13 @@ def balanced_select(
 
 
 def hash_top_k(df: DataFrame, k: int, seed: int, *, key: str) -> DataFrame:
-    """Take the ``k`` rows with the smallest hash of (seed, key)."""
-    order = hash_order(seed, key)
-    return df.orderBy(order, key).limit(k)
+    """Take the ``k`` rows with the smallest hash of (seed, key); fewer rows fail."""
+    if k <= 0:
+        raise ValueError("count must be positive")
+    taken = df.orderBy(hash_order(seed, key), key).limit(k)
+    found = F.count("*").over(Window.partitionBy(F.lit(0)))
+    short = F.concat(F.lit(f"need {k} rows, have "), found.cast("string"))
+    return taken.withColumn(key, _fail(found < k, short, F.col(key)))
 
 
 def smoke_examples(examples: DataFrame, k: int, seed: int, *, key: str = "example_id"):

@@ -109,6 +109,24 @@ def j11(v: Views) -> DataFrame:
     return _plan(v)
 
 
+@query(
+    "j11_choice_plan",
+    """
+SELECT s.sample_index, q.i AS round, q.template_group, 0::BIGINT AS condition_index, q.question_id,
+  'clean' AS condition, 7 + (q.i - 1) * 1000 + s.sample_index AS seed,
+  list_filter(['0', '1', '2', '3'], lambda x: x <> q.gold_answer)[(q.i - 1) % 3 + 1]
+    AS hinted_option,
+  substr(sha256(q.question_id || '|clean|' || (7 + (q.i - 1) * 1000 + s.sample_index) || '|m'),
+    1, 20) AS rollout_id
+FROM (SELECT *, row_number() OVER (ORDER BY question_id) AS i FROM questions) q
+CROSS JOIN (VALUES (0::BIGINT), (1::BIGINT)) s(sample_index)""",
+)
+def j11_choices(v: Views) -> DataFrame:
+    return joins.collection_plan(
+        v.questions, ["clean"], samples=2, base_seed=7, model="m", choices=True
+    )
+
+
 _DONE_SQL = f"""
 SELECT *, CASE WHEN seed % 3 = 0 THEN 'm' ELSE 'other' END AS model,
   CASE WHEN seed % 2 = 0 THEN 'length_truncated' ELSE 'clean_stop' END AS status

@@ -381,7 +381,7 @@ SELECT question_id, list_filter(['0', '1', '2', '3'], lambda x: x <> gold_answer
   [user_id % 3 + 1] AS wrong_option FROM questions""",
 )
 def p12(v: Views) -> DataFrame:
-    wrong = interventions.pick_wrong_option(
+    wrong = text.pick_wrong_option(
         F.col("options"), F.col("gold_answer"), F.col("user_id")
     )
     return v.questions.select("question_id", wrong.alias("wrong_option"))
