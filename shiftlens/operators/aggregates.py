@@ -75,20 +75,27 @@ def usage_totals(rollouts: DataFrame, column: str = "usage") -> DataFrame:
 
 def hint_answer_shift(rollouts: DataFrame) -> DataFrame:
     """Estimate the hint effect of every (question, hinted option) with a normal interval."""
-    answered = rollouts.filter(F.col("parsed_answer").isNotNull())
-    clean = answered.filter(F.col("condition") == "clean")
-    hinted = answered.filter(
-        F.col("condition").isin(*HINT_CONDITIONS)
-        & F.col("hinted_option").isNotNull()
-        & (F.col("hinted_option") != "")
-    )
-    sizes = clean.groupBy("question_id").agg(F.count("*").alias("n_clean"))
-    answers = clean.groupBy("question_id", F.col("parsed_answer").alias("hinted_option")).agg(
-        F.count("*").alias("_clean_hits")
-    )
-    arms = hinted.groupBy("question_id", "hinted_option").agg(
-        F.count("*").alias("n_hinted"),
-        F.count_if(F.col("parsed_answer") == F.col("hinted_option")).alias("_hits"),
+    clean = F.col("condition") == "clean"
+    hinted = F.col("condition").isin(*HINT_CONDITIONS) & (F.col("hinted_option") != "")
+    answered = rollouts.filter(F.col("parsed_answer").isNotNull() & (clean | hinted))
+    # One pass over the rollouts; clean rows carry no option.
+    counts = settle(
+        answered.groupBy(
+            "question_id", F.when(~clean, F.col("hinted_option")).alias("option"), "parsed_answer"
+        ).agg(F.count("*").alias("n"))
+    )
+    base = counts.filter(F.col("option").isNull())
+    sizes = base.groupBy("question_id").agg(F.sum("n").alias("n_clean"))
+    answers = base.select(
+        "question_id",
+        F.col("parsed_answer").alias("hinted_option"),
+        F.col("n").alias("_clean_hits"),
+    )
+    chosen = F.when(F.col("parsed_answer") == F.col("option"), F.col("n")).otherwise(0)
+    arms = (
+        counts.filter(F.col("option").isNotNull())
+        .groupBy("question_id", F.col("option").alias("hinted_option"))
+        .agg(F.sum("n").alias("n_hinted"), F.sum(chosen).alias("_hits"))
     )
     joined = arms.join(sizes, "question_id").join(
         answers, ["question_id", "hinted_option"], "left"

@@ -31,7 +31,7 @@ from shiftlens.schema import (
     CORRUPTED_CONTINUATION,
     SHIFT_ARMS,
 )
-from shiftlens.session import fits_broadcast, materialize, setting
+from shiftlens.session import fits_broadcast, materialize, setting, settle
 
 _ARM = {CLEAN: "clean", CORRECT_CONTINUATION: "correct", CORRUPTED_CONTINUATION: "corrupted"}
 
@@ -40,22 +40,22 @@ def _frequencies(hits: dict[str, Column], sizes: dict[str, Column]) -> dict[str,
     return {arm: F.try_divide(hits[arm], sizes[arm]) for arm in hits}
 
 
-def _answer_counts(rollouts: DataFrame) -> DataFrame:
+def answer_counts(rollouts: DataFrame) -> DataFrame:
     """Count the scorable siblings of each arm per (question, answer)."""
     return scorable(rollouts, SHIFT_ARMS).groupBy("question_id", "parsed_answer").agg(
         *[F.count_if(F.col("condition") == c).alias(f"_h_{a}") for c, a in _ARM.items()]
     )
 
 
-def shift_cells(rollouts: DataFrame) -> DataFrame:
+def shift_cells(counts: DataFrame) -> DataFrame:
     """Score every (question, arm, answer) cell with one of its rows left out.
 
     All rows of a cell share one leave-one-out score, so the score needs only the counts of
-    (question, arm, answer): no sibling is ever paired with another. ``arm`` is null for focal
+    (question, arm, answer), see :func:`answer_counts`: no sibling is ever paired with another.
+    ``arm`` is null for focal
     rows outside the three arms, from which nothing is taken away. ``cell_rows`` is the number
     of rollouts the score of a cell belongs to.
     """
-    counts = _answer_counts(rollouts)
     sizes = counts.groupBy("question_id").agg(
         *[F.sum(f"_h_{a}").alias(f"_n_{a}") for a in _ARM.values()]
     )
@@ -110,7 +110,9 @@ def loo_answer_shift(
     if siblings is not None:
         out = _truncated_shift(focal, rollouts, siblings, keep)
     else:
-        cells = shift_cells(rollouts).withColumn("_arm", F.coalesce("arm", F.lit("")))
+        # The siblings are read once; cells and arm sizes come from their counts.
+        counts = settle(answer_counts(rollouts))
+        cells = shift_cells(counts).withColumn("_arm", F.coalesce("arm", F.lit("")))
         keyed = focal.filter(F.col("parsed_answer").isNotNull()).select(
             "rollout_id",
             "question_id",
@@ -132,7 +134,7 @@ def loo_answer_shift(
         # A focal answer that no sibling gave has frequency zero wherever all arms have rows.
         zeros = lookup_where(
             scored,
-            complete_questions(rollouts),
+            complete_questions(counts),
             ["question_id"],
             F.col("complete").isNull(),
             "rollout_id",
@@ -157,9 +159,9 @@ def loo_answer_shift(
     return out.withColumn("reject_reason", reason.cast("string")).drop("complete")
 
 
-def complete_questions(rollouts: DataFrame) -> DataFrame:
+def complete_questions(counts: DataFrame) -> DataFrame:
     """Mark the questions that have scorable siblings in all three arms."""
-    arms = _answer_counts(rollouts).groupBy("question_id").agg(
+    arms = counts.groupBy("question_id").agg(
         *[F.sum(f"_h_{a}").alias(f"_n_{a}") for a in _ARM.values()]
     )
     full = (F.col("_n_clean") > 0) & (F.col("_n_correct") > 0) & (F.col("_n_corrupted") > 0)

@@ -16,7 +16,7 @@ from shiftlens.operators.aggregates import (
     hint_answer_shift,
     stratum_quantiles,
 )
-from shiftlens.operators.joins import attach, enrich, missing_components
+from shiftlens.operators.joins import attach, enrich, missing_components, unknown_keys
 from shiftlens.operators.sampling import select_audit
 from shiftlens.session import materialize
 
@@ -72,6 +72,7 @@ def prepare_examples(
     quality.require_empty(touched.select("question_id"), "question outside the partition")
     twice = rollouts.groupBy("rollout_id").count().filter("count > 1")
     quality.require_empty(twice, "repeated rollout id")
+    quality.require_empty(unknown_keys(rollouts, questions), "rollout of an unknown question")
     columns = (
         "question_id", "family", "tier", "renderer_id", "mechanism", "split", "gold_answer",
         "target_answer", F.col("prompt").alias("question_prompt"),
@@ -79,7 +80,7 @@ def prepare_examples(
     bare = rollouts.drop("gold_answer", "target_answer", "family", "tier", "renderer_id",
                          "mechanism", "split")
     joined = enrich(bare, questions.select(*columns))
-    examples = materialize(monitors.error_kind(graded(joined.filter("known_question"))))
+    examples = materialize(monitors.error_kind(graded(joined)))
     primary = examples.filter("is_primary")
     quality.require_empty(quality.missing_classes(primary), "split lacks a class")
     audit = select_audit(examples.filter("NOT is_primary"), audit_cap, audit_seed)
