@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def _digest_any(payload: pd.Series) -> pd.Series:
+def _digest_any(payload: Column) -> Column:
+    """Digest any JSON text in Python; self-contained, so executors need no extra package."""
+
     def digest(text: str | None) -> str | None:
         if text is None:
             return None
         canonical = json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(canonical.encode()).hexdigest()
 
-    return payload.map(digest)
+    def digests(texts: pd.Series) -> pd.Series:
+        return texts.map(digest)
+
+    return F.pandas_udf(digests, T.StringType())(payload)
 
 
 def canonical_json(fields: Mapping[str, Column]) -> Column:

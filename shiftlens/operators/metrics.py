@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -231,57 +231,54 @@ def validation_operating_point(
     return chosen.join(applied, by)
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    total, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / ((1.0 + step * d) or 1e-300)
-        c = (1.0 + step / c) or 1e-300
-        total *= c * d
-        if abs(1.0 - c * d) < 1e-15:
-            break
-    return front * (total - 1.0)
-
-
-def _beta_quantile(a: float, b: float, p: float) -> float:
-    low, high = 0.0, 1.0
-    for _ in range(200):
-        middle = (low + high) / 2
-        low, high = (middle, high) if _beta_tail(a, b, middle) < p else (low, middle)
-    return (low + high) / 2
+def _binomial_udf(tail: float) -> Callable[..., Column]:
+    """Build the interval function; it is self-contained, so executors need no extra package."""
+
+    def beta_tail(a: float, b: float, x: float) -> float:
+        # Regularised incomplete beta function by its continued fraction.
+        if x <= 0 or x >= 1:
+            return 0.0 if x <= 0 else 1.0
+        if x > (a + 1) / (a + b + 2):
+            return 1.0 - beta_tail(b, a, 1 - x)
+        log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        front = math.exp(log_front + a * math.log(x) + b * math.log1p(-x)) / a
+        total, c, d = 1.0, 1.0, 0.0
+        for i in range(400):
+            m = i // 2
+            if i == 0:
+                step = 1.0
+            elif i % 2 == 0:
+                step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            else:
+                step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            d = 1.0 / ((1.0 + step * d) or 1e-300)
+            c = (1.0 + step / c) or 1e-300
+            total *= c * d
+            if abs(1.0 - c * d) < 1e-15:
+                break
+        return front * (total - 1.0)
+
+    def beta_quantile(a: float, b: float, p: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if beta_tail(a, b, middle) < p else (low, middle)
+        return (low + high) / 2
+
+    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(k, n, strict=True))
+        low = [0.0 if x == 0 else beta_quantile(x, t - x + 1, tail) for x, t in pairs]
+        high = [1.0 if x == t else beta_quantile(x + 1, t - x, 1 - tail) for x, t in pairs]
+        return pd.DataFrame({"low": low, "high": high})
+
+    return F.pandas_udf(interval, "low double, high double")
 
 
 def exact_binomial_ci(
     rates: DataFrame, successes: str, trials: str, *, confidence: float = 0.95
 ) -> DataFrame:
     """Add the exact binomial interval to a report of counts."""
-    tail = (1 - confidence) / 2
-
-    @F.pandas_udf("low double, high double")
-    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        low = [0.0 if x == 0 else _beta_quantile(x, t - x + 1, tail) for x, t in zip(k, n)]
-        high = [
-            1.0 if x == t else _beta_quantile(x + 1, t - x, 1 - tail) for x, t in zip(k, n)
-        ]
-        return pd.DataFrame({"low": low, "high": high})
-
+    interval = _binomial_udf((1 - confidence) / 2)
     return rates.withColumn("_ci", interval(F.col(successes), F.col(trials))).select(
         "*", F.col("_ci.low").alias("low"), F.col("_ci.high").alias("high")
     ).drop("_ci")

@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -368,3 +371,22 @@ def test_smoke_gate(spark):
     assert bad.smoke_status == "quality_failed"
     errors = gates.smoke_gate(summary, planned=4, min_scorable=4, request_errors=1).first()
     assert errors.run_status == "complete_with_errors"
+
+
+def test_python_steps_run_without_the_package_on_executors(tmp_path):
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})\n"
+        "from shiftlens.session import build_session\n"
+        "from shiftlens.functions.digests import raw_json_digest\n"
+        "from shiftlens.operators.metrics import exact_binomial_ci\n"
+        "spark = build_session('t', 'local[1]', **{'spark.ui.enabled': 'false'})\n"
+        "df = spark.createDataFrame([(1, 2, '{}')], 'k int, n int, j string')\n"
+        "out = exact_binomial_ci(df, 'k', 'n').select('low', raw_json_digest(df.j))\n"
+        "print('rows', out.count(), len(out.collect()))\n"
+    )
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert "rows 1 1" in done.stdout, done.stderr[-2000:]
