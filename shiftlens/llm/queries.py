@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlens.llm import repetition, url_automaton
+from shiftlens.llm import repetition, source_mixing, url_automaton
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op5_url_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return url_automaton.filter_urls(table(spark, folder, "pages"))
 
 
+def op6_golden_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """Mix all documents to the target words of their sources."""
+    return source_mixing.mix_sources(table(spark, folder, "documents")).docs
+
+
 def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Measure and judge repetition in every document."""
     return repetition.repetition_coverage(table(spark, folder, "documents"))
@@ -26,6 +31,10 @@ def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_automaton": op5_url_automaton,
+    "op6_golden_schedule": op6_golden_schedule,
     "op9_repetition_coverage": op9_repetition_coverage,
 }
-ORACLES: dict[str, str] = {"op5_url_automaton": url_automaton.SQL}
+ORACLES: dict[str, str] = {
+    "op5_url_automaton": url_automaton.SQL,
+    "op6_golden_schedule": source_mixing.SQL,
+}
