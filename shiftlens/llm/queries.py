@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlens.llm import repetition, source_mixing, url_automaton
+from shiftlens.llm import coordinate_join, repetition, source_mixing, url_automaton
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,6 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Group near-duplicate documents."""
+    return coordinate_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_url_automaton(spark: SparkSession, folder: str) -> DataFrame:
     """Judge the url of every page by the packed glob rules."""
     return url_automaton.filter_urls(table(spark, folder, "pages"))
@@ -30,11 +35,13 @@ def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_coordinate_join": op2_coordinate_join,
     "op5_url_automaton": op5_url_automaton,
     "op6_golden_schedule": op6_golden_schedule,
     "op9_repetition_coverage": op9_repetition_coverage,
 }
 ORACLES: dict[str, str] = {
+    "op2_coordinate_join": coordinate_join.SQL,
     "op5_url_automaton": url_automaton.SQL,
     "op6_golden_schedule": source_mixing.SQL,
 }
