@@ -98,7 +98,7 @@ def whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
         hashes = WordHashes()
         for batch in chunks(batches, "text"):
             flat, at = shingle_sets(texts_of(batch.column("text")), hashes)
-            mixed = np.cumsum(np.concatenate([[0], mix(flat ^ U64(0x1F83D9ABFB41BD6B))]), dtype=U64)
+            mixed = np.concatenate([np.zeros(1, U64), np.cumsum(mix(flat ^ U64(0x1F83D9ABFB41BD6B)), dtype=U64)])
             right = (mixed[at[1:]] - mixed[at[:-1]]).view(np.int64) == batch.column("set_a").to_numpy()
             rows = np.flatnonzero(right)
             yield pa.RecordBatch.from_arrays(
