@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlens.llm import coordinate_join, repetition, source_mixing, url_automaton
+from shiftlens.llm import (
+    coordinate_join,
+    repetition,
+    source_mixing,
+    suffix_dedup,
+    url_automaton,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +35,11 @@ def op6_golden_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, folder, "documents")).docs
 
 
+def op7_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
+    """Remove repeated 400-byte strings from every document."""
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Measure and judge repetition in every document."""
     return repetition.repetition_coverage(table(spark, folder, "documents"))
@@ -38,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_coordinate_join": op2_coordinate_join,
     "op5_url_automaton": op5_url_automaton,
     "op6_golden_schedule": op6_golden_schedule,
+    "op7_deep_shallow": op7_deep_shallow,
     "op9_repetition_coverage": op9_repetition_coverage,
 }
 ORACLES: dict[str, str] = {
