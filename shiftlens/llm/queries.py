@@ -11,6 +11,7 @@ from shiftlens.llm import (
     repetition,
     source_mixing,
     suffix_dedup,
+    toxicity_cnn,
     url_automaton,
 )
 
@@ -25,6 +26,12 @@ def op2_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
     return coordinate_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    """Score the toxicity of every document."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity_cnn.toxicity(spark, docs, labels)
+
+
 def op5_url_automaton(spark: SparkSession, folder: str) -> DataFrame:
     """Judge the url of every page by the packed glob rules."""
     return url_automaton.filter_urls(table(spark, folder, "pages"))
@@ -47,6 +54,7 @@ def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_coordinate_join": op2_coordinate_join,
+    "op4_toxicity_cnn": op4_toxicity_cnn,
     "op5_url_automaton": op5_url_automaton,
     "op6_golden_schedule": op6_golden_schedule,
     "op7_deep_shallow": op7_deep_shallow,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words that one task keeps the hashes of before it starts its table anew.
 CACHED_WORDS = 400_000
 #: UTF-8 bytes that a task works on at once; a longer text is worked on alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 U64 = np.uint64
 
