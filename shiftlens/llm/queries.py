@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shiftlens.llm import (
     coordinate_join,
+    mtree,
     repetition,
     source_mixing,
     suffix_dedup,
@@ -26,6 +27,11 @@ def op2_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
     return coordinate_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_mtree_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Return the 20 largest inner products of every 20th vector."""
+    return mtree.top_products(table(spark, folder, "embeddings"))
+
+
 def op4_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
     """Score the toxicity of every document."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -54,6 +60,7 @@ def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_coordinate_join": op2_coordinate_join,
+    "op3_mtree_search": op3_mtree_search,
     "op4_toxicity_cnn": op4_toxicity_cnn,
     "op5_url_automaton": op5_url_automaton,
     "op6_golden_schedule": op6_golden_schedule,
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_coordinate_join": coordinate_join.SQL,
+    "op3_mtree_search": mtree.SQL,
     "op5_url_automaton": url_automaton.SQL,
     "op6_golden_schedule": source_mixing.SQL,
 }
