@@ -6,7 +6,8 @@ each side's rarest pairs (the prefix); values of passages that many documents ho
 for they come last. Candidates that agree often enough are confirmed on their whole sets.
 
 Components need a spanning set of the links, not all of them: first every document meets one
-document of its posting lists, and after that only documents of different components meet.
+document of its posting lists, the one whose coordinates most others share, and after that only
+documents of different components meet, each pair once.
 """
 
 from __future__ import annotations
@@ -195,7 +196,10 @@ def near_duplicates(
 
 
 def prefix_postings(reps: DataFrame) -> DataFrame:
-    """Return (token, id, n_shingles): each document under the rarest of its shared tokens.
+    """Return (token, id, n_shingles, shared): each document under the rarest of its shared tokens.
+
+    ``shared`` is how much the document has in common with others: the logarithms of the
+    frequencies of its tokens, summed up.
 
     Tokens of one document only meet nothing and are left out. Of m shared tokens, ordered from
     rare to frequent alike for all, the first m - MATCHES + 1 are posted: two documents with
@@ -222,14 +226,18 @@ def prefix_postings(reps: DataFrame) -> DataFrame:
         .groupBy("id", "n_shingles")
         .agg(ranked.alias("tokens"))
         .filter(F.size("tokens") >= MATCHES)
+        .withColumn("shared", F.aggregate("tokens", F.lit(0.0), lambda total, x: total + F.log(x["n"])))
         .withColumn("post", F.explode(F.slice("tokens", 1, F.size("tokens") - (MATCHES - 1))))
-        .select("post.token", "id", "n_shingles")
+        .select("post.token", "id", "n_shingles", "shared")
     )
 
 
 def star_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """Pair every document with one of its lists' leaders: the one that most lists name."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    """Pair every document with one of its lists' leaders: the one that most lists name.
+
+    A list is led by its most shared document, in later turns by any one (the least hash).
+    """
+    order = -F.round("shared", 6) if turn == 0 else F.xxhash64("id", F.lit(turn))
     lead = known.groupBy("token").agg(
         F.min_by(F.struct("id", "root"), F.struct(order, "id")).alias("lead")
     )
@@ -243,17 +251,23 @@ def star_pairs(known: DataFrame, turn: int) -> DataFrame:
 
 
 def cross_pairs(known: DataFrame, percent: int) -> DataFrame:
-    """Pair the documents of a list that are in different components and close in size."""
-    left = known.select("token", F.col("id").alias("a"), F.col("root").alias("x"),
-                        F.col("n_shingles").alias("m"))
-    right = known.select("token", F.col("id").alias("b"), F.col("root").alias("y"),
-                         F.col("n_shingles").alias("n"))
-    return (
-        left.join(right, "token")
-        .filter("a < b AND x <> y")
-        .filter(f"100 * least(m, n) >= {percent} * greatest(m, n)")
-        .select("a", "b")
-        .distinct()
+    """Pair the documents of a list that are in different components and close in size.
+
+    A pair that meets in several lists is kept at the first of them and skipped in the others.
+    """
+    lists = known.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    known = known.join(lists, "id")
+    left, right = (
+        known.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n_shingles", "tokens")])
+        for side in ("a", "b")
+    )
+    first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == left["token"]
+    close = F.expr(
+        f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
+    )
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
+    return left.join(right, (left["token"] == right["token"]) & apart & close & first).select(
+        F.col("id_a").alias("a"), F.col("id_b").alias("b")
     )
 
 
