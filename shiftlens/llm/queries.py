@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftlens.llm import (
     coordinate_join,
     mtree,
+    ngram_trie,
     repetition,
     source_mixing,
     suffix_dedup,
@@ -22,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_elias_fano_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Score every document by the language model of those not held out."""
+    return ngram_trie.score_texts(table(spark, folder, "documents"))
+
+
 def op2_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
     """Group near-duplicate documents."""
     return coordinate_join.near_duplicates(table(spark, folder, "documents"))
@@ -59,6 +65,7 @@ def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_elias_fano_trie": op1_elias_fano_trie,
     "op2_coordinate_join": op2_coordinate_join,
     "op3_mtree_search": op3_mtree_search,
     "op4_toxicity_cnn": op4_toxicity_cnn,
