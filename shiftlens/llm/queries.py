@@ -10,6 +10,7 @@ from shiftlens.llm import (
     coordinate_join,
     mtree,
     ngram_trie,
+    quality_bayes,
     repetition,
     source_mixing,
     suffix_dedup,
@@ -64,6 +65,11 @@ def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, folder, "documents"))
 
 
+def op10_site_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge the quality of every document by its own evidence and its site's."""
+    return quality_bayes.site_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_elias_fano_trie": op1_elias_fano_trie,
     "op2_coordinate_join": op2_coordinate_join,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_golden_schedule": op6_golden_schedule,
     "op7_deep_shallow": op7_deep_shallow,
     "op9_repetition_coverage": op9_repetition_coverage,
+    "op10_site_bayes": op10_site_bayes,
 }
 ORACLES: dict[str, str] = {
     "op2_coordinate_join": coordinate_join.SQL,
