@@ -12,6 +12,7 @@ from shiftlens.llm import (
     ngram_trie,
     quality_bayes,
     repetition,
+    retrieval_packing,
     source_mixing,
     suffix_dedup,
     toxicity_cnn,
@@ -60,6 +61,11 @@ def op7_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op8_bm25_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pack all documents into sequences with their lexical neighbours."""
+    return retrieval_packing.pack_documents(table(spark, folder, "documents"))
+
+
 def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Measure and judge repetition in every document."""
     return repetition.repetition_coverage(table(spark, folder, "documents"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_automaton": op5_url_automaton,
     "op6_golden_schedule": op6_golden_schedule,
     "op7_deep_shallow": op7_deep_shallow,
+    "op8_bm25_packing": op8_bm25_packing,
     "op9_repetition_coverage": op9_repetition_coverage,
     "op10_site_bayes": op10_site_bayes,
 }
