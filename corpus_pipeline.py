@@ -1,14 +1,93 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences of tokens out.
+
+``STAGES`` run in this order. Every stage but the last takes and returns the columns of documents;
+each is written before the next one reads it. Rows are told apart by doc_id; a stage that
+removes or repeats rows does so on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shiftlens.llm import (
+    coordinate_join,
+    retrieval_packing,
+    source_mixing,
+    suffix_dedup,
+    toxicity_cnn,
+)
+from shiftlens.session import materialize
+
+#: A word and the white space after it; white space ahead of the first word.
+PIECES = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the toxicity classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity_cnn.fit_model(docs, labels)
+    scored = toxicity_cnn.score_toxicity(docs, model)
+    return scored.filter("NOT tox_rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates, and all without an id."""
+    kept = coordinate_join.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.filter("doc_id IS NULL").unionByName(docs.join(kept.dropna(), "doc_id", "left_semi"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated 400-byte strings from the texts; a document of nothing else stays, empty."""
+    return suffix_dedup.cut_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or cut documents so that sources come to their target words.
+
+    A document taken t times its words comes t times; a part comes as that many words from its
+    beginning, with the white space between them. One that is not taken goes.
+    """
+    mix = source_mixing.mix_sources(docs).docs
+    taken = mix.select("doc_id", "source", "size", "taken").dropDuplicates(["doc_id", "source", "size"])
+    size = F.coalesce(F.regexp_count("text", F.lit(source_mixing.WORD)), F.lit(0)).cast("long")
+    sized = docs.withColumn("mix_size", size)
+    whole = F.floor(F.col("taken") / F.col("mix_size"))
+    part = F.col("taken") % F.col("mix_size")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)), 1, part.cast("int")), "")
+    copies = F.concat(
+        F.array_repeat(F.col("text"), whole.cast("int")), F.when(part > 0, F.array(head)).otherwise(F.array())
+    )
+    known = taken.select("taken", F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
+    joined = sized.join(known, same & (F.col("mix_size") == F.col("n")))
+    out = joined.filter("taken > 0").withColumn("text", F.explode(copies))
+    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of tokens."""
+    return retrieval_packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated strings", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Learned scores decide in the first stage, so SQL cannot say the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply all stages to the documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = materialize(docs)
     return docs

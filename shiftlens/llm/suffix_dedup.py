@@ -351,44 +351,71 @@ def kept_runs(size: int, spans: list | None) -> tuple[list[tuple[int, int]], int
     return runs, removed, count
 
 
+def _prepared(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
+    """Add uid, the text without null as ``body``, and spans to the docs."""
+    if window < 2 * ANCHOR:
+        raise ValueError(f"window must be at least {2 * ANCHOR} bytes")
+    body = F.coalesce(F.col(text), F.lit(""))
+    source = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(key), body).alias("uid"),
+                         body.alias("text"))
+    return with_spans(source, window)
+
+
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400, texts: bool = False
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400
 ) -> DataFrame:
     """Remove every byte that a ``window``-byte string covers which starts elsewhere as well.
 
-    Per row of ``docs``: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of
-    the bytes left, end to end), and kept_text if ``texts`` (characters cut in two are left out).
-    Matches never cross documents; all are judged on the input. A null text is empty; a text
-    under ``window`` bytes keeps all. Repeated rows are copies of each other, so they lose all
-    that windows cover. Null keys are kept as they are. Any number of equal strings is handled:
-    equal segments are counted, not listed, and a hash with very many different segments
-    (``spark.shiftlens.hotSegments``) is compared window by window.
+    Per row of ``docs``: key, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256
+    (of the bytes left, end to end). Matches never cross documents; all are judged on the input.
+    A null text is empty; a text under ``window`` bytes keeps all. Repeated rows are copies of
+    each other, so they lose all that windows cover. Null keys are kept as they are. Any number
+    of equal strings is handled: equal segments are counted, not listed, and a hash with very
+    many different segments (``spark.shiftlens.hotSegments``) is compared window by window.
     """
-    if window < 2 * ANCHOR:
-        raise ValueError(f"window must be at least {2 * ANCHOR} bytes")
-    source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    source = source.withColumn("uid", F.xxhash64("key", "text"))
+    rows = _prepared(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key", "body", window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = []
             data = batch.column("text").cast(pa.binary()).to_pylist()
             for body, spans in zip(data, batch.column("spans").to_pylist(), strict=True):
                 runs, removed, count = kept_runs(len(body), spans)
-                left = b"".join(body[a:b] for a, b in runs) if removed else body
-                rows.append((len(body), removed, count, hashlib.sha256(left).hexdigest(),
-                             left.decode("utf-8", "ignore") if texts else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [*[pa.int64()] * 3, pa.string(), pa.string()]
+                left = b"".join(body[a:b] for a, b in runs)
+                out.append((len(body), removed, count, hashlib.sha256(left).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [*[pa.int64()] * 3, pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                [batch.column("key"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names
             )
 
-    key_type = source.schema["key"].dataType.simpleString()
-    out = with_spans(source, window).select("key", "text", "spans").mapInArrow(
-        finish, f"key {key_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "kept_text string",
-    )
-    out = out.withColumnRenamed("key", key)
-    return out if texts else out.drop("kept_text")
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    schema = f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return rows.select("row.key", "text", "spans").mapInArrow(finish, schema).withColumnRenamed("key", key)
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400) -> DataFrame:
+    """Return ``docs`` with the bytes that ``remove_repeats`` removes cut out of the texts.
+
+    All columns stay; ``n_chars``, if there is one, follows the text. Of a character that is cut
+    in two nothing is left. A null text comes back empty.
+    """
+    rows = _prepared(docs, key, text, window)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            data = batch.column("text").cast(pa.binary()).to_pylist()
+            for body, spans in zip(data, batch.column("spans").to_pylist(), strict=True):
+                runs = kept_runs(len(body), spans)[0]
+                out.append(b"".join(body[a:b] for a, b in runs).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(out, pa.string())], names=["row", "kept"]
+            )
+
+    kind = rows.schema["row"].dataType.simpleString()
+    done = rows.select("row", "text", "spans").mapInArrow(cut, f"row {kind}, kept string")
+    columns = {text: F.col("kept")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
