@@ -24,8 +24,8 @@ from shiftlens.llm.texts import U64, WordHashes, chunks, mix, texts_of
 from shiftlens.session import materialize
 
 WIDTH = 5
-#: At a similarity of 0.85, fewer matches than these have a chance of about 3e-6.
-COORDINATES, MATCHES = 48, 28
+#: At a similarity of 0.85, fewer matches than these have a chance of 4e-6.
+COORDINATES, MATCHES = 112, 77
 #: Rounds in which every document meets one other, before all that is left meets.
 STAR_ROUNDS = 2
 #: A list of ids up to this long is broadcast (16 bytes each).
@@ -209,25 +209,23 @@ def prefix_postings(reps: DataFrame) -> DataFrame:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32)
-            coded = marks.reshape(-1, COORDINATES).astype(np.int64) * 64 + np.arange(COORDINATES)
-            repeated = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), COORDINATES))  # noqa: E731, B023
+            coded = marks.reshape(-1, COORDINATES).astype(np.int64) * 128 + np.arange(COORDINATES)
+            ids = np.repeat(batch.column("id").to_numpy(), COORDINATES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(coded.ravel()), repeated("id"), repeated("n_shingles")],
-                names=["token", "id", "n_shingles"],
+                [pa.array(coded.ravel()), pa.array(ids)], names=["token", "id"]
             )
 
-    posted = reps.select("id", "n_shingles", "signature").mapInArrow(
-        tokens, "token long, id long, n_shingles long"
-    )
+    posted = reps.select("id", "signature").mapInArrow(tokens, "token long, id long")
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     ranked = F.array_sort(F.collect_list(F.struct("n", "token")))
     return (
         posted.join(shared, "token")
-        .groupBy("id", "n_shingles")
+        .groupBy("id")
         .agg(ranked.alias("tokens"))
         .filter(F.size("tokens") >= MATCHES)
         .withColumn("shared", F.aggregate("tokens", F.lit(0.0), lambda total, x: total + F.log(x["n"])))
         .withColumn("post", F.explode(F.slice("tokens", 1, F.size("tokens") - (MATCHES - 1))))
+        .join(reps.select("id", "n_shingles"), "id")
         .select("post.token", "id", "n_shingles", "shared")
     )
 
