@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 OPTION_PATTERN = r"(?i)final answer\s*:\s*([A-Za-z0-9]+)"
 LABELLED_PATTERN = r"(?id)(?:final answer|answer)\s*:\s*(.+)"
 DISPLAY_PATTERN = r"(?s)\\\[(.*?)\\\]"
-BOXED_PATTERN = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 NUMERIC_PATTERN = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+|\d+/\d+|\\d?frac\{[+-]?\d+\}\{[+-]?\d+\})$"
 MAX_ANSWER_CHARS = 200
-# Reduced fractions are computed in DECIMAL(38); longer ones are left ambiguous.
+# Fractions are reduced in DECIMAL(38); longer ones keep their digits as they are.
 MAX_FRACTION_DIGITS = 32
 STEPS_PER_DIGIT = 5
 
@@ -49,6 +48,16 @@ def _big(text: Column) -> Column:
     )
 
 
+def _too_long(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^0-9]", "")) > MAX_FRACTION_DIGITS
+
+
+def _unreduced(num: Column, den: Column) -> Column:
+    """Render a fraction too long to reduce by its digits; null for a zero denominator."""
+    top, bottom = (_integer_text(F.regexp_replace(x, r"\s", "")) for x in (num, den))
+    return F.when(bottom != "0", F.concat(top, F.lit("/"), bottom))
+
+
 def _integer_text(text: Column) -> Column:
     digits = F.regexp_replace(text, r"^[+-]?0*", "")
     sign = F.when(text.startswith("-"), "-").otherwise("")
@@ -130,6 +139,7 @@ def _canonical(value: Column) -> Column:
         return (
             F.when(v["shape"] == "integer", _integer_text(bare))
             .when(v["shape"] == "text", F.lower(strip(F.regexp_replace(text, r"\s+", " "))))
+            .when(_too_long(top) | _too_long(bottom), _unreduced(top, bottom))
             .otherwise(reduced_fraction(_big(top), _big(bottom)))
         )
 
@@ -155,19 +165,43 @@ def normalize_answer(value: Column) -> Column:
     return F.when(value.rlike(PLAIN_INTEGER), value).otherwise(full)
 
 
-def boxed_answers(text: Column) -> Column:
-    """Return the contents of all balanced boxes, boxes inside boxes included."""
-    outer = F.regexp_extract_all(text, F.lit(BOXED_PATTERN), 1)
+def _balanced_start(tail: Column) -> Column:
+    """Return what stands before the brace that closes a box opened just ahead, else null."""
+    pieces = F.split(tail, r"\}")
+    start = F.struct(
+        F.lit(1).alias("depth"), F.lit(0).alias("length"), F.lit(-1).alias("end")
+    )
 
-    def deeper(found: Column) -> Column:
-        nested = F.filter(found, lambda t: F.contains(t, F.lit(r"\boxed{")))
-        inner = F.transform(nested, lambda t: F.regexp_extract_all(t, F.lit(BOXED_PATTERN), 1))
-        return F.flatten(inner)
+    def step(state: Column, piece: Column) -> Column:
+        size = F.length(piece)
+        depth = state["depth"] + size - F.length(F.replace(piece, F.lit("{"), F.lit(""))) - 1
+        length = state["length"] + size
+        closed = (state["end"] < 0) & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            (length + 1).alias("length"),
+            F.when(closed, length).otherwise(state["end"]).alias("end"),
+        )
+
+    # The last piece ends without a brace.
+    end = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda s: s["end"])
+    return let(end, lambda n: F.when(n >= 0, F.substring(tail, F.lit(1), n)))
 
-    return let(
-        outer,
-        lambda a: F.concat(a, let(deeper(a), lambda b: F.concat(b, let(deeper(b), lambda c: c)))),
-    )
+
+def boxed_answers(text: Column) -> Column:
+    """Return the contents of all balanced boxes, boxes inside boxes included, at any depth."""
+    marker = F.lit(r"\boxed{")
+    parts = F.split(text, r"\\boxed\{")
+
+    def contents(p: Column) -> Column:
+        tails = F.transform(
+            F.sequence(F.lit(2), F.size(p)),
+            lambda i: F.array_join(F.slice(p, i, F.size(p)), r"\boxed{"),
+        )
+        return F.array_compact(F.transform(tails, _balanced_start))
+
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(text, marker), let(parts, contents)).otherwise(none)
 
 
 def _display_answer(text: Column) -> Column:
@@ -202,8 +236,13 @@ def extract_final_answer(text: Column) -> Column:
 
 
 def grade_normalized(predicted: Column, gold: Column) -> Column:
-    """Grade two normalised answers; unequal non-numeric answers stay in review."""
-    number = r"^-?\d+(?:/\d+)?$"
+    """Grade two normalised answers.
+
+    Unequal numbers are incorrect, and so are two different names. Fractions too long to reduce
+    may be equal though their digits differ: like other texts they stay in review.
+    """
+    number = rf"^-?(?:\d+|\d{{1,{MAX_FRACTION_DIGITS}}}/\d{{1,{MAX_FRACTION_DIGITS + 1}}})$"
+    name = r"^[a-z]+$"
     same = (predicted == gold) | (
         F.regexp_replace(predicted, r"\s+", "") == F.regexp_replace(gold, r"\s+", "")
     )
@@ -211,6 +250,7 @@ def grade_normalized(predicted: Column, gold: Column) -> Column:
         F.when(predicted.isNull() | gold.isNull(), "review")
         .when(same, "correct")
         .when(predicted.rlike(number) & gold.rlike(number), "incorrect")
+        .when(predicted.rlike(name) & gold.rlike(name), "incorrect")
         .otherwise("review")
     )
 

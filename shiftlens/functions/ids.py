@@ -23,8 +23,12 @@ def hash_order(seed: int | str | Column, key: Column | str) -> Column:
 
 
 def hash_draw(seed: int | Column, replicate: Column, slot: Column, size: Column) -> Column:
-    """Draw an index in ``[0, size)`` from the hash of (seed, replicate, slot)."""
+    """Draw an index in ``[0, size)`` from the hash of (seed, replicate, slot).
+
+    60 bits of the hash are used, so every slot of any table can be drawn, and a table of 1e9
+    slots draws each alike to within 1e-9.
+    """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     text = F.concat_ws("|", *[c.cast("string") for c in (seed, replicate, slot)])
-    word = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+    word = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
     return F.pmod(word, size)

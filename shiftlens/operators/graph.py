@@ -16,10 +16,13 @@ def path_counts(
 
     Parallel edges are merged into a multiplicity first. A step joins the edges with one
     frontier row per node and adds up per target, so its size is bounded by the edge table.
+    The merged edges are written once for all steps. Counts beyond 38 digits fail the query.
     """
     if steps < 0:
         raise ValueError("steps must not be negative")
     merged = edges.groupBy("src", "dst").agg(F.count("*").alias("_m"))
+    if steps > 1:
+        merged = materialize(merged)
     frontier = edges.sparkSession.range(1).select(
         F.lit(source).alias("node"), F.lit(1).cast("decimal(38,0)").alias("walks")
     )

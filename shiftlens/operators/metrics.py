@@ -20,10 +20,18 @@ _WIDE = "decimal(19,0)"
 def score_counts(
     scores: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label"
 ) -> DataFrame:
-    """Count positives and negatives per distinct score; non-finite scores fail the query."""
+    """Count positives and negatives per distinct score.
+
+    Scores that are not finite and labels other than 0 and 1 fail the query.
+    """
     value = F.col(score)
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(math.inf))
-    checked = F.when(~finite, F.raise_error(F.lit("scores must be finite"))).otherwise(value)
+    binary = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
+    checked = (
+        F.when(~finite, F.raise_error(F.lit("scores must be finite")))
+        .when(~binary, F.raise_error(F.lit("labels must be 0 or 1")))
+        .otherwise(value)
+    )
     return (
         scores.withColumn("_score", checked)
         .groupBy(*by, F.col("_score").alias("score"))

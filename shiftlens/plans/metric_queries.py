@@ -13,7 +13,7 @@ from shiftlens.plans.text_queries import _PAYLOADS, judged
 from shiftlens.plans.views import Views
 
 SAMPLES = 1000
-METRIC_SAMPLES = 200
+METRIC_SAMPLES = 1000
 
 
 def _curve_sql(source: str, by: str) -> str:
@@ -221,7 +221,7 @@ def _draws(groups: str, samples: int, seed: str) -> str:
     return f"""
 clusters_n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('cluster|' || question_id)) - 1
     AS slot, count(*) OVER () AS g FROM {groups}),
-draws_n AS (SELECT r.r AS replicate, ('0x' || substr(sha256('{seed}|' || r.r || '|' || slot), 1, 8))
+draws_n AS (SELECT r.r AS replicate, ('0x' || substr(sha256('{seed}|' || r.r || '|' || slot), 1, 15))
     ::BIGINT % g AS slot FROM clusters_n, range({samples}) r(r))"""
 
 
@@ -357,7 +357,7 @@ WITH c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mechanism
   FROM (SELECT question_id, 'm' || (substr(question_id, 2)::BIGINT // 64) % 2 AS mechanism,
     t_hits, t_rows, c_hits, c_rows FROM {_EFFECT_GROUPS})),
 d AS (SELECT mechanism, r.r AS replicate, ('0x' || substr(sha256((21 + length(mechanism)) || '|'
-    || r.r || '|' || slot), 1, 8))::BIGINT % g AS slot FROM c, range({SAMPLES}) r(r)),
+    || r.r || '|' || slot), 1, 15))::BIGINT % g AS slot FROM c, range({SAMPLES}) r(r)),
 vals AS (SELECT mechanism, list_sort(list(e)) AS l FROM (SELECT mechanism, replicate,
   sum(t_hits) / sum(t_rows)::DOUBLE - sum(c_hits) / sum(c_rows)::DOUBLE AS e
   FROM d JOIN c USING (mechanism, slot) GROUP BY ALL) GROUP BY mechanism)

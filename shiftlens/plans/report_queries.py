@@ -596,13 +596,8 @@ def w10(v: Views) -> DataFrame:
 
 # ---- gates -------------------------------------------------------------------------------
 
-GATE_SAMPLES = 200
-
-
 def _gate_spec(name: str) -> gates.GateSpec:
-    return replace(
-        gates.GATES[name], bootstrap_samples=GATE_SAMPLES, patterns=("k1",)
-    )
+    return replace(gates.GATES[name], patterns=("k1",))
 
 
 def _gate_inputs(v: Views, name: str) -> tuple[DataFrame, DataFrame]:
@@ -672,7 +667,7 @@ clusters AS (SELECT *, row_number() OVER (ORDER BY sha256('cluster|' || question
     count(*) OVER () AS g
   FROM (SELECT question_id, {pieces} FROM counted GROUP BY question_id)
   WHERE t_rows > 0 OR c_rows > 0),
-draws AS (SELECT r.r, ('0x' || substr(sha256('{spec.bootstrap_seed}|' || r.r || '|' || slot), 1, 8))
+draws AS (SELECT r.r, ('0x' || substr(sha256('{spec.bootstrap_seed}|' || r.r || '|' || slot), 1, 15))
     ::BIGINT % g AS slot FROM clusters, range({spec.bootstrap_samples}) r(r)),
 reps AS (SELECT r, sum(t_hits)::BIGINT AS t_hits, sum(t_rows)::BIGINT AS t_rows,
     sum(c_hits)::BIGINT AS c_hits, sum(c_rows)::BIGINT AS c_rows

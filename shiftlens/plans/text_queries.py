@@ -63,17 +63,34 @@ def s4(v: Views) -> DataFrame:
     return rows.groupBy(verdict).agg(F.count("*").alias("n"))
 
 
+_EXTRACTED = """
+SELECT l_orderkey, l_linenumber, CASE l_orderkey % 10
+    WHEN 0 THEN l_partkey::VARCHAR WHEN 2 THEN l_partkey::VARCHAR
+    WHEN 3 THEN l_partkey::VARCHAR
+    WHEN 1 THEN frac WHEN 5 THEN frac
+    WHEN 6 THEN (CASE WHEN den6 = 1 THEN (num6 // gcd(num6, den6))::VARCHAR
+      WHEN den6 // gcd(num6, den6) = 1 THEN (num6 // gcd(num6, den6))::VARCHAR
+      ELSE (num6 // gcd(num6, den6)) || '/' || (den6 // gcd(num6, den6)) END)
+    WHEN 7 THEN 'maybe ' || l_partkey % 97 END AS answer
+FROM (SELECT *, l_partkey % 97 AS a, l_suppkey % 13 AS b,
+    CASE WHEN l_suppkey % 13 = 0 THEN NULL
+      WHEN (l_suppkey % 13) // gcd(l_partkey % 97, l_suppkey % 13) = 1
+      THEN ((l_partkey % 97) // gcd(l_partkey % 97, l_suppkey % 13))::VARCHAR
+      ELSE ((l_partkey % 97) // gcd(l_partkey % 97, l_suppkey % 13)) || '/'
+        || ((l_suppkey % 13) // gcd(l_partkey % 97, l_suppkey % 13)) END AS frac,
+    (l_partkey % 97 || '' || l_suppkey % 13 || '0')::BIGINT AS num6,
+    (10 ** (length(l_suppkey % 13 || '') + 1))::BIGINT AS den6
+  FROM answer_texts)"""
+
+
 @query(
     "s5_hard_answerable",
-    """
-SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS gold_answer
-FROM answer_texts WHERE l_linenumber IN (4, 5) AND l_orderkey % 10 IN (0, 2, 3)
-UNION ALL
-SELECT l_orderkey, l_linenumber, 'maybe ' || l_partkey % 97 || '' FROM answer_texts
-WHERE l_linenumber IN (4, 5) AND l_orderkey % 10 = 7""",
+    f"""
+SELECT l_orderkey, l_linenumber, answer AS gold_answer FROM ({_EXTRACTED})
+WHERE l_linenumber IN (4, 5) AND answer IS NOT NULL""",
 )
 def s5(v: Views) -> DataFrame:
-    rows = v.answer_texts.filter((F.col("l_orderkey") % 10).isin(0, 2, 3, 4, 7, 9)).select(
+    rows = v.answer_texts.select(
         "*", F.concat(F.lit("Level "), F.col("l_linenumber").cast("string")).alias("level")
     )
     return tables.hard_answerable(rows, solution="text").select(
@@ -165,26 +182,6 @@ def p4(v: Views) -> DataFrame:
     )
 
 
-_EXTRACTED = """
-SELECT l_orderkey, l_linenumber, CASE l_orderkey % 10
-    WHEN 0 THEN l_partkey::VARCHAR WHEN 2 THEN l_partkey::VARCHAR
-    WHEN 3 THEN l_partkey::VARCHAR
-    WHEN 1 THEN frac WHEN 5 THEN frac
-    WHEN 6 THEN (CASE WHEN den6 = 1 THEN (num6 // gcd(num6, den6))::VARCHAR
-      WHEN den6 // gcd(num6, den6) = 1 THEN (num6 // gcd(num6, den6))::VARCHAR
-      ELSE (num6 // gcd(num6, den6)) || '/' || (den6 // gcd(num6, den6)) END)
-    WHEN 7 THEN 'maybe ' || l_partkey % 97 END AS answer
-FROM (SELECT *, l_partkey % 97 AS a, l_suppkey % 13 AS b,
-    CASE WHEN l_suppkey % 13 = 0 THEN NULL
-      WHEN (l_suppkey % 13) // gcd(l_partkey % 97, l_suppkey % 13) = 1
-      THEN ((l_partkey % 97) // gcd(l_partkey % 97, l_suppkey % 13))::VARCHAR
-      ELSE ((l_partkey % 97) // gcd(l_partkey % 97, l_suppkey % 13)) || '/'
-        || ((l_suppkey % 13) // gcd(l_partkey % 97, l_suppkey % 13)) END AS frac,
-    (l_partkey % 97 || '' || l_suppkey % 13 || '0')::BIGINT AS num6,
-    (10 ** (length(l_suppkey % 13 || '') + 1))::BIGINT AS den6
-  FROM answer_texts)"""
-
-
 @query("p5_extract_final_answer", _EXTRACTED)
 def p5(v: Views) -> DataFrame:
     return v.answer_texts.select(
@@ -458,12 +455,10 @@ def p15(v: Views) -> DataFrame:
     """
 SELECT doc_id, n::BIGINT AS correct_token_count, n::BIGINT AS corrupted_token_count,
   CASE WHEN n > 0 THEN doc_id % n END AS changed_token_start,
-  CASE WHEN doc_id % 2 = 0 OR n = 1 THEN 1 ELSE 2 END::BIGINT AS changed_token_count,
+  CASE WHEN doc_id % 2 = 0 OR doc_id % n = n - 1 THEN 1 ELSE 2 END::BIGINT AS changed_token_count,
   TRUE AS equal_token_length,
-  doc_id % 2 = 0 OR n = 1 OR doc_id % n < n - 1 AND n < 3 OR doc_id % n = n - 2
-    AS single_contiguous_changed_span
-FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)
-WHERE doc_id % 2 = 0 OR doc_id % n <> n - 1""",
+  doc_id % 2 = 0 OR doc_id % n >= n - 2 AS single_contiguous_changed_span
+FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)""",
 )
 def p16(v: Views) -> DataFrame:
     docs = v.table("documents").select("doc_id", F.split("text", " ").alias("left"))
@@ -479,7 +474,6 @@ def p16(v: Views) -> DataFrame:
     )
     audit = text.token_pair_audit(F.col("left"), F.col("right"))
     rows = docs.withColumn("right", changed)
-    rows = rows.filter((F.col("doc_id") % 2 == 0) | (place != size - 1))
     return rows.select("doc_id", F.inline(F.array(audit)))
 
 

@@ -253,8 +253,8 @@ class Views:
     def edges(self) -> DataFrame:
         """Part and supplier nodes linked both ways by line items."""
         rows = self.table("lineitem").select(
-            F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("p"),
-            F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("s"),
+            F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"),
+            F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"),
         ).distinct()
         both = F.array(F.struct(F.col("p").alias("src"), F.col("s").alias("dst")),
                        F.struct(F.col("s").alias("src"), F.col("p").alias("dst")))
@@ -424,9 +424,9 @@ SELECT 'c' || conv_id AS example_id,
 FROM (SELECT *, '{"causal_error_probability": ' || printf('0.%02d', (conv_id * 7 + turn * 13) % 100)
     || ', "rationale": "' || role || ' ' || length(text) || '"' AS body FROM conversations)""",
     "edges": """
-SELECT DISTINCT 'p' || l_partkey % 50 AS src, 's' || l_suppkey % 20 AS dst FROM lineitem
+SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem
 UNION ALL
-SELECT DISTINCT 's' || l_suppkey % 20 AS src, 'p' || l_partkey % 50 AS dst FROM lineitem""",
+SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem""",
 }
 
 

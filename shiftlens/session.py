@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,14 @@ def build_session(app: str = "shiftlens", master: str | None = None, **conf: str
 def checkpoint_folder(spark: SparkSession) -> str:
     """Return the shared folder of ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the session names none: the single-machine test case.
+    A temporary folder is used only where the session names none and runs on one machine;
+    executors of a cluster would each write to a disk of their own, so there it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shiftlens-checkpoint-"))
     return context.getCheckpointDir()
 

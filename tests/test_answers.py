@@ -148,3 +148,26 @@ def test_status(frame):
     assert [r[0] for r in df.orderBy("i").select(status).collect()] == [
         "clean_stop", "parse_invalid", "length_truncated", "malformed",
     ]
+
+
+def test_boxes_at_any_depth_and_long_fractions(frame):
+    long = "1" * 34 + "/" + "7" * 33
+    cases = [
+        (r"\boxed{x}\boxed{{{{{y}}}}}", None),
+        (r"\boxed{a{b{c{d{e}}}}}", "a{b{c{d{e}}}}"),
+        (r"\boxed{" + "{" * 40 + "3" + "}" * 40 + "}", "{" * 40 + "3" + "}" * 40),
+        (r"\boxed{1 \boxed{2", None),
+        (r"\boxed{" + long + "}", long),
+    ]
+    rows = frame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.a for r in rows.select("i", answers.extract_final_answer(F.col("t")).alias("a")).collect()}
+    assert [got[i] for i in range(5)] == [w for _, w in cases]
+
+
+def test_grades_of_long_fractions_and_names(frame):
+    a, b = "1" * 34 + "/" + "7" * 33, "1" * 34 + "/" + "7" * 34
+    pairs = [(a, a, "correct"), (a, b, "review"), ("b", "a", "incorrect"), ("1" * 50, "2" * 50, "incorrect"),
+             ("x + 1", "a", "review"), (a, "1/2", "review")]
+    rows = frame([(i, p, g) for i, (p, g, _) in enumerate(pairs)], "i int, p string, g string")
+    got = {r.i: r.v for r in rows.select("i", answers.grade(F.col("p"), F.col("g")).alias("v")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [w for *_, w in pairs]

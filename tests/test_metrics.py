@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shiftlens.functions.ids import hash_draw
 from shiftlens.operators import bootstrap, metrics, ranking, sampling
+from shiftlens.operators.metrics import score_counts
+from shiftlens.session import checkpoint_folder
 
 
 def scored(frame, pairs):
@@ -232,3 +235,34 @@ def test_exact_binomial(frame):
     for row, (low, high) in zip(rows, want, strict=True):
         assert row.low == pytest.approx(low, abs=1e-5)
         assert row.high == pytest.approx(high, abs=1e-5)
+
+
+def test_draws_reach_slots_beyond_32_bits(spark):
+    size = 1 << 40
+    slots = spark.range(2000).select(
+        hash_draw(3, F.lit(0), F.col("id"), F.lit(size).cast("long")).alias("slot")
+    )
+    low, high, mean = slots.agg(F.min("slot"), F.max("slot"), F.avg("slot")).first()
+    assert 0 <= low and high > 1 << 39 and abs(mean / size - 0.5) < 0.05
+
+
+def test_labels_outside_both_classes_fail(frame):
+    rows = frame([(0.5, 1), (0.4, 0), (0.3, 7)], "score double, label int")
+    for bad in (rows, rows.withColumn("label", F.when(F.col("label") < 7, F.col("label")))):
+        with pytest.raises(Exception, match="labels must be 0 or 1"):
+            score_counts(bad, []).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(Session())
