@@ -27,6 +27,7 @@ from shiftlens.operators.ranking import first_k, rank_by_hash
 from shiftlens.operators.sampling import group_folds, permute_labels
 from shiftlens.schema import (
     CLEAN,
+    CLEAN_STOP,
     CORRECT_CONTINUATION,
     CORRUPTED_CONTINUATION,
     SHIFT_ARMS,
@@ -102,18 +103,27 @@ def loo_answer_shift(
     """Score focal rows by how much more often siblings of the corrupted arm give their answer.
 
     The shift is the answer's frequency in the corrupted arm minus the larger of its frequencies
-    in the clean and the correct arm, the focal row left out; the score maps it to [0, 1]. Rows
-    with an empty cell get a null score and ``reject_reason`` (an error with ``strict``).
-    ``siblings`` uses exactly the first so many siblings of each arm by rollout id; ``keep``
+    in the clean and the correct arm, the focal row left out; the score maps it to [0, 1]. Every
+    focal row comes back: one without an answer, one that did not stop cleanly (where focal has a
+    status) and one with an empty cell get null scores and a ``reject_reason`` (an error with
+    ``strict``, as are focal ids that occur twice). ``siblings`` uses exactly the first so many siblings of each arm by rollout id; ``keep``
     names focal columns to carry along.
     """
+    refused = F.when(F.col("parsed_answer").isNull(), "no_answer")
+    if "status" in focal.columns:
+        clean = F.coalesce(F.col("status") == CLEAN_STOP, F.lit(False))
+        refused = refused.when(~clean, "not_scorable")
+    if strict and not focal.groupBy("rollout_id").count().filter("count > 1").isEmpty():
+        raise ValueError("focal rollout ids must be unique")
+    focal = focal.withColumn("_refused", refused)
+    asked, keep = keep, [*keep, "_refused"]
     if siblings is not None:
         out = _truncated_shift(focal, rollouts, siblings, keep)
     else:
         # The siblings are read once; cells and arm sizes come from their counts.
         counts = settle(answer_counts(rollouts))
         cells = shift_cells(counts).withColumn("_arm", F.coalesce("arm", F.lit("")))
-        keyed = focal.filter(F.col("parsed_answer").isNotNull()).select(
+        keyed = focal.select(
             "rollout_id",
             "question_id",
             F.col("parsed_answer").alias("focal_answer"),
@@ -151,12 +161,22 @@ def loo_answer_shift(
             *keep,
         )
     failed = ~F.coalesce(F.col("complete"), F.lit(False))
-    reason = F.when(failed, "cell_empty" if siblings is None else "too_few_siblings")
+    reason = F.coalesce(
+        "_refused", F.when(failed, "cell_empty" if siblings is None else "too_few_siblings")
+    )
     if strict:
-        reason = F.when(
-            failed, F.raise_error(F.concat(F.lit("empty answer-shift cell: "), "rollout_id"))
-        )
-    return out.withColumn("reject_reason", reason.cast("string")).drop("complete")
+        told = {
+            "cell_empty": "empty answer-shift cell: ", "too_few_siblings": "empty answer-shift cell: ",
+            "no_answer": "focal row without an answer: ", "not_scorable": "focal row did not stop cleanly: ",
+        }
+        text = F.create_map(*[F.lit(x) for pair in told.items() for x in pair])[reason]
+        reason = F.when(reason.isNotNull(), F.raise_error(F.concat(text, "rollout_id")))
+    measured = ("clean_frequency", "correct_state_frequency", "corrupted_state_frequency", "raw_shift", "score")
+    return out.select(
+        "rollout_id", "question_id", "focal_answer",
+        *[F.when(F.col("_refused").isNull(), F.col(c)).alias(c) for c in measured],
+        *asked, reason.cast("string").alias("reject_reason"),
+    )
 
 
 def complete_questions(counts: DataFrame) -> DataFrame:
@@ -212,7 +232,7 @@ def _truncated_shift(
             F.struct("condition", "sibling", "rollout_id", "parsed_answer")
         ).alias("_kept")
     )
-    keyed = focal.filter(F.col("parsed_answer").isNotNull()).select(
+    keyed = focal.select(
         "rollout_id", "question_id", F.col("parsed_answer").alias("focal_answer"), *keep
     )
     joined = attach(keyed, lists, ["question_id"], "left", row_id="rollout_id")

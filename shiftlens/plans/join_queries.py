@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.digests import canonical_digest, canonical_json
-from shiftlens.operators import aggregates, gates, graph, interventions, joins, quality
+from shiftlens.operators import aggregates, gates, graph, interventions, joins, monitors, quality
 from shiftlens.operators.monitors import groups_crossing, leaky_split
 from shiftlens.operators.sampling import balanced_select
 from shiftlens.plans.registry import query
@@ -182,6 +182,32 @@ def j6(v: Views) -> DataFrame:
     return v.shifts.drop("reject_reason")
 
 
+@query(
+    "j6_all_focal_rows",
+    """
+WITH counted AS (
+  SELECT f.rollout_id, f.question_id, f.parsed_answer, f.status,
+    count(s.rollout_id) FILTER (s.condition = 'clean') AS n1,
+    count(s.rollout_id) FILTER (s.condition = 'correct_continuation') AS n2,
+    count(s.rollout_id) FILTER (s.condition = 'corrupted_continuation') AS n3,
+    count(*) FILTER (s.condition = 'clean' AND s.parsed_answer = f.parsed_answer) AS h1,
+    count(*) FILTER (s.condition = 'correct_continuation' AND s.parsed_answer = f.parsed_answer) AS h2,
+    count(*) FILTER (s.condition = 'corrupted_continuation' AND s.parsed_answer = f.parsed_answer) AS h3
+  FROM rollouts f LEFT JOIN siblings s
+    ON s.question_id = f.question_id AND s.rollout_id <> f.rollout_id GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN parsed_answer IS NULL THEN 'no_answer'
+  WHEN status <> 'clean_stop' THEN 'not_scorable' WHEN least(n1, n2, n3) = 0 THEN 'cell_empty' END
+  AS reject_reason FROM counted)
+SELECT rollout_id, question_id, parsed_answer AS focal_answer, reject_reason,
+  CASE WHEN reject_reason IS NULL THEN (h3 / n3::DOUBLE - greatest(h1 / n1::DOUBLE, h2 / n2::DOUBLE)
+    + 1.0::DOUBLE) / 2.0::DOUBLE END AS score FROM judged""",
+)
+def j6_all(v: Views) -> DataFrame:
+    # Every rollout is a focal row here, those that cannot be scored included.
+    rows = monitors.loo_answer_shift(v.rollouts, v.rollouts)
+    return rows.select("rollout_id", "question_id", "focal_answer", "reject_reason", "score")
+
+
 @query(
     "j7_label_join",
     """

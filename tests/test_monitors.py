@@ -312,3 +312,22 @@ def test_judge_attempts(frame):
     got = {r.example_id: r for r in monitors.judge_attempts(df).collect()}
     assert (got["e"].score, got["e"].attempts) == (0.5, 3)
     assert got["f"].error == "attempt 1: not_json"
+
+
+def test_focal_rows_that_cannot_be_scored_come_back(frame):
+    rows = [
+        ("c1", "clean", "A", "clean_stop"), ("c2", "clean", "B", "clean_stop"),
+        ("k1", "correct_continuation", "B", "clean_stop"), ("x1", "corrupted_continuation", "A", "clean_stop"),
+        ("t1", "clean", "A", "length_truncated"), ("n1", "clean", None, "clean_stop"),
+    ]
+    schema = "rollout_id string, question_id string, condition string, parsed_answer string, status string"
+    rollouts = frame([(i, "q", c, a, s) for i, c, a, s in rows], schema)
+    got = {r.rollout_id: r for r in monitors.loo_answer_shift(rollouts, rollouts).collect()}
+    assert len(got) == len(rows)
+    reasons = {k: r.reject_reason for k, r in got.items()}
+    assert reasons == {"c1": None, "c2": None, "k1": "cell_empty", "x1": "cell_empty", "t1": "not_scorable", "n1": "no_answer"}
+    assert got["t1"].score is None and got["t1"].clean_frequency is None and got["c1"].clean_frequency == 0.0
+    with pytest.raises(Exception, match="without an answer|did not stop cleanly|empty"):
+        monitors.loo_answer_shift(rollouts, rollouts, strict=True).collect()
+    with pytest.raises(ValueError, match="unique"):
+        monitors.loo_answer_shift(rollouts.unionByName(rollouts), rollouts, strict=True)
