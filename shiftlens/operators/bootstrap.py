@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_draw
-from shiftlens.operators.joins import attach
+from shiftlens.operators.joins import attach, lookup_join
 from shiftlens.operators.metrics import evaluate_counts, score_counts
-from shiftlens.operators.ranking import rank_by_hash, split_points
+from shiftlens.operators.ranking import exact_quantiles, rank_by_hash, split_points
 from shiftlens.session import materialize
 
 INDEX_SEED = "cluster"
@@ -120,11 +120,20 @@ def interval(
     method: str = "order",
     low: float = 0.025,
     high: float = 0.975,
+    few: bool = False,
 ) -> DataFrame:
-    """Return the interval of replicate values by order statistic or linear quantile.
+    """Return the interval of values by order statistic or linear quantile.
 
-    There is one value per replicate, so a group's list is as short as the replicate count.
+    Groups of any size are ranked in bounded pieces. ``few`` says that a group has no more
+    values than a bootstrap has replicates, which are then sorted as one short list.
     """
+    if not few:
+        sizes = values.groupBy(*by).agg(F.count(value).alias("successful_samples"))
+        edges = exact_quantiles(
+            values.filter(F.col(value).isNotNull()), by, value, {"low": low, "high": high},
+            interpolate=method == "linear",
+        ).drop("n")
+        return lookup_join(sizes, edges, by, "left") if by else sizes.join(F.broadcast(edges), how="left")
     if method == "linear":
         edges = [
             F.percentile(value, p).alias(n) for n, p in (("low", low), ("high", high))
@@ -184,7 +193,7 @@ def cluster_bootstrap_effect(
     )
     usable = sums.filter((F.col("t_rows") > 0) & (F.col("c_rows") > 0))
     effect = F.col("t_hits") / F.col("t_rows") - F.col("c_hits") / F.col("c_rows")
-    return interval(usable.select(*by, effect.alias("effect")), "effect", by)
+    return interval(usable.select(*by, effect.alias("effect")), "effect", by, few=True)
 
 
 def cluster_bootstrap_accuracy(
@@ -203,7 +212,7 @@ def cluster_bootstrap_accuracy(
         clusters, [], "question_id", ["hits", "rows"], samples=samples, seed=seed, method=method
     )
     usable = sums.filter(F.col("rows") > 0)
-    return interval(usable.select((F.col("hits") / F.col("rows")).alias("accuracy")), "accuracy")
+    return interval(usable.select((F.col("hits") / F.col("rows")).alias("accuracy")), "accuracy", few=True)
 
 
 def replicate_counts(
@@ -284,7 +293,7 @@ def cluster_bootstrap_metrics(
     counts = materialize(score_counts(scores, [*by, group]))
     rows = replicate_metrics(counts, by, group=group, samples=samples, seed=seed)
     long = _long(rows.filter("available"), by)
-    return interval(long, "value", [*by, "metric"]).withColumn(
+    return interval(long, "value", [*by, "metric"], few=True).withColumn(
         "requested_samples", F.lit(samples).cast("long")
     )
 
@@ -312,6 +321,6 @@ def paired_bootstrap_difference(
     counts = materialize(score_counts(pair, ["component", group]))
     point = evaluate_counts(_merged(counts, ["component"]), ["component"])
     rows = replicate_metrics(counts, ["component"], group=group, samples=samples, seed=seed)
-    edges = interval(difference(rows, ["replicate"]), "value", ["metric"], method="linear")
+    edges = interval(difference(rows, ["replicate"]), "value", ["metric"], method="linear", few=True)
     observed = difference(point, []).select("metric", F.col("value").alias("point"))
     return observed.join(edges, "metric", "left")

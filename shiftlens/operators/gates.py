@@ -491,7 +491,7 @@ def _interval_measures(cells: DataFrame, spec: GateSpec) -> DataFrame:
         seed=spec.bootstrap_seed,
     ).filter((F.col("a_rows") > 0) & (F.col("b_rows") > 0))
     value = F.col("a_hits") / F.col("a_rows") - F.col("b_hits") / F.col("b_rows")
-    edges = interval(sums.select(value.alias("value")), "value")
+    edges = interval(sums.select(value.alias("value")), "value", few=True)
     return edges.select(F.col("low").alias("interval_low"), F.col("high").alias("interval_high"))
 
 

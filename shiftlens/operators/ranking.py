@@ -251,10 +251,12 @@ def exact_quantiles(
     *,
     points: Sequence | None = None,
     weight: str | None = None,
+    interpolate: bool = True,
 ) -> DataFrame:
-    """Return exact linearly interpolated quantiles of each group, from value counts.
+    """Return exact quantiles of each group, from value counts.
 
-    ``weight`` names a column saying how many rows each input row stands for.
+    They are linearly interpolated, or else the value at the place rounded down. ``weight``
+    names a column saying how many rows each input row stands for.
     """
     by = list(by)
     rows = F.sum(weight) if weight else F.count("*")
@@ -271,6 +273,7 @@ def exact_quantiles(
     for name, p in probabilities.items():
         place = F.lit(p) * (F.col("_n") - 1)
         low, high = F.col(f"_l_{name}"), F.col(f"_u_{name}")
-        results.append((low + (high - low) * (place - F.floor(place))).alias(name))
+        between = low + (high - low) * (place - F.floor(place))
+        results.append((between if interpolate else low).alias(name))
     return found.select(*by, F.col("_n").alias("n"), *results)
 
