@@ -241,6 +241,7 @@ def validation_operating_point(
 
 def _binomial_udf(tail: float) -> Callable[..., Column]:
     """Build the interval function; it is self-contained, so executors need no extra package."""
+    MOST_STEPS = 10_000_000  # noqa: N806 - about the root of the number of trials is needed
 
     def beta_tail(a: float, b: float, x: float) -> float:
         # Regularised incomplete beta function by its continued fraction.
@@ -251,7 +252,7 @@ def _binomial_udf(tail: float) -> Callable[..., Column]:
         log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
         front = math.exp(log_front + a * math.log(x) + b * math.log1p(-x)) / a
         total, c, d = 1.0, 1.0, 0.0
-        for i in range(400):
+        for i in range(MOST_STEPS):
             m = i // 2
             if i == 0:
                 step = 1.0
@@ -263,8 +264,8 @@ def _binomial_udf(tail: float) -> Callable[..., Column]:
             c = (1.0 + step / c) or 1e-300
             total *= c * d
             if abs(1.0 - c * d) < 1e-15:
-                break
-        return front * (total - 1.0)
+                return front * (total - 1.0)
+        raise ArithmeticError(f"the beta function of {a}, {b} at {x} does not settle")
 
     def beta_quantile(a: float, b: float, p: float) -> float:
         low, high = 0.0, 1.0

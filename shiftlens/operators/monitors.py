@@ -533,7 +533,7 @@ def length_monitor(train: DataFrame, length: str = "character_count", label: str
     checked = train.withColumn(
         length,
         F.when(
-            F.col(length) < 0, F.raise_error(F.lit("reasoning lengths must be non-negative"))
+            F.col(length) < 0, F.raise_error(F.lit("a text length is below zero"))
         ).otherwise(F.col(length)),
     )
     assemble = VectorAssembler(inputCols=[length], outputCol="features")

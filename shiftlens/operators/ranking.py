@@ -156,13 +156,17 @@ def rank_by_hash(
     """Rank rows 1..n within each group by the hash of (seed, key).
 
     The leading ``digits`` hex digits are the bucket, so one group spreads over 16**digits tasks;
-    by default a plan too small to be worth it is sorted directly.
+    by default there are enough of them for ``rowsPerBucket``, and a plan too small to be worth
+    it is sorted directly.
     """
     staged = df.withColumn("_h", hash_order(seed, key))
     if digits == 0 or (digits is None and is_small(df)):
         window = Window.partitionBy(*by).orderBy("_h", key)
         return staged.withColumn(rank, F.row_number().over(window).cast("long")).drop("_h")
-    digits = digits or 2
+    if digits is None:
+        rows, digits = staged.count(), 1
+        while rows > setting(df, "rowsPerBucket") << (4 * digits):
+            digits += 1
     ranked = _bucketed_rank(
         staged, list(by), F.substring("_h", 1, digits), [F.col("_h"), F.col(key)], rank
     )

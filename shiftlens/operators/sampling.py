@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,10 +98,10 @@ def grouped_split(
     key: str = "question_id",
 ) -> DataFrame:
     """Assign whole groups to train, validation and test with exact sizes."""
-    if len(fractions) != 3 or any(f < 0 for f in fractions):
-        raise ValueError("fractions must contain three non-negative values")
-    if abs(sum(fractions) - 1.0) > 1e-9:
-        raise ValueError("fractions must sum to one")
+    shares = dict(zip(("train", "validation", "test"), fractions, strict=True))
+    below = [name for name, share in shares.items() if share < 0]
+    if below or not math.isclose(sum(fractions), 1.0, abs_tol=1e-9):
+        raise ValueError(f"cannot split all groups into shares of {shares}")
     groups = ids.select(key).distinct()
     ranked = rank_by_hash(groups, [], key, seed)
     total = groups.agg(F.count("*").alias("_n"))
@@ -125,7 +126,8 @@ def partition_assign(
     """Split each family into qualification and confirmatory, then train/validation/test.
 
     ``allocations`` maps a family to its (train, validation, test) counts; together they must
-    use up the family's confirmatory questions.
+    use up the family's confirmatory questions: one too small fails the query, one too large is
+    an error at once.
     """
     first = rank_by_hash(
         questions.select(key, family), [family], key, f"partition|{partition_seed}", rank="_p"
@@ -141,6 +143,11 @@ def partition_assign(
         [(name, a, a + b, a + b + c) for name, (a, b, c) in allocations.items()],
         f"{family} string, _a long, _b long, _c long",
     )
+    sizes = questions.groupBy(family).agg(F.count("*").alias("_n"))
+    left = F.greatest(F.coalesce("_n", F.lit(0)) - qualification, F.lit(0))
+    unused = table.join(sizes, family, "left").filter(F.col("_c") > left).select(family)
+    if names := [r[0] for r in unused.collect()]:  # a row per allocation at most
+        raise ValueError(f"allocations are not used up: {', '.join(sorted(names))}")
     split = (
         F.when(F.col("_s") <= F.col("_a"), "train")
         .when(F.col("_s") <= F.col("_b"), "validation")

@@ -266,3 +266,14 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_folder(Session())
+
+
+def test_an_allocation_must_be_used_up(frame):
+    rows = frame([(f"q{i}", "a") for i in range(10)], "question_id string, family string")
+    fixed = {"qualification": 4, "partition_seed": 1, "split_seed": 2}
+    out = sampling.partition_assign(rows, allocations={"a": (3, 2, 1)}, **fixed)
+    assert out.filter("split = 'test'").count() == 1
+    with pytest.raises(ValueError, match="not used up: a"):
+        sampling.partition_assign(rows, allocations={"a": (3, 2, 2)}, **fixed)
+    with pytest.raises(Exception, match="allocation too small"):
+        sampling.partition_assign(rows, allocations={"a": (3, 1, 1)}, **fixed).collect()
