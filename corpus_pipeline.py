@@ -49,7 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     beginning, with the white space between them. One that is not taken goes.
     """
     mix = source_mixing.mix_sources(docs).docs
-    taken = mix.select("doc_id", "source", "size", "taken").dropDuplicates(["doc_id", "source", "size"])
+    # Rows alike in all three (repeated rows) get the most that one of them is taken.
+    taken = mix.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
     size = F.coalesce(F.regexp_count("text", F.lit(source_mixing.WORD)), F.lit(0)).cast("long")
     sized = docs.withColumn("mix_size", size)
     whole = F.floor(F.col("taken") / F.col("mix_size"))
