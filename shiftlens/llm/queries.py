@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shiftlens.llm import (
     coordinate_join,
@@ -68,7 +69,9 @@ def op8_bm25_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Measure and judge repetition in every document."""
-    return repetition.repetition_coverage(table(spark, folder, "documents"))
+    judged = repetition.repetition_coverage(table(spark, folder, "documents"))
+    chars = [F.col("ngram_chars")[i].alias(f"chars_{n}") for i, n in enumerate(sorted(repetition.LIMITS))]
+    return judged.select("*", *chars).drop("ngram_chars")
 
 
 def op10_site_bayes(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op3_mtree_search": mtree.SQL,
     "op5_url_automaton": url_automaton.SQL,
     "op6_golden_schedule": source_mixing.SQL,
+    "op9_repetition_coverage": repetition.sql(),
 }

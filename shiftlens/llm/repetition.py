@@ -147,3 +147,52 @@ def repetition_coverage(
 
     schema = f"`{key}` {key_type}, {FIELDS}, worst string, base_failed boolean, kept boolean"
     return source.mapInArrow(judge, schema)
+
+
+def sql() -> str:
+    """Return SQL over documents that gives the rows of ``repetition_coverage``, one column a length."""
+    grams, covers, sums = [], [], []
+    for n in sorted({*LIMITS, BASE_WIDTH}):
+        ahead = f"OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+        grams.append(f"CASE WHEN i + {n - 1} <= size THEN string_agg(word, ' ') {ahead} END AS g{n}")
+        covers.append(
+            f"max(CASE WHEN d{n} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i "
+            f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}"
+        )
+        sums.append(f"coalesce(sum(length(word)) FILTER (c{n} = 1), 0)::BIGINT AS chars{n}")
+    doubles = ", ".join(
+        f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 AS d{n}"
+        for n in sorted({*LIMITS, BASE_WIDTH})
+    )
+    tests = " ".join(
+        f"WHEN coalesce(chars{n}, 0) > {LIMITS[n]}::DOUBLE * greatest(word_chars, 1) THEN 'ngram_{n}'"
+        for n in sorted(LIMITS)
+    )
+    chars = ", ".join(f"coalesce(chars{n}, 0) AS chars_{n}" for n in sorted(LIMITS))
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM texts),
+words AS (SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+grams AS (SELECT doc_id, i, word, {", ".join(grams)} FROM words),
+doubled AS (SELECT doc_id, i, word, {doubles} FROM grams),
+covered AS (SELECT doc_id, word, {", ".join(covers)} FROM doubled),
+sums AS (SELECT doc_id, sum(c{BASE_WIDTH})::BIGINT AS n_repeat_words, {", ".join(sums)}
+  FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM texts)),
+again AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS turn FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT doc_id, count(*) AS n_dup_lines,
+  sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS dup_line_chars
+  FROM again WHERE turn > 1 GROUP BY doc_id),
+measured AS (SELECT doc_id, len(w)::BIGINT AS n_words, word_chars, n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(dup_line_chars, 0) AS dup_line_chars, {chars},
+  CASE {tests} WHEN coalesce(dup_line_chars, 0) > {LINE_LIMIT}::DOUBLE * greatest(word_chars, 1) THEN 'lines'
+    WHEN n_symbols > {SYMBOL_LIMIT}::DOUBLE * len(w) THEN 'symbols' END AS worst
+  FROM split LEFT JOIN sums USING (doc_id) LEFT JOIN dups USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND worst IS NULL AS kept FROM measured
+"""
