@@ -49,22 +49,31 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     beginning, with the white space between them. One that is not taken goes.
     """
     mix = source_mixing.mix_sources(docs).docs
-    # Rows alike in all three (repeated rows) get the most that one of them is taken.
-    taken = mix.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    # Rows alike in key, source and size (repeated rows) get the most that one of them is taken.
+    takes = mix.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("mix_taken"))
+    takes = takes.select(
+        "mix_taken", F.col("doc_id").alias("mix_k"), F.col("source").alias("mix_s"), F.col("size").alias("mix_n")
+    )
+    # The row travels as one column, so that names of its columns cannot clash.
     size = F.coalesce(F.regexp_count("text", F.lit(source_mixing.WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn("mix_size", size)
-    whole = F.floor(F.col("taken") / F.col("mix_size"))
-    part = F.col("taken") % F.col("mix_size")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)), 1, part.cast("int")), "")
+    sized = docs.select(
+        F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").alias("mix_id"),
+        F.col("source").cast("string").alias("mix_source"), size.alias("mix_size"),
+    )
+    same = F.col("mix_id").eqNullSafe(F.col("mix_k")) & F.col("mix_source").eqNullSafe(F.col("mix_s"))
+    joined = sized.join(takes, same & (F.col("mix_size") == F.col("mix_n"))).filter("mix_taken > 0")
+    text = F.col("mix_row.text")
+    whole = F.floor(F.col("mix_taken") / F.col("mix_size"))
+    part = F.col("mix_taken") % F.col("mix_size")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), 1, part.cast("int")), "")
     copies = F.concat(
-        F.array_repeat(F.col("text"), whole.cast("int")), F.when(part > 0, F.array(head)).otherwise(F.array())
+        F.array_repeat(text, whole.cast("int")), F.when(part > 0, F.array(head)).otherwise(F.array())
     )
-    known = taken.select("taken", F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("n"))
-    same = F.col("doc_id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
-    joined = sized.join(known, same & (F.col("mix_size") == F.col("n")))
-    out = joined.filter("taken > 0").withColumn("text", F.explode(copies))
-    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    out = joined.withColumn("mix_text", F.explode(copies))
+    columns = {"text": F.col("mix_text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length("mix_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns.get(c, F.col(f"mix_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
