@@ -21,6 +21,8 @@ from shiftlens.session import materialize
 
 #: A word and the white space after it; white space ahead of the first word.
 PIECES = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+#: Words of the shortest passage that must not repeat across documents.
+REPEATED_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated 400-byte strings from the texts; a document of nothing else stays, empty."""
-    return suffix_dedup.cut_repeats(docs)
+    """Remove repeated strings of over 50 words, or of 400 bytes, from the texts.
+
+    A document of nothing else stays, empty.
+    """
+    return suffix_dedup.cut_repeats(docs, words=REPEATED_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,11 +8,15 @@ hash are sorted, from the anchor onwards and backwards, by deep-shallow suffix s
 quicksort to a shallow depth, then blind tries for the groups that still agree. Common prefixes
 along the two sorted orders give, for each window, the class of its part right and left of the
 anchor; a window whose two classes meet again elsewhere is repeated.
+
+Windows may also be counted in words. Then a text is the sequence of 64-bit hashes of its words, an
+anchor is half a window of words, and all else is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.texts import U64, chunks, flat_bytes, mix
+from shiftlens.llm.texts import U64, WordHashes, chunks, flat_bytes, mix, texts_of
 from shiftlens.session import materialize
 
 #: Bytes hashed for an anchor, at most half of a window.
@@ -32,6 +36,9 @@ SEGMENTS_TOGETHER, HOT_SEGMENTS = 10_000, 50_000
 SHALLOW = 32
 #: Groups up to this size are ordered by a blind trie; it is built in passes of this many.
 TRIE_GROUP = 2_000
+#: Bytes of a word's hash.
+WORD_BYTES = 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -46,10 +53,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of any byte range of one array, from one running sum."""
+    """Hashes of any range of one array of bytes or words, from one running sum."""
 
     def __init__(self, data: np.ndarray) -> None:
-        scaled = _codes[data] * _powers(INVERSE, len(data))
+        codes = _codes[data] if data.dtype == np.uint8 else mix(data) | U64(1)
+        scaled = codes * _powers(INVERSE, len(data))
         self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(scaled, dtype=U64)])
         self.scale = _powers(FACTOR, len(data) + 1)
 
@@ -69,20 +77,22 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, at: np.ndarray, window: int) -> dict[str, np.ndarray]:
-    """Find the anchors of all windows of several texts laid end to end.
+def anchors(
+    data: np.ndarray, at: np.ndarray, window: int, size: int = ANCHOR
+) -> dict[str, np.ndarray]:
+    """Find the anchors, of ``size``, of all windows of several texts laid end to end.
 
-    Returns text, hash, segment (a hash of the segment's bytes), at (of the anchor in its text),
-    low and high: the anchor's windows begin low .. high bytes ahead of it.
+    Returns text, hash, segment (a hash of the segment's contents), at (of the anchor in its text),
+    low and high: the anchor's windows begin low .. high bytes (or words) ahead of it.
     """
     none = {k: np.zeros(0, np.int64) for k in ("text", "hash", "segment", "at", "low", "high")}
     if len(data) < window:
         return none
     hashed = RangeHash(data)
-    grams = np.arange(len(data) - ANCHOR + 1)
-    key = hashed(grams, grams + ANCHOR)
+    grams = np.arange(len(data) - size + 1)
+    key = hashed(grams, grams + size)
     # Equal high halves: the leftmost wins, which is the same choice in equal windows.
-    least = window_minima((key & U64(0xFFFFFFFF00000000)) | grams.astype(U64), window - ANCHOR + 1)
+    least = window_minima((key & U64(0xFFFFFFFF00000000)) | grams.astype(U64), window - size + 1)
     anchor = (least & U64(0xFFFFFFFF)).astype(np.int64)
     text = np.searchsorted(at, np.arange(len(anchor)), side="right") - 1
     inside = np.arange(len(anchor)) + window <= at[text + 1]
@@ -99,12 +109,23 @@ def anchors(data: np.ndarray, at: np.ndarray, window: int) -> dict[str, np.ndarr
     }
 
 
-def anchor_table(docs: DataFrame, window: int) -> DataFrame:
+def flat_words(column: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Return the hashes of all words of a text column, and where each text starts and ends."""
+    words = [hashes(text.split()) for text in texts_of(column)]
+    return np.concatenate([*words, np.zeros(0, U64)]), np.cumsum([0, *map(len, words)])
+
+
+def anchor_table(docs: DataFrame, window: int, words: bool = False) -> DataFrame:
     """Return the anchors of all texts: (uid, hash, segment, at, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in chunks(batches):
-            found = anchors(*flat_bytes(batch.column("text")), window)
+            column = batch.column("text")
+            if words:
+                found = anchors(*flat_words(column, hashes), window, window // 2)
+            else:
+                found = anchors(*flat_bytes(column), window)
             uid = batch.column("uid").take(pa.array(found.pop("text")))
             columns = [pa.array(found[k]) for k in ("hash", "segment")]
             columns += [pa.array(found[k].astype(np.int32)) for k in ("at", "low", "high")]
@@ -208,12 +229,13 @@ def prefix_classes(table: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np
 
 def repeated_windows(
     left: np.ndarray, right: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray,
-    twice: np.ndarray, window: int,
+    twice: np.ndarray, window: int, unit: int = 1,
 ) -> list[tuple[int, int, int]]:
     """Return (row, from, to): windows beginning from .. to bytes ahead of the anchor repeat.
 
     ``left`` holds the bytes before each anchor, nearest first, ``right`` those from it on; rows
-    of ``twice`` stand for segments that occur more than once.
+    of ``twice`` stand for segments that occur more than once. ``unit`` is the bytes of what low,
+    high and window count.
     """
     orders = [prefix_classes(left, group), prefix_classes(right, group)]
     marks = np.zeros((len(group), int(high.max()) + 2), bool)
@@ -224,7 +246,7 @@ def repeated_windows(
         classes = []
         for (order, common), depth in zip(orders, (ahead, window - ahead), strict=True):
             label = np.empty(len(order), np.int64)
-            label[order] = np.cumsum(common < depth)
+            label[order] = np.cumsum(common < depth * unit)
             classes.append(label[rows])
         both = classes[0] * (len(group) + 1) + classes[1]
         _, which, count = np.unique(both, return_inverse=True, return_counts=True)
@@ -236,19 +258,20 @@ def repeated_windows(
     return list(zip(row.tolist(), start.tolist(), (stop - 1).tolist(), strict=True))
 
 
-def sort_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Compare the segments of one shard: (uid, start, stop) of the bytes that repeat."""
+def sort_shard(frame: pd.DataFrame, window: int, unit: int = 1) -> pd.DataFrame:
+    """Compare the segments of one shard: (uid, start, stop) of the bytes or words that repeat."""
     high, low = frame["high"].to_numpy(), frame["low"].to_numpy()
     n = len(frame)
-    left = np.zeros((n, max(1, int(high.max()))), np.uint8)
-    right = np.zeros((n, window), np.uint8)
+    left = np.zeros((n, max(1, int(high.max())), unit), np.uint8)
+    right = np.zeros((n, window, unit), np.uint8)
     for i, (piece, ahead) in enumerate(zip(frame["bytes"], high, strict=True)):
-        data = np.frombuffer(piece, np.uint8)
+        data = np.frombuffer(piece, np.uint8).reshape(-1, unit)
         left[i, :ahead] = data[:ahead][::-1]
         right[i, : min(window, len(data) - ahead)] = data[ahead : ahead + window]
     found = repeated_windows(
-        left, right, frame["hash"].to_numpy(), low, high, frame["n"].to_numpy() > 1, window
-    )
+        left.reshape(n, -1), right.reshape(n, -1), frame["hash"].to_numpy(), low, high,
+        frame["n"].to_numpy() > 1, window, unit,
+    )
     rows = np.array(found, np.int64).reshape(-1, 3)
     at = frame["at"].to_numpy()[rows[:, 0]]
     return pd.DataFrame({
@@ -257,9 +280,9 @@ def sort_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     })
 
 
-def with_spans(docs: DataFrame, window: int) -> DataFrame:
-    """Add to the docs (of uid, text) their sorted, merged spans of repeated bytes, or null."""
-    found = materialize(anchor_table(docs, window))
+def repeated_spans(docs: DataFrame, window: int, words: bool = False) -> DataFrame:
+    """Return (uid, spans): the sorted spans of repeated bytes, or words, of docs that have any."""
+    found = materialize(anchor_table(docs, window, words))
     segment = ["hash", "segment", "low", "high"]
     groups = (
         found.groupBy(*segment).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
@@ -282,19 +305,23 @@ def with_spans(docs: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut the wanted segments out of the texts, hot ones window by window."""
+        hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for uid, text, items in zip(
                 batch.column("uid").to_pylist(), texts, batch.column("wanted").to_pylist(), strict=True
             ):
+                if words:
+                    text = hashes(text.split()).tobytes()
                 for x in items:
                     at, low, high = x["at"], x["low"], x["high"]
                     if not x["hot"]:
-                        out.append((x["hash"], uid, at, low, high, x["n"], text[at - high : at - low + window], False))
+                        piece = text[(at - high) * unit : (at - low + window) * unit]
+                        out.append((x["hash"], uid, at, low, high, x["n"], piece, False))
                         continue
                     for ahead in range(low, high + 1):
-                        piece = text[at - ahead : at - ahead + window]
+                        piece = text[(at - ahead) * unit : (at - ahead + window) * unit]
                         name = hashlib.blake2b(piece, digest_size=16).digest()
                         key = int.from_bytes(name[:8], "little", signed=True)
                         out.append((key, uid, at, ahead, ahead, x["n"], name, True))
@@ -303,6 +330,7 @@ def with_spans(docs: DataFrame, window: int) -> DataFrame:
                 names=["hash", "uid", "at", "low", "high", "n", "bytes", "single"],
             )
 
+    unit = WORD_BYTES if words else 1
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.binary(), pa.bool_()]
     pieces = docs.select("uid", "text").join(wanted, "uid").mapInArrow(
         cut, "hash long, uid long, at int, low int, high int, n long, bytes binary, single boolean"
@@ -312,7 +340,7 @@ def with_spans(docs: DataFrame, window: int) -> DataFrame:
         pieces.filter("NOT single")
         .withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(lambda frame: sort_shard(frame, window), "uid long, start long, stop long")
+        .applyInPandas(lambda frame: sort_shard(frame, window, unit), "uid long, start long, stop long")
     )
     single = pieces.filter("single")
     again = single.groupBy("hash", "bytes").agg(F.sum("n").alias("all")).filter("all > 1")
@@ -320,12 +348,11 @@ def with_spans(docs: DataFrame, window: int) -> DataFrame:
         "uid", (F.col("at") - F.col("high")).cast("long").alias("start"),
         (F.col("at") - F.col("high") + window).cast("long").alias("stop"),
     )
-    spans = (
+    return (
         whole.select("uid", F.col("start").cast("long"), F.col("stop").cast("long"))
         .unionByName(sorted_).unionByName(singly)
         .groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     )
-    return docs.join(spans, "uid", "left")
 
 
 def hot_segments(docs: DataFrame) -> int:
@@ -351,14 +378,35 @@ def kept_runs(size: int, spans: list | None) -> tuple[list[tuple[int, int]], int
     return runs, removed, count
 
 
-def _prepared(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """Add uid, the text without null as ``body``, and spans to the docs."""
+def spans_in_bytes(body: bytes, spans: list | None, word_spans: list | None) -> list:
+    """Return the spans together, sorted, those of words as the bytes from first to last word."""
+    if not word_spans:
+        return spans or []
+    edges = [m.span() for m in WORD.finditer(body)]
+    merged: list[list[int]] = []
+    for span in word_spans:
+        if merged and span["start"] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], span["stop"])
+        else:
+            merged.append([span["start"], span["stop"]])
+    found = [{"start": edges[a][0], "stop": edges[b - 1][1]} for a, b in merged]
+    return sorted([*(spans or []), *found], key=lambda span: (span["start"], span["stop"]))
+
+
+def _prepared(docs: DataFrame, key: str, text: str, window: int, words: int | None = None) -> DataFrame:
+    """Add uid, the text without null as ``body``, spans and, with ``words``, word_spans to the docs."""
     if window < 2 * ANCHOR:
         raise ValueError(f"window must be at least {2 * ANCHOR} bytes")
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(key), body).alias("uid"),
                          body.alias("text"))
-    return with_spans(source, window)
+    rows = source.join(repeated_spans(source, window), "uid", "left")
+    if words is None:
+        return rows
+    if words < 2:
+        raise ValueError("words must be at least 2")
+    found = repeated_spans(source, words, words=True).withColumnRenamed("spans", "word_spans")
+    return rows.join(found, "uid", "left")
 
 
 def remove_repeats(
@@ -394,27 +442,34 @@ def remove_repeats(
     return rows.select("row.key", "text", "spans").mapInArrow(finish, schema).withColumnRenamed("key", key)
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400, words: int | None = None
+) -> DataFrame:
     """Return ``docs`` with the bytes that ``remove_repeats`` removes cut out of the texts.
 
-    All columns stay; ``n_chars``, if there is one, follows the text. Of a character that is cut
-    in two nothing is left. A null text comes back empty.
+    With ``words``, runs of that many words that start elsewhere as well are cut too, however few
+    bytes they have and whatever white space is between them. All columns stay; ``n_chars``, if
+    there is one, follows the text. Of a character that is cut in two nothing is left. A null text
+    comes back empty.
     """
-    rows = _prepared(docs, key, text, window)
+    rows = _prepared(docs, key, text, window, words)
+    if words is None:
+        rows = rows.withColumn("word_spans", F.lit(None).cast(rows.schema["spans"].dataType))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             data = batch.column("text").cast(pa.binary()).to_pylist()
-            for body, spans in zip(data, batch.column("spans").to_pylist(), strict=True):
-                runs = kept_runs(len(body), spans)[0]
+            found = (batch.column(c).to_pylist() for c in ("spans", "word_spans"))
+            for body, *spans in zip(data, *found, strict=True):
+                runs = kept_runs(len(body), spans_in_bytes(body, *spans))[0]
                 out.append(b"".join(body[a:b] for a, b in runs).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(out, pa.string())], names=["row", "kept"]
             )
 
     kind = rows.schema["row"].dataType.simpleString()
-    done = rows.select("row", "text", "spans").mapInArrow(cut, f"row {kind}, kept string")
+    done = rows.select("row", "text", "spans", "word_spans").mapInArrow(cut, f"row {kind}, kept string")
     columns = {text: F.col("kept")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)

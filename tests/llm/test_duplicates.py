@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from shiftlens.llm import coordinate_join, graph, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
@@ -127,6 +128,45 @@ def test_cut_texts_keep_all_columns(awkward, empty):
     assert suffix_dedup.cut_repeats(empty).count() == 0
 
 
+def repeated_words(rows, n):
+    """Return, per row, the words outside all runs of n words that a table of them holds twice."""
+    texts = [(k, (t or "").encode().split()) for k, t in rows]
+    seen: dict[tuple, int] = {}
+    for _, w in texts:
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] = seen.get(tuple(w[i : i + n]), 0) + 1
+    out = []
+    for k, w in texts:
+        hit = {i + j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(n)}
+        out.append((k, b" ".join(x for i, x in enumerate(w) if i not in hit).decode()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", ["50000", "2"])
+def test_stage_cuts_passages_of_over_50_words(spark, hot):
+    draw = random.Random(8)
+    prose = lambda n: [draw.choice("abcdefghij") + draw.choice(["", "e", "ou", "il"]) for _ in range(n)]
+    passages, rows = {n: prose(n) for n in (30, 50, 51, 52, 55, 60)}, []
+    for passage in passages.values():
+        assert len(" ".join(passage)) < 400
+        for _ in range(4):
+            at, text = draw.randrange(40), prose(80)
+            rows.append((len(rows), " ".join(text[:at] + passage + text[at:])))
+    rows.append((len(rows), " ".join(passages[55][:30] + passages[60])))
+    rows.append((len(rows), "\n".join(passages[52])))  # other white space
+    rows += [(len(rows), " ".join(prose(2000))), (-1, ""), (-2, " ".join(passages[50] + prose(9)))]
+    spark.conf.set("spark.shiftlens.hotSegments", hot)
+    try:
+        out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    finally:
+        spark.conf.unset("spark.shiftlens.hotSegments")
+    got = sorted((r.doc_id, " ".join(r.text.split())) for r in out)
+    assert got == repeated_words(rows, 51)
+    left = dict(got)
+    assert all(" ".join(passages[n]) not in t for t in left.values() for n in (51, 52, 55, 60))
+    assert " ".join(passages[50]) in left[4] and " ".join(passages[30]) in left[0]
+
+
 def test_suffix_order_is_that_of_bytes(monkeypatch):
     draw = np.random.default_rng(1)
     table = draw.integers(97, 99, (400, 70)).astype(np.uint8)
