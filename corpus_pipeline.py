@@ -21,6 +21,8 @@ from shiftlens.session import materialize
 
 #: A word and the white space after it; white space ahead of the first word.
 PIECES = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+#: Overlap of two documents' five-word shingles, in percent of their union, that links them.
+SIMILAR_PERCENT = 80
 #: Words of the shortest passage that must not repeat across documents.
 REPEATED_WORDS = 51
 
@@ -35,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, and all without an id."""
-    kept = coordinate_join.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = coordinate_join.near_duplicates(docs, percent=SIMILAR_PERCENT).filter("kept").select("doc_id").distinct()
     return docs.filter("doc_id IS NULL").unionByName(docs.join(kept.dropna(), "doc_id", "left_semi"))
 
 

@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 Documents are posted under the (coordinate, value) pairs of their signatures. A pair of documents
-over the threshold agrees in at least ``MATCHES`` of ``COORDINATES`` places, so it shares one of
-each side's rarest pairs (the prefix); values of passages that many documents hold are skipped,
+over the threshold agrees in at least ``least_matches`` of ``COORDINATES`` places, so it shares one
+of each side's rarest pairs (the prefix); values of passages that many documents hold are skipped,
 for they come last. Candidates that agree often enough are confirmed on their whole sets.
 
 Components need a spanning set of the links, not all of them: first every document meets one
@@ -12,6 +12,7 @@ documents of different components meet, each pair once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from shiftlens.llm.texts import U64, WordHashes, chunks, mix, texts_of
 from shiftlens.session import materialize
 
 WIDTH = 5
-#: At a similarity of 0.85, fewer matches than these have a chance of 4e-6.
-COORDINATES, MATCHES = 112, 77
+COORDINATES = 112
+#: The chance, at most, that a pair at the threshold has fewer matches than are asked for.
+MISSED = 1e-5
 #: Rounds in which every document meets one other, before all that is left meets.
 STAR_ROUNDS = 2
 #: A list of ids up to this long is broadcast (16 bytes each).
@@ -36,6 +38,22 @@ FACTORS = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U64(2) + U6
 SHIFTS = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def missed(percent: int, matches: int) -> float:
+    """Return the chance that a pair of this similarity agrees in fewer coordinates than that."""
+    p = percent / 100
+    return sum(math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k) for k in range(matches))
+
+
+def least_matches(percent: int) -> int:
+    """Return the most coordinates that may be asked for: 77 at 85 percent, 70 at 80.
+
+    At a similarity below 0.1 even one is too many for ``MISSED``, which is an error.
+    """
+    if not 0 < percent <= 100 or missed(percent, 1) >= MISSED:
+        raise ValueError(f"percent must be from 10 to 100, not {percent}")
+    return max(m for m in range(1, COORDINATES + 1) if missed(percent, m) < MISSED)
+
+
 def shingle_sets(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Return the sorted distinct shingle hashes of all texts, and where each text's begin."""
     sets, sizes = [], []
@@ -113,11 +131,12 @@ def whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
 
 def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Keep the pairs (a, b) that agree in enough coordinates and overlap enough as whole sets."""
+    least = least_matches(percent)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32) for c in ("x", "y"))
-            same = (x == y).reshape(-1, COORDINATES).sum(axis=1) >= MATCHES
+            same = (x == y).reshape(-1, COORDINATES).sum(axis=1) >= least
             yield batch.select(["a", "b"]).filter(pa.array(same))
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +179,7 @@ def near_duplicates(
         .agg(F.min(F.struct("id", "signature")).alias("rep"))
         .select("rep.*", *same_set)
     )
-    postings = materialize(prefix_postings(reps))
+    postings = materialize(prefix_postings(reps, percent))
     active = materialize(postings.select("id").distinct().join(reps, "id")
                          .select("id", "set_a", "n_shingles", "signature"))
     sets = materialize(whole_sets(docs, key, text, active))
@@ -195,16 +214,17 @@ def near_duplicates(
     )
 
 
-def prefix_postings(reps: DataFrame) -> DataFrame:
+def prefix_postings(reps: DataFrame, percent: int) -> DataFrame:
     """Return (token, id, n_shingles, shared): each document under the rarest of its shared tokens.
 
     ``shared`` is how much the document has in common with others: the logarithms of the
     frequencies of its tokens, summed up.
 
     Tokens of one document only meet nothing and are left out. Of m shared tokens, ordered from
-    rare to frequent alike for all, the first m - MATCHES + 1 are posted: two documents with
-    MATCHES tokens in common meet in one of them.
+    rare to frequent alike for all, the first m - least + 1 are posted (``least_matches``): two
+    documents with that many tokens in common meet in one of them.
     """
+    least = least_matches(percent)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +242,9 @@ def prefix_postings(reps: DataFrame) -> DataFrame:
         posted.join(shared, "token")
         .groupBy("id")
         .agg(ranked.alias("tokens"))
-        .filter(F.size("tokens") >= MATCHES)
+        .filter(F.size("tokens") >= least)
         .withColumn("shared", F.aggregate("tokens", F.lit(0.0), lambda total, x: total + F.log(x["n"])))
-        .withColumn("post", F.explode(F.slice("tokens", 1, F.size("tokens") - (MATCHES - 1))))
+        .withColumn("post", F.explode(F.slice("tokens", 1, F.size("tokens") - (least - 1))))
         .join(reps.select("id", "n_shingles"), "id")
         .select("post.token", "id", "n_shingles", "shared")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -63,6 +64,46 @@ def test_groups_match_all_pairs(spark, families):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked_groups(families)
 
 
+@pytest.mark.parametrize("percent", [100, 85, 80, 70, 50, 10])
+def test_matches_follow_the_similarity(percent):
+    least = coordinate_join.least_matches(percent)
+    assert coordinate_join.missed(percent, least) < coordinate_join.MISSED
+    assert least == 112 or coordinate_join.missed(percent, least + 1) >= coordinate_join.MISSED
+    assert percent != 85 or least == 77
+
+
+def test_no_matches_are_few_enough_for_a_tiny_similarity():
+    for percent in (9, 0, 101):
+        with pytest.raises(ValueError, match="percent"):
+            coordinate_join.least_matches(percent)
+
+
+def pairs_at(percent, n, words=900):
+    """Pairs of texts that share about so much of their shingles: one text ends differently."""
+    draw, rows = random.Random(percent), []
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    for k in range(n):
+        base = [word() for _ in range(words)]
+        other = math.floor((words - 4) * (100 - percent) / (100 + percent))  # of all shingles, on each side
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: words - other] + [word() for _ in range(other)]))]
+    return rows
+
+
+def test_pairs_at_a_low_threshold_are_found(spark):
+    rows = pairs_at(70, 40)
+    got = coordinate_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=70).collect()
+    want = linked_groups(rows, 70)
+    assert sum(not kept for _, _, kept in want.values()) == 40
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
+def test_stage_links_at_80_percent_and_op2_at_85(spark):
+    docs = spark.createDataFrame(pairs_at(82, 20), SCHEMA)
+    assert coordinate_join.near_duplicates(docs).filter("kept").count() == 40
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 40, 2))
+
+
 def test_groups_of_awkward_rows(awkward, empty):
     got = coordinate_join.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
