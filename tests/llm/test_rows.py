@@ -115,6 +115,22 @@ def test_toxicity_without_labels(spark, awkward):
         assert len(got) == awkward.count() and all(0 <= r.score <= 1 for r in got)
 
 
+def test_bounded_labels_decide_as_all_do(spark, monkeypatch):
+    """Scores are moved to the true rate of toxic rows; thresholds must be of the same scale."""
+    groups = {"qwertyu": (6000, 0.02), "zxcvbnm": (1500, 0.2), "plokmij": (50, 0.9)}
+    drawn = [w for w, (n, _) in groups.items() for _ in range(n)]
+    toxic = [int(k < n * share) for n, share in groups.values() for k in range(n)]
+    docs = spark.createDataFrame([(i, w, "en") for i, w in enumerate(drawn)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    asked = spark.createDataFrame([(k, w, "en") for k, w in enumerate(groups)], docs.schema)
+    for most_toxic, most_clean in ((3000, 9000), (3000, 700), (150, 700)):
+        monkeypatch.setattr(toxicity_cnn, "MOST_TOXIC", most_toxic)
+        monkeypatch.setattr(toxicity_cnn, "MOST_CLEAN", most_clean)
+        scored = toxicity_cnn.score_toxicity(asked, toxicity_cnn.fit_model(docs, labels))
+        # Of all rows, the best F1 takes the second group, a fifth of which is toxic.
+        assert {r.doc_id: r.tox_rejected for r in scored.collect()} == {0: False, 1: True, 2: True}
+
+
 def test_gradients_match_differences():
     draw = np.random.default_rng(1)
     codes = draw.integers(0, 1 << 63, 30, dtype=np.uint64)
