@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.llm import (
+    collocations,
     coordinate_join,
+    divergence_cube,
     mtree,
     ngram_trie,
     quality_bayes,
     repetition,
     retrieval_packing,
+    secret_layers,
     source_mixing,
     suffix_dedup,
     toxicity_cnn,
@@ -79,6 +82,21 @@ def op10_site_bayes(spark: SparkSession, folder: str) -> DataFrame:
     return quality_bayes.site_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_divergence_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """Hold the sources of each language against each other and against the language."""
+    return divergence_cube.source_divergence(table(spark, folder, "documents"))
+
+
+def op12_decoding_worklist(spark: SparkSession, folder: str) -> DataFrame:
+    """Find secrets in every document, through all layers of encoding."""
+    return secret_layers.digest_spans(secret_layers.secret_spans(table(spark, folder, "documents")))
+
+
+def op13_toivonen_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Mine the strongest phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_elias_fano_trie": op1_elias_fano_trie,
     "op2_coordinate_join": op2_coordinate_join,
@@ -90,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_packing": op8_bm25_packing,
     "op9_repetition_coverage": op9_repetition_coverage,
     "op10_site_bayes": op10_site_bayes,
+    "op11_divergence_cube": op11_divergence_cube,
+    "op12_decoding_worklist": op12_decoding_worklist,
+    "op13_toivonen_phrases": op13_toivonen_phrases,
 }
 ORACLES: dict[str, str] = {
     "op2_coordinate_join": coordinate_join.SQL,
@@ -97,4 +118,6 @@ ORACLES: dict[str, str] = {
     "op5_url_automaton": url_automaton.SQL,
     "op6_golden_schedule": source_mixing.SQL,
     "op9_repetition_coverage": repetition.sql(),
+    "op11_divergence_cube": divergence_cube.SQL,
+    "op13_toivonen_phrases": collocations.SQL,
 }
