@@ -22,7 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.llm.texts import U64, WordHashes, chunks, flat_bytes, mix
+from shiftlens.llm.suffix_dedup import RangeHash
+from shiftlens.llm.texts import U64, chunks, flat_bytes, mix
 from shiftlens.session import materialize
 
 #: Least occurrences of a phrase, and most words.
@@ -42,6 +43,9 @@ PIECE_BITS = 1 << 19
 #: Parts into which a language is cut when its best phrases are picked.
 SPREAD = 64
 
+#: UTF-8 bytes that a task counts at once.
+CHUNK_BYTES = 2 << 20
+
 PIECE, BLANK = 10, 32
 #: A-Z become lower case, what ends a piece becomes ``PIECE``, a tab a space.
 FOLD = np.array(
@@ -78,17 +82,20 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, text, np.cumsum(ends)[starts] + text
 
 
-class Hashes:
-    """64-bit hashes of phrases, those of a longer one made from its words'."""
+def hashed_ranges(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Return 64-bit hashes of words that lie in one array of bytes."""
+    return RangeHash(data)(starts, stops) if len(data) else np.zeros(len(starts), U64)
+
 
-    def __init__(self) -> None:
-        self.words = WordHashes(seed=13)
+def hashed_strings(column: pa.Array) -> np.ndarray:
+    """Return 64-bit hashes of whole strings."""
+    data, at = flat_bytes(column)
+    return hashed_ranges(data, at[:-1], at[1:])
 
-    def langs(self, langs: list[str]) -> np.ndarray:
-        return mix(self.words([lang.encode() for lang in langs]))
 
-    def extend(self, phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return mix(phrase * STEP + word)
+def extended(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Return the hashes of phrases made longer by a word."""
+    return mix(phrase * STEP + word)
 
 
 class PhraseMap(NamedTuple):
@@ -112,8 +119,7 @@ def count_phrases(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in chunks(batches):
+        for batch in chunks(batches, most_bytes=CHUNK_BYTES):
             names = batch.column("lang").to_pylist()
             number = {x: i for i, x in enumerate(dict.fromkeys(names))}
             words, text, piece = words_of(batch.column("text"))
@@ -123,10 +129,9 @@ def count_phrases(
             coded = words.dictionary_encode()
             width = len(coded.dictionary)
             ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            spelled = coded.dictionary.to_pylist()
             langs = pa.array(list(number), pa.string())
             string = coded.dictionary.cast(pa.binary()).cast(pa.string())
-            hashed = mix(hashes.words(spelled)[ids] + hashes.langs(list(number))[lang])
+            hashed = mix(hashed_strings(string)[ids] + mix(hashed_strings(langs))[lang])
 
             def table(keys, n, size, phrases):
                 return pa.RecordBatch.from_arrays(
@@ -167,24 +172,26 @@ def count_phrases(
                 n = np.bincount(inverse[new], minlength=len(keys))
                 some = np.flatnonzero(n)
                 yield table(owner_of[some], n[some], size, spelling.take(pa.array(some)))
-                part = hashes.extend(before, hashed[last])
+                part = extended(before, hashed[last])
                 at, code, owner = at[ahead], inverse, owner[ahead]
 
     counts = rows.mapInArrow(count, COUNTS)
     return counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def phrase_hashes(batch: pa.RecordBatch, hashes: Hashes) -> np.ndarray:
+def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
     """Return the hashes of phrases given as text."""
-    langs = hashes.langs(batch.column("lang").to_pylist())
-    split = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-    sizes = np.array([len(s) for s in split], np.int64)
-    words = mix(hashes.words([w for s in split for w in s]) + np.repeat(langs, sizes))
-    first = np.cumsum(sizes) - sizes
+    data, at = flat_bytes(batch.column("phrase"))
+    spaces = np.flatnonzero(data == BLANK)
+    starts, stops = np.sort(np.append(at[:-1], spaces + 1)), np.sort(np.append(at[1:], spaces))
+    first = np.searchsorted(starts, at[:-1])
+    sizes = np.diff(np.append(first, len(starts)))
+    langs = np.repeat(mix(hashed_strings(batch.column("lang"))), sizes)
+    words = mix(hashed_ranges(data, starts, stops) + langs)
     out = words[first]
     for i in range(1, int(sizes.max(initial=0))):
         longer = np.flatnonzero(sizes > i)
-        out[longer] = hashes.extend(out[longer], words[first[longer] + i])
+        out[longer] = extended(out[longer], words[first[longer] + i])
     return out
 
 
@@ -196,9 +203,8 @@ def phrase_map(phrases: DataFrame) -> PhraseMap:
         size *= 2
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            slot = np.unique(phrase_hashes(batch, hashes) & U64(size - 1)).astype(np.int64)
+            slot = np.unique(phrase_hashes(batch) & U64(size - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot // PIECE_BITS), pa.array((slot % PIECE_BITS).astype(np.int32))], names=["piece", "bit"]
             )
@@ -222,9 +228,8 @@ def missing(phrases: DataFrame, known: PhraseMap) -> DataFrame:
     """Return the phrases that a map does not have."""
 
     def absent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            yield batch.filter(pa.array(~known.has(phrase_hashes(batch, hashes))))
+            yield batch.filter(pa.array(~known.has(phrase_hashes(batch))))
 
     return phrases.select("lang", "phrase").mapInArrow(absent, "lang string, phrase string")
 

@@ -42,11 +42,13 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``CHUNK_BYTES`` of text."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about ``most_bytes`` of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(sizes, dtype=np.int64) - 1).clip(0) // CHUNK_BYTES
+        part = (np.cumsum(sizes, dtype=np.int64) - 1).clip(0) // most_bytes
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             if stop > start:
