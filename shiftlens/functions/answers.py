@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +14,11 @@ LABELLED_PATTERN = r"(?id)(?:final answer|answer)\s*:\s*(.+)"
 DISPLAY_PATTERN = r"(?s)\\\[(.*?)\\\]"
 NUMERIC_PATTERN = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+|\d+/\d+|\\d?frac\{[+-]?\d+\}\{[+-]?\d+\})$"
 MAX_ANSWER_CHARS = 200
-# Fractions are reduced in DECIMAL(38); longer ones keep their digits as they are.
-MAX_FRACTION_DIGITS = 32
+# Fractions are reduced in BIGINT, longer ones in DECIMAL(38); those beyond both in Python.
+SHORT_DIGITS, MAX_FRACTION_DIGITS = 18, 32
 STEPS_PER_DIGIT = 5
+# Digits of one piece of a number that is multiplied piece by piece.
+PIECE_DIGITS = 6
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,21 +38,23 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+# Printable ASCII without a backslash and nothing to trim at its ends: no wrapper to take off.
+TIDY = r"^[!-#%-\[\]-~](?:[ -\[\]-~]*[!-#%--/-\[\]-~])?$"
+NUMERIC_START = r"^[+-]?\.?[0-9]"
+
+
 def parse_option_answer(text: Column, options: Column) -> Column:
     """Return the first labelled option when it names a valid option, else null."""
     letter = F.upper(F.regexp_extract(text, OPTION_PATTERN, 1))
     return F.when(F.array_contains(F.map_keys(options), letter), letter)
 
 
-def _big(text: Column) -> Column:
-    return F.when(
-        F.length(F.regexp_replace(text, "[^0-9]", "")) <= MAX_FRACTION_DIGITS,
-        F.regexp_replace(text, r"[+\s]", "").cast("decimal(38,0)"),
-    )
+def _digits(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^0-9]", ""))
 
 
-def _too_long(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^0-9]", "")) > MAX_FRACTION_DIGITS
+def _number(text: Column, kind: str) -> Column:
+    return F.regexp_replace(text, r"[+\s]", "").cast(kind)
 
 
 def _unreduced(num: Column, den: Column) -> Column:
@@ -64,8 +69,9 @@ def _integer_text(text: Column) -> Column:
     return F.when(digits == "", "0").otherwise(F.concat(sign, digits))
 
 
-def reduced_fraction(num: Column, den: Column) -> Column:
+def reduced_fraction(num: Column, den: Column, kind: str = "decimal(38,0)") -> Column:
     """Render num/den in lowest terms; null for a zero denominator or missing parts."""
+    zero = F.lit(0).cast(kind)
     pair = F.struct(num.alias("n"), den.alias("d"))
 
     def with_gcd(v: Column) -> Column:
@@ -75,25 +81,74 @@ def reduced_fraction(num: Column, den: Column) -> Column:
         gcd = F.aggregate(
             F.sequence(F.lit(1), F.lit(STEPS_PER_DIGIT) * digits + 2),
             state,
-            lambda s, _: F.when(s["y"] == 0, s).otherwise(
-                F.struct(
-                    s["y"].alias("x"), F.try_mod(s["x"], s["y"]).cast("decimal(38,0)").alias("y")
-                )
+            lambda s, _: F.when(s["y"] == zero, s).otherwise(
+                F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).cast(kind).alias("y"))
             ),
             lambda s: s["x"],
         )
         return F.struct(v["n"].alias("n"), v["d"].alias("d"), gcd.alias("g"))
 
+    def part(value: Column, gcd: Column) -> Column:
+        if kind == "bigint":
+            return F.call_function("div", F.abs(value), gcd).cast("string")
+        return F.try_divide(F.abs(value), gcd).cast(kind).cast("string")
+
     def text(v: Column) -> Column:
-        top = F.try_divide(F.abs(v["n"]), v["g"]).cast("decimal(38,0)").cast("string")
-        bottom = F.try_divide(F.abs(v["d"]), v["g"]).cast("decimal(38,0)").cast("string")
-        negative = (v["n"] != 0) & ((v["n"] < 0) != (v["d"] < 0))
+        top, bottom = part(v["n"], v["g"]), part(v["d"], v["g"])
+        negative = (v["n"] != zero) & ((v["n"] < zero) != (v["d"] < zero))
         whole = F.concat(F.when(negative, "-").otherwise(""), top)
-        return F.when(v["d"] != 0, F.when(bottom == "1", whole).otherwise(
+        return F.when(v["d"] != zero, F.when(bottom == "1", whole).otherwise(
             F.concat(whole, F.lit("/"), bottom)
         ))
 
-    return let(let(pair, with_gcd), text)
+    return F.when(den != zero, let(let(pair, with_gcd), text))
+
+
+def _fraction(num: Column, den: Column) -> Column:
+    """Reduce a fraction given as text, in the narrowest type that holds it."""
+
+    def reduce(v: Column) -> Column:
+        size = F.greatest(_digits(v["n"]), _digits(v["d"]))
+        return (
+            F.when(size <= SHORT_DIGITS, reduced_fraction(
+                _number(v["n"], "bigint"), _number(v["d"], "bigint"), "bigint"))
+            .when(size <= MAX_FRACTION_DIGITS, reduced_fraction(
+                _number(v["n"], "decimal(38,0)"), _number(v["d"], "decimal(38,0)")))
+            .otherwise(_unreduced(v["n"], v["d"]))
+        )
+
+    return let(F.struct(num.alias("n"), den.alias("d")), reduce)
+
+
+# A normal form whose fraction was too long to reduce.
+LONG_FRACTION = (
+    rf"^-?(?:[0-9]{{{MAX_FRACTION_DIGITS + 1},}}/-?[0-9]+|[0-9]+/-?[0-9]{{{MAX_FRACTION_DIGITS + 1},}})$"
+)
+
+
+def _reduce_long(values: Column) -> Column:
+    """Reduce fractions of any length in Python; self-contained for the executors."""
+
+    def reduce(texts: pa.Array) -> pa.Array:
+        import math
+        import re
+        import sys
+
+        sys.set_int_max_str_digits(0)
+        fraction = re.compile(r"(-?[0-9]+)/(-?[0-9]+)")
+
+        def lowest(text: str | None) -> str | None:
+            parts = fraction.fullmatch(text) if text else None
+            if not parts:
+                return text
+            top, bottom = int(parts[1]), int(parts[2])
+            divisor = math.gcd(top, bottom) * (1 if bottom > 0 else -1)
+            return f"{top // divisor}" + (f"/{bottom // divisor}" if bottom != divisor else "")
+
+        return pa.array([lowest(x) for x in texts.to_pylist()], pa.string())
+
+    reduce.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(reduce, "string")(values)
 
 
 # The shapes of numeric answers.
@@ -101,16 +156,21 @@ SHORT_FRACTION = r"^\\frac\s*([+-]?\d+)\s*([+-]?\d+)$"
 BRACED_FRACTION = r"^\\frac\{([^{}]+)\}\{([^{}]+)\}$"
 # Plain integers are their own normal form.
 PLAIN_INTEGER = r"^(?:0|-?[1-9][0-9]*)$"
+SINGLE_SPACED = r"^[!-~]+(?: [!-~]+)*$"
 BRACED_INTEGERS = r"^\\frac\{\s*[+-]?\d+\s*\}\{\s*[+-]?\d+\s*\}$"
 
 
 def _canonical(value: Column) -> Column:
     """Classify an unwrapped answer once, then render its canonical form."""
     compact = F.replace(value, F.lit(" "), F.lit(""))
-    shape = (
+    number = (
         F.when(compact.rlike(r"^[+-]?\d+$"), "integer")
         .when(compact.rlike(r"^[+-]?\d+/\d+$"), "slash")
         .when(compact.rlike(r"^[+-]?(?:\d+\.\d*|\.\d+)$"), "decimal")
+        .when(F.length(value) <= MAX_ANSWER_CHARS, "text")
+    )
+    shape = (
+        F.when(compact.rlike(NUMERIC_START), number)
         .when(
             value.startswith(r"\frac"),
             F.when(value.rlike(SHORT_FRACTION), "short")
@@ -138,9 +198,9 @@ def _canonical(value: Column) -> Column:
         bottom = side(2, F.substring_index(bare, "/", -1), scale)
         return (
             F.when(v["shape"] == "integer", _integer_text(bare))
-            .when(v["shape"] == "text", F.lower(strip(F.regexp_replace(text, r"\s+", " "))))
-            .when(_too_long(top) | _too_long(bottom), _unreduced(top, bottom))
-            .otherwise(reduced_fraction(_big(top), _big(bottom)))
+            .when(v["shape"] == "text", F.lower(F.when(text.rlike(SINGLE_SPACED), text).otherwise(
+                strip(F.regexp_replace(text, r"\s+", " ")))))
+            .otherwise(_fraction(top, bottom))
         )
 
     return let(
@@ -154,102 +214,196 @@ def _unwrap(text: Column) -> Column:
     return F.when(wrapped, inner).otherwise(text)
 
 
-def normalize_answer(value: Column) -> Column:
-    """Return the canonical exact-match form of an answer, or null when ambiguous."""
+def _normalize(value: Column) -> Column:
+    """Return the normal form of an answer, long fractions with their digits as they are."""
     line = F.rtrim(strip(F.substring_index(value, "\n", 1)), F.lit("."))
     bare = F.btrim(strip(line), F.lit("$ "))
     plain = F.replace(bare, F.lit(r"\dfrac"), F.lit(r"\frac"))
     plain = F.replace(F.replace(plain, F.lit(r"\,"), F.lit("")), F.lit(r"\!"), F.lit(""))
-    plain = strip(let(plain, _unwrap))
-    full = let(plain, _canonical)
-    return F.when(value.rlike(PLAIN_INTEGER), value).otherwise(full)
+    plain = F.when(value.rlike(TIDY), value).otherwise(strip(let(plain, _unwrap)))
+    return F.when(value.rlike(PLAIN_INTEGER), value).otherwise(let(plain, _canonical))
 
 
-def _balanced_start(tail: Column) -> Column:
-    """Return what stands before the brace that closes a box opened just ahead, else null."""
-    pieces = F.split(tail, r"\}")
-    start = F.struct(
-        F.lit(1).alias("depth"), F.lit(0).alias("length"), F.lit(-1).alias("end")
-    )
+def normalize_answer(value: Column) -> Column:
+    """Return the canonical exact-match form of an answer, or null when ambiguous.
 
-    def step(state: Column, piece: Column) -> Column:
-        size = F.length(piece)
-        depth = state["depth"] + size - F.length(F.replace(piece, F.lit("{"), F.lit(""))) - 1
-        length = state["length"] + size
-        closed = (state["end"] < 0) & (depth == 0)
-        return F.struct(
-            depth.alias("depth"),
-            (length + 1).alias("length"),
-            F.when(closed, length).otherwise(state["end"]).alias("end"),
-        )
+    Fractions of any length come in lowest terms; only those beyond ``MAX_FRACTION_DIGITS`` leave
+    the JVM.
+    """
+    long = F.length(value) > MAX_FRACTION_DIGITS
+    return F.when(long, _reduce_long(F.when(long, _normalize(value)))).otherwise(_normalize(value))
 
-    # The last piece ends without a brace.
-    end = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda s: s["end"])
-    return let(end, lambda n: F.when(n >= 0, F.substring(tail, F.lit(1), n)))
+
+def _in_python(text: Column, kind: str, what: str) -> Column:
+    """Read texts in Python, one Arrow batch at a time; self-contained for the executors.
+
+    Matching braces and exact fractions of any length take one walk over a text there, where
+    column expressions would read it again for each box.
+    """
+    patterns = (LABELLED_PATTERN, DISPLAY_PATTERN, NUMERIC_PATTERN, SHORT_FRACTION, BRACED_FRACTION)
+    spaces, most = WHITE_SPACE, MAX_ANSWER_CHARS
+
+    def read(texts: pa.Array) -> pa.Array:
+        import math
+        import re
+        import sys
+
+        sys.set_int_max_str_digits(0)
+        token = re.compile(r"\\boxed\{|[{}]")
+        # The flags of the JVM's patterns, as Python has them.
+        labelled = re.compile(patterns[0].removeprefix("(?id)"), re.IGNORECASE | re.ASCII)
+        display, numeric, short, braced = (re.compile(p) for p in patterns[1:])
+        slash = re.compile(r"([+-]?[0-9]+)(?:/([0-9]+))?")
+        point = re.compile(r"([+-]?[0-9]*)\.([0-9]*)")
+        wrapper = re.compile(r"\\(?:text|mathrm)\{(.+)\}")
+        signed = re.compile(r"\s*[+-]?[0-9]+\s*")
+        blank = re.compile(r"\s+")
+
+        def boxes(text: str) -> list[str]:
+            open_braces, found = [], []
+            for m in token.finditer(text):
+                if m[0] != "}":
+                    open_braces.append(m.end() if len(m[0]) > 1 else None)
+                elif open_braces and (start := open_braces.pop()) is not None:
+                    found.append((start, text[start : m.start()]))
+            return [content for _, content in sorted(found)]
+
+        def lowest(top: str, bottom: str) -> str | None:
+            n, d = int(top), int(bottom)
+            if d == 0:
+                return None
+            divisor = math.gcd(n, d) * (1 if d > 0 else -1)
+            return f"{n // divisor}" + (f"/{d // divisor}" if d != divisor else "")
+
+        def normal(value: str) -> str | None:
+            bare = value.partition("\n")[0].strip(spaces).rstrip(".").strip(spaces).strip("$ ")
+            for old, new in (("\\dfrac", "\\frac"), ("\\,", ""), ("\\!", "")):
+                bare = bare.replace(old, new)
+            inner = wrapper.fullmatch(bare)
+            bare = (inner[1] if inner else bare).strip(spaces)
+            if m := short.search(bare):
+                return lowest(m[1], m[2])
+            if m := braced.search(bare):
+                return lowest(m[1], m[2]) if signed.fullmatch(m[1]) and signed.fullmatch(m[2]) else None
+            compact = bare.replace(" ", "")
+            if m := slash.fullmatch(compact):
+                return lowest(m[1], m[2] or "1")
+            if (m := point.fullmatch(compact)) and (m[1].strip("+-") or m[2]):
+                return lowest(m[1] + m[2], "1" + "0" * len(m[2]))
+            return blank.sub(" ", bare).strip(spaces).lower() if bare and len(bare) <= most else None
+
+        def shown(text: str) -> list[str]:
+            last = display.findall(text)[-1:]
+            if not last:
+                return []
+            left, equals, right = last[0].strip(spaces).partition("=")
+            if not equals:
+                right = left
+            elif "=" in right or not left.strip(spaces):
+                return []
+            return [right] if numeric.search(right.replace(" ", "")) else []
+
+        def answer(text: str) -> str | None:
+            found = boxes(text) if "\\boxed{" in text else []
+            found = found or labelled.findall(text) or shown(text)
+            values = {v for v in map(normal, found) if v is not None}
+            return values.pop() if len(values) == 1 else None
+
+        if what == "answer":
+            return pa.array([None if t is None else answer(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([boxes(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    read.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(read, kind)(text)
 
 
 def boxed_answers(text: Column) -> Column:
     """Return the contents of all balanced boxes, boxes inside boxes included, at any depth."""
-    marker = F.lit(r"\boxed{")
-    parts = F.split(text, r"\\boxed\{")
+    return _in_python(F.when(F.contains(text, F.lit(r"\boxed{")), text), "array<string>", "boxes")
 
-    def contents(p: Column) -> Column:
-        tails = F.transform(
-            F.sequence(F.lit(2), F.size(p)),
-            lambda i: F.array_join(F.slice(p, i, F.size(p)), r"\boxed{"),
-        )
-        return F.array_compact(F.transform(tails, _balanced_start))
 
-    none = F.array().cast("array<string>")
-    return F.when(F.contains(text, marker), let(parts, contents)).otherwise(none)
+def extract_final_answer(text: Column) -> Column:
+    """Return the single answer a text commits to: boxed, then labelled, then display maths.
+
+    Null where the text commits to none or to several. Texts without any of the three stay in
+    the JVM.
+    """
+    marked = (
+        F.contains(text, F.lit(r"\boxed{")) | F.contains(text, F.lit(r"\["))
+        | F.contains(F.lower(text), F.lit("answer"))
+    )
+    return _in_python(F.when(marked, text), "string", "answer")
 
 
-def _display_answer(text: Column) -> Column:
-    def pick(shown: Column) -> Column:
-        right = F.substring_index(shown, "=", -1)
-        left = strip(F.substring_index(shown, "=", 1))
-        signs = F.length(shown) - F.length(F.replace(shown, F.lit("="), F.lit("")))
-        return F.when(
-            signs == 1,
-            F.when((left != "") & F.replace(right, F.lit(" "), F.lit("")).rlike(NUMERIC_PATTERN),
-                   right),
-        ).when(F.replace(shown, F.lit(" "), F.lit("")).rlike(NUMERIC_PATTERN), shown)
+def _pieces(digits: Column) -> Column:
+    """Cut a number's digits into pieces of ``PIECE_DIGITS``, the lowest first."""
+    width = F.ceil(F.length(digits) / PIECE_DIGITS) * PIECE_DIGITS
+    padded = F.lpad(digits, width, F.lit("0"))
+    cut = F.regexp_extract_all(padded, F.lit(rf"[0-9]{{{PIECE_DIGITS}}}"), 0)
+    return F.reverse(F.transform(cut, lambda x: x.cast("bigint")))
 
-    shown = strip(F.try_element_at(F.regexp_extract_all(text, F.lit(DISPLAY_PATTERN), 1),
-                                   F.lit(-1)))
-    return let(shown, pick)
 
+def _product(a: Column, b: Column, size: Column) -> Column:
+    """Multiply two numbers in pieces; carries are left in the pieces."""
 
-def extract_final_answer(text: Column) -> Column:
-    """Return the single answer a text commits to: boxed, then labelled, then display maths."""
+    def piece(k: Column) -> Column:
+        low, high = F.greatest(F.lit(0), k - F.size(b) + 1), F.least(k, F.size(a) - 1)
+        terms = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(terms, F.lit(0).cast("bigint"), lambda s, i: s + F.get(a, i) * F.get(b, k - i))
+
+    return F.transform(F.sequence(F.lit(0), size), piece)
+
+
+def _equal_fractions(left: Column, right: Column) -> Column:
+    """Compare two fractions of any length by multiplying across, piece by piece."""
+
+    def side(text: Column, part: int) -> Column:
+        digits = F.regexp_replace(F.substring_index(text, "/", part), "-", "")
+        return _pieces(F.when(F.lit(part == -1) & ~F.contains(text, F.lit("/")), "1").otherwise(digits))
 
-    def choose(found: Column) -> Column:
-        labelled = F.regexp_extract_all(text, F.lit(LABELLED_PATTERN), 1)
-        display = F.array_compact(F.array(_display_answer(text)))
-        return F.when(F.size(found) > 0, found).otherwise(
-            let(labelled, lambda a: F.when(F.size(a) > 0, a).otherwise(display))
+    def negative(text: Column) -> Column:
+        signs = F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit("")))
+        return (signs % 2 == 1) & ~text.rlike("^-?0*(?:/|$)")
+
+    numbers = F.struct(
+        side(left, 1).alias("a"), side(left, -1).alias("b"), side(right, 1).alias("c"), side(right, -1).alias("d")
+    )
+
+    def equal(v: Column) -> Column:
+        size = F.size(v["a"]) + F.size(v["b"]) + F.size(v["c"]) + F.size(v["d"])
+        gap = F.zip_with(_product(v["a"], v["d"], size), _product(v["b"], v["c"], size), lambda x, y: x - y)
+        base = F.lit(10**PIECE_DIGITS)
+        # The difference is zero if every piece, with what is carried into it, ends in zeros.
+        start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit(True).alias("same"))
+        step = lambda s, x: F.struct(
+            F.call_function("div", s["carry"] + x, base).alias("carry"),
+            (s["same"] & ((s["carry"] + x) % base == 0)).alias("same"),
         )
+        return F.aggregate(gap, start, step, lambda s: s["same"] & (s["carry"] == 0))
 
-    candidates = let(boxed_answers(text), choose)
-    distinct = F.array_distinct(F.array_compact(F.transform(candidates, normalize_answer)))
-    return let(distinct, lambda a: F.when(F.size(a) == 1, a[0]))
+    return (negative(left) == negative(right)) & let(numbers, equal)
 
 
 def grade_normalized(predicted: Column, gold: Column) -> Column:
     """Grade two normalised answers.
 
-    Unequal numbers are incorrect, and so are two different names. Fractions too long to reduce
-    may be equal though their digits differ: like other texts they stay in review.
+    Unequal numbers are incorrect, and so are two different names. Fractions that are not in lowest
+    terms are compared by multiplying across.
     """
-    number = rf"^-?(?:\d+|\d{{1,{MAX_FRACTION_DIGITS}}}/\d{{1,{MAX_FRACTION_DIGITS + 1}}})$"
-    name = r"^[a-z]+$"
+    number, name = r"^-?[0-9]+(?:/-?[0-9]+)?$", r"^[a-z]+$"
+    # Normal forms have no other white space.
     same = (predicted == gold) | (
-        F.regexp_replace(predicted, r"\s+", "") == F.regexp_replace(gold, r"\s+", "")
+        F.replace(predicted, F.lit(" "), F.lit("")) == F.replace(gold, F.lit(" "), F.lit(""))
     )
+    size = F.greatest(F.length(predicted), F.length(gold))
+    long = (size > MAX_FRACTION_DIGITS) & (predicted.rlike(LONG_FRACTION) | gold.rlike(LONG_FRACTION))
     return (
         F.when(predicted.isNull() | gold.isNull(), "review")
         .when(same, "correct")
-        .when(predicted.rlike(number) & gold.rlike(number), "incorrect")
+        .when(
+            predicted.rlike(number) & gold.rlike(number),
+            F.when(long & _equal_fractions(predicted, gold), "correct").otherwise("incorrect"),
+        )
         .when(predicted.rlike(name) & gold.rlike(name), "incorrect")
         .otherwise("review")
     )
@@ -257,7 +411,7 @@ def grade_normalized(predicted: Column, gold: Column) -> Column:
 
 def grade(predicted: Column, gold: Column) -> Column:
     """Grade a predicted answer against the gold answer."""
-    both = F.transform(F.array(predicted, gold), normalize_answer)
+    both = F.transform(F.array(predicted, gold), _normalize)
     full = let(both, lambda v: grade_normalized(v[0], v[1]))
     return (
         F.when(predicted.isNull() | gold.isNull(), "review")

@@ -43,6 +43,12 @@ def canonical_digest(payload: Column) -> Column:
     return F.coalesce(F.when(plain, F.sha2(payload, 256)), _digest_any(F.when(~plain, payload)))
 
 
+def config_digest(config: Mapping) -> str:
+    """Return the SHA-256 of a configuration, whatever the order of its keys."""
+    canonical = json.dumps(config, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(canonical.encode()).hexdigest()
+
+
 def raw_json_digest(payload: Column) -> Column:
     """Return the SHA-256 of any JSON text after sorting its keys."""
     return _digest_any(payload)

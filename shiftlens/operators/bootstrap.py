@@ -1,7 +1,8 @@
 """Cluster bootstraps from hash draws: whole groups are resampled, never rows.
 
 Facts are reduced to one row per cluster (or per cluster and score) before anything is
-replicated. A draw is the hash of (seed, replicate, slot) modulo the cluster count, so replicates
+replicated. Rank metrics weight clusters inside the row (``weights``); elsewhere, and there on
+request, exactly as many clusters are drawn as there are. A draw is the hash of (seed, replicate, slot) modulo the cluster count, so replicates
 do not depend on partitioning and every slot can be drawn in any task.
 """
 
@@ -16,22 +17,10 @@ from shiftlens.functions.ids import hash_draw
 from shiftlens.operators.joins import attach, lookup_join
 from shiftlens.operators.metrics import evaluate_counts, score_counts
 from shiftlens.operators.ranking import exact_quantiles, rank_by_hash, split_points
+from shiftlens.operators.weights import weighted_metrics, weighted_sums
 from shiftlens.session import materialize
 
 INDEX_SEED = "cluster"
-# Cumulative probabilities of a Poisson variable with mean one.
-POISSON_STEPS = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.999916758850712,
-    0.9999897508033253,
-    0.999998874797402,
-    0.9999998885745217,
-)
 
 
 def _replicates(samples: int) -> Column:
@@ -70,15 +59,6 @@ def draws(
     return slots.select(*by, "replicate", picked.alias("_slot"))
 
 
-def poisson_weight(seed: int | Column, replicate: Column, group: Column) -> Column:
-    """Return a Poisson(1) weight from the hash of (seed, replicate, group)."""
-    unit = (hash_draw(seed, replicate, group, F.lit(2**32)) + F.lit(0.5)) / F.lit(2.0**32)
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + (unit > F.lit(step)).cast("int")
-    return weight
-
-
 def resampled_sums(
     clusters: DataFrame,
     by: Sequence[str],
@@ -91,20 +71,15 @@ def resampled_sums(
 ) -> DataFrame:
     """Add up per-cluster columns in every bootstrap replicate.
 
-    ``method="poisson"`` weights each cluster independently instead of drawing exactly G
-    clusters; it needs no join and suits very many clusters, as an approximation.
+    ``method="poisson"`` weights each cluster independently (see ``weights``) instead of drawing
+    exactly G clusters; it needs no join and suits very many clusters, as an approximation.
     """
     if samples <= 0:
         raise ValueError("samples must be positive")
     by = list(by)
     clusters = materialize(clusters.select(*by, group, *sums))
     if method == "poisson":
-        spread = clusters.repartition(_width(clusters), *by, group)
-        rows = spread.select("*", _replicates(samples).alias("replicate"))
-        weight = poisson_weight(seed, F.col("replicate"), F.col(group))
-        return rows.withColumn("_w", weight).groupBy(*by, "replicate").agg(
-            *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums]
-        )
+        return weighted_sums(clusters, by, group, sums, samples=samples, seed=seed)
     indexed = indexed_clusters(clusters, by, group)
     picked = draws(indexed, by, samples, seed)
     stats = indexed.select(*by, "_slot", *sums)
@@ -255,11 +230,17 @@ def replicate_metrics(
     samples: int,
     seed: int,
     recall: float = 0.5,
+    method: str = "poisson",
 ) -> DataFrame:
     """Evaluate every replicate; replicates with one class are marked unavailable.
 
-    ``counts`` holds one row per cluster and distinct score and should be materialized.
+    ``counts`` holds one row per cluster and distinct score and should be materialized. Weights are
+    drawn inside the row and all replicates evaluated side by side. ``method="draws"`` draws
+    exactly G clusters a replicate instead, which copies every score row to each replicate that
+    drew its cluster: for few clusters.
     """
+    if method == "poisson":
+        return weighted_metrics(counts, by, group=group, samples=samples, seed=seed, recall=recall)
     points = split_points(counts, "score")
     drawn = replicate_counts(counts, by, group=group, samples=samples, seed=seed)
     return evaluate_counts(drawn, [*by, "replicate"], recall=recall, points=points)
@@ -287,11 +268,12 @@ def cluster_bootstrap_metrics(
     group: str = "question_id",
     samples: int = 1000,
     seed: int = 17,
+    method: str = "poisson",
 ) -> DataFrame:
     """Return clustered intervals of AUROC, average precision and FPR at fixed recall."""
     by = list(by)
     counts = materialize(score_counts(scores, [*by, group]))
-    rows = replicate_metrics(counts, by, group=group, samples=samples, seed=seed)
+    rows = replicate_metrics(counts, by, group=group, samples=samples, seed=seed, method=method)
     long = _long(rows.filter("available"), by)
     return interval(long, "value", [*by, "metric"], few=True).withColumn(
         "requested_samples", F.lit(samples).cast("long")
@@ -306,6 +288,7 @@ def paired_bootstrap_difference(
     group: str = "question_id",
     samples: int = 1000,
     seed: int = 17,
+    method: str = "poisson",
 ) -> DataFrame:
     """Return metric differences of two components under the same draws, with intervals."""
     pair = scores.filter(F.col("component").isin(first, second))
@@ -320,7 +303,9 @@ def paired_bootstrap_difference(
 
     counts = materialize(score_counts(pair, ["component", group]))
     point = evaluate_counts(_merged(counts, ["component"]), ["component"])
-    rows = replicate_metrics(counts, ["component"], group=group, samples=samples, seed=seed)
+    rows = replicate_metrics(
+        counts, ["component"], group=group, samples=samples, seed=seed, method=method
+    )
     edges = interval(difference(rows, ["replicate"]), "value", ["metric"], method="linear", few=True)
     observed = difference(point, []).select("metric", F.col("value").alias("point"))
     return observed.join(edges, "metric", "left")

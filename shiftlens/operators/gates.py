@@ -320,41 +320,55 @@ PARTITIONS = {
 }
 
 
-def _extreme(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    counts = df.groupBy(*by).agg(F.count("*").alias("_c"))
-    return counts.agg(
-        F.count("*").alias(f"{name}s" if name != "family" else "families"),
-        F.min("_c").alias(f"{name}_min"),
-        F.max("_c").alias(f"{name}_max"),
-    )
+QUESTION_COLUMNS = (
+    "question_id", "family", "mechanism", "renderer_id", "gold_answer", "target_answer",
+    "study_partition", "split", "excluded",
+)
 
 
-def _question_measures(questions: DataFrame, spec: GateSpec) -> DataFrame:
+def _question_measures(questions: DataFrame, spec: GateSpec, pairs: bool) -> DataFrame:
+    """Count questions, and the sizes of families, cells and pairs, in one pass."""
     partition = PARTITIONS.get(spec.study)
-    wrong = F.lit(0) if partition is None else F.count_if(
-        ~F.coalesce(F.col("study_partition") == partition, F.lit(False))
-    )
-    stratum = F.col("stratum") if "stratum" in questions.columns else F.lit(None)
-    head = questions.agg(
-        F.count("*").alias("questions"),
-        F.count_if("excluded").alias("excluded"),
-        F.count_if(~F.coalesce("excluded", F.lit(False))).alias("not_excluded"),
-        wrong.alias("wrong_partition"),
-        *[
-            F.count_if(F.col("split") == s).alias(f"{s}_questions")
-            for s in ("train", "validation", "test")
-        ],
-        F.count_if(stratum == "previously_truncated").alias("prior_questions"),
-        F.count_if(stratum == "matched_clean_control").alias("control_questions"),
-        F.count_if((F.col("family") == "recurrence") & (F.col("renderer_id") == 1)).alias(
-            "ambiguous_questions"
-        ),
-    )
-    parts = [head, _extreme(questions, ["family"], "family")]
-    parts.append(_extreme(questions, ["family", "mechanism"], "cell"))
-    if "pair_id" in questions.columns:
-        parts.append(_extreme(questions, ["pair_id"], "pair"))
-    return _side_by_side(parts)
+    wrong = F.lit(False) if partition is None else ~F.coalesce(
+        F.col("study_partition") == partition, F.lit(False)
+    )
+    stratum = F.col("stratum")
+    flags = {
+        "excluded": F.col("excluded"),
+        "not_excluded": ~F.coalesce("excluded", F.lit(False)),
+        "wrong_partition": wrong,
+        **{f"{s}_questions": F.col("split") == s for s in ("train", "validation", "test")},
+        "prior_questions": stratum == "previously_truncated",
+        "control_questions": stratum == "matched_clean_control",
+        "ambiguous_questions": (F.col("family") == "recurrence") & (F.col("renderer_id") == 1),
+    }
+    nothing = F.lit(None).cast("string")
+    family, mechanism = F.col("family").cast("string"), F.col("mechanism").cast("string")
+    grains = {
+        "all": (nothing, nothing), "family": (family, nothing), "cell": (family, mechanism),
+    }
+    if pairs:
+        grains["pair"] = (F.col("pair_id").cast("string"), nothing)
+    keys = [
+        F.struct(F.lit(g).alias("grain"), a.alias("a"), b.alias("b")) for g, (a, b) in grains.items()
+    ]
+    narrow = questions.select(
+        F.explode(F.array(*keys)).alias("key"),
+        *[F.coalesce(flag, F.lit(False)).cast("long").alias(n) for n, flag in flags.items()],
+    )
+    groups = narrow.groupBy("key.grain", "key.a", "key.b").agg(
+        F.count("*").alias("rows"), *[F.sum(n).alias(n) for n in flags]
+    )
+    whole, rows = F.col("grain") == "all", F.col("rows")
+    out = [F.coalesce(F.sum(F.when(whole, F.col(n))), F.lit(0)).alias(n) for n in ("rows", *flags)]
+    for grain, plural in (("family", "families"), ("cell", "cells"), ("pair", "pairs")):
+        mine = F.col("grain") == grain
+        out += [
+            F.count_if(mine).alias(plural),
+            F.min(F.when(mine, rows)).alias(f"{grain}_min"),
+            F.max(F.when(mine, rows)).alias(f"{grain}_max"),
+        ]
+    return groups.agg(*out).withColumnRenamed("rows", "questions")
 
 
 def _side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
@@ -365,122 +379,204 @@ def _side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _per_cell(rows: DataFrame, spec: GateSpec) -> DataFrame:
-    """Reduce counted rollouts to one row per (question, condition)."""
+_ATTRIBUTES = ("known_question", "family", "mechanism", "stratum")
+
+
+def gate_facts(rollouts: DataFrame, questions: DataFrame, spec: GateSpec) -> DataFrame:
+    """Reduce rollouts to one row per question, arm and whether they count, in one pass.
+
+    Request and rollout ids are counted in the same pass: each rollout stands in three groups, its
+    cell's (by seed), its request id's and its own id's; the ids of the last two are then only
+    counted. Rows of grain ``request`` and ``rollout`` carry nothing else.
+    """
+    rows = graded(enrich(rollouts, questions.select(
+        "question_id", "family", "mechanism", "stratum", "gold_answer", "target_answer"
+    )))
+    design = F.col("condition").isin(*spec.arms) & (F.col("model") == spec.model)
+    known = F.col("known_question")
+    target, request = F.col("target_answer"), F.col("provider_request_id")
+    sound = target.isNotNull()
+    if spec.strict_target:
+        sound = sound & (target != F.col("gold_answer"))
     stopped = F.col("status") == CLEAN_STOP
     answered = F.col("grade").isin("correct", "incorrect")
     reasoned = F.coalesce(F.col("has_reasoning"), F.lit(False))
-    base = answered if spec.reasoning_base == "graded" else stopped
-    hit = F.col("hit_target")
-    mention = mentions_any(F.col("mention_text"), spec.patterns)
-    return rows.groupBy("question_id", "condition", "family", "mechanism", "stratum").agg(
-        F.count("*").alias("samples"),
-        F.countDistinct("seed").alias("seeds"),
-        F.count("grade").alias("graded"),
-        F.count_if(F.col("grade") == "correct").alias("correct"),
-        F.count_if(F.col("grade") == "incorrect").alias("incorrect"),
-        F.count_if(base & reasoned).alias("reasoned"),
-        F.count_if(hit).alias("hits"),
-        F.count("hit_target").alias("targets"),
-        F.count_if(hit & ~mention).alias("unmentioned"),
-        F.count_if(F.col("bad_target")).alias("bad_targets"),
-        F.count_if(F.col("bad_prefill")).alias("bad_prefills"),
-    )
+    hit = F.when(sound, F.col("hit_target"))
+    filled = request.isNotNull() & (request != "")
+    flags = {
+        "rows": F.lit(True),
+        "truncated": F.col("status") == "length_truncated",
+        "filled": filled,
+        "outside": known & ~design,
+        "graded": F.col("grade").isNotNull(),
+        "correct": F.col("grade") == "correct",
+        "incorrect": F.col("grade") == "incorrect",
+        "reasoned": (answered if spec.reasoning_base == "graded" else stopped) & reasoned,
+        "hits": hit,
+        "targets": hit.isNotNull(),
+        "unmentioned": hit & ~mentions_any(F.col("mention_text"), spec.patterns),
+        "bad_targets": F.lit(spec.effect) & stopped & ~sound,
+        "bad_prefills": F.col("bad_prefill"),
+    }
+    counted = F.coalesce(known & design if spec.skip_invalid else known, F.lit(False))
+    ids = {
+        "cell": F.col("seed").cast("string"),
+        "request": F.when(filled, request.cast("string")),
+        "rollout": F.col("rollout_id").cast("string"),
+    }
+    keys = [F.struct(F.lit(g).alias("grain"), i.alias("id")) for g, i in ids.items()]
+    narrow = rows.select(
+        "question_id", "condition", *_ATTRIBUTES, counted.alias("counted"),
+        *[F.coalesce(flag, F.lit(False)).alias(n) for n, flag in flags.items()],
+        F.explode(F.array(*keys)).alias("key"),
+    )
+    cell = F.col("key.grain") == "cell"
+    names = ("question_id", "condition", *_ATTRIBUTES, "counted")
+    groups = narrow.groupBy(
+        "key.grain", "key.id", *[F.when(cell, F.col(c)).alias(c) for c in names]
+    ).agg(*[F.count_if(cell & F.col(n)).alias(n) for n in flags])
+    return groups.groupBy("grain", *names).agg(
+        F.count("id").alias("ids"), *[F.sum(n).alias(n) for n in flags]
+    )
+
+
+def _per_question(facts: DataFrame, spec: GateSpec) -> DataFrame:
+    """Reduce the facts to one row per question."""
+    arm = F.col("condition")
+    counted, cell = F.col("counted"), F.col("grain") == "cell"
+    sides = {
+        "t": arm == spec.treated, "c": arm == spec.control, "clean": arm == CLEAN,
+        "right": arm == spec.correct_arm,
+    }
+
+    def total(column: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
+
+    out = {n: total(n, F.lit(True)) for n in ("rows", "truncated", "filled", "outside")}
+    out |= {
+        n: total(n, counted)
+        for n in ("graded", "correct", "incorrect", "reasoned", "bad_targets", "bad_prefills")
+    }
+    for side, names in {
+        "t": ("hits", "targets", "unmentioned"), "c": ("hits", "targets"),
+        "clean": ("correct", "incorrect"), "right": ("correct", "incorrect"),
+    }.items():
+        out |= {f"{side}_{n}": total(n, counted & sides[side]) for n in names}
+    planned = counted & cell & arm.isin(*spec.arms)
+    exact = (F.col("rows") == spec.samples) & (F.col("ids") == spec.samples)
+    out |= {
+        "exact_cells": F.count_if(planned & exact),
+        "target_cells_seen": F.count_if(planned & (F.col("targets") > 0)),
+        **{f"{g}_ids": total("ids", F.col("grain") == g) for g in ("request", "rollout")},
+        "any_counted": F.max(counted),
+    }
+    return facts.groupBy("question_id", *_ATTRIBUTES).agg(*[v.alias(n) for n, v in out.items()])
 
 
-def _outcome_measures(cells: DataFrame, spec: GateSpec) -> DataFrame:
-    arm = F.col("condition")
-    treated, control = arm == spec.treated, arm == spec.control
-    clean, correct_arm = arm == CLEAN, arm == spec.correct_arm
+def _outcome_measures(questions: DataFrame) -> DataFrame:
+    """Turn one row per question into one row of measures, by way of (family, mechanism)."""
+    wrong, right = F.col("incorrect") > 0, F.col("correct") > 0
+    taken, open_rows = F.col("t_hits") > 0, F.col("t_unmentioned") > 0
+    clean_wrong = F.col("clean_incorrect") > 0
+    scored = F.col("correct") + F.col("incorrect")
+    sums = (
+        "rows", "truncated", "filled", "outside", "correct", "incorrect", "reasoned", "bad_targets",
+        "bad_prefills", "t_hits", "t_targets", "c_hits", "c_targets", "t_unmentioned",
+        "clean_correct", "clean_incorrect", "right_correct", "right_incorrect", "exact_cells",
+        "target_cells_seen", "request_ids", "rollout_ids",
+    )
+    counts = {
+        "unknown": ~F.col("known_question") & F.col("question_id").isNotNull(),
+        "error_questions": wrong, "target_questions": taken, "candidate_questions": open_rows,
+        "clean_error_questions": clean_wrong,
+    }
+    strata = {"prior": "previously_truncated", "control": "matched_clean_control"}
+    cells = questions.groupBy("family", "mechanism").agg(
+        *[F.sum(n).alias(n) for n in sums],
+        *[F.count_if(event).alias(n) for n, event in counts.items()],
+        *[
+            F.coalesce(F.sum(F.when(F.col("stratum") == s, scored)), F.lit(0)).alias(f"{n}_scorable")
+            for n, s in strata.items()
+        ],
+        F.count_if(right).alias("correct_questions"),
+        F.coalesce(F.max("any_counted"), F.lit(False)).alias("any_counted"),
+    )
 
-    def total(column: str, where: Column | None = None) -> Column:
-        value = F.col(column) if where is None else F.when(where, F.col(column))
-        return F.coalesce(F.sum(value), F.lit(0))
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
 
-    def rate(top: str, bottom: Sequence[str], where: Column | None = None) -> Column:
-        below = total(bottom[0], where)
+    def rate(top: str, *bottom: str) -> Column:
+        below = total(bottom[0])
         for name in bottom[1:]:
-            below = below + total(name, where)
-        return F.try_divide(total(top, where), below)
+            below = below + total(name)
+        return F.try_divide(total(top), below)
 
-    def spans(event: Column, *keys: str) -> Column:
+    def spans(count: str, *keys: str) -> Column:
+        """Count distinct keys of the few rows left."""
         key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-        return F.countDistinct(F.when(event, key))
-
-    wrong, right = F.col("incorrect") > 0, F.col("correct") > 0
-    taken = treated & (F.col("hits") > 0)
-    open_rows = treated & (F.col("unmentioned") > 0)
-    graded_rows = F.col("correct") + F.col("incorrect")
-    return cells.agg(
+        return F.size(F.collect_set(F.when(F.col(count) > 0, key))).cast("long")
+
+    out = cells.agg(
+        total("rows").alias("stored"),
+        total("truncated").alias("truncated"),
+        total("filled").alias("request_ids"),
+        total("request_ids").alias("unique_request_ids"),
+        total("rollout_ids").alias("unique_rollout_ids"),
+        total("unknown").alias("unknown_questions"),
+        total("outside").alias("_outside"),
         total("correct").alias("correct"),
         total("incorrect").alias("incorrect"),
         (total("correct") + total("incorrect")).alias("scorable"),
         total("reasoned").alias("reasoning_present"),
-        rate("correct", ("correct", "incorrect")).alias("accuracy"),
-        rate("correct", ("correct", "incorrect"), clean).alias("clean_accuracy"),
-        rate("correct", ("correct", "incorrect"), correct_arm).alias("correct_arm_accuracy"),
-        (rate("hits", ("targets",), treated) - rate("hits", ("targets",), control)).alias(
-            "target_effect"
-        ),
-        total("hits", treated).alias("target_selections"),
-        total("incorrect", clean).alias("clean_errors"),
-        total("unmentioned", treated).alias("candidates"),
+        rate("correct", "correct", "incorrect").alias("accuracy"),
+        rate("clean_correct", "clean_correct", "clean_incorrect").alias("clean_accuracy"),
+        rate("right_correct", "right_correct", "right_incorrect").alias("correct_arm_accuracy"),
+        (rate("t_hits", "t_targets") - rate("c_hits", "c_targets")).alias("target_effect"),
+        total("t_hits").alias("target_selections"),
+        total("clean_incorrect").alias("clean_errors"),
+        total("t_unmentioned").alias("candidates"),
         total("bad_targets").alias("bad_targets"),
         total("bad_prefills").alias("reconstruction_failures"),
-        spans(wrong, "question_id").alias("error_questions"),
-        spans(wrong, "family").alias("error_families"),
-        spans(right, "family").alias("correct_families"),
-        spans(taken, "question_id").alias("target_questions"),
-        spans(taken, "family").alias("target_families"),
-        spans(taken, "family", "mechanism").alias("target_cells"),
-        spans(open_rows, "question_id").alias("candidate_questions"),
-        spans(clean & wrong, "question_id").alias("clean_error_questions"),
-        spans(clean & wrong, "family").alias("clean_error_families"),
-        spans(clean & wrong, "family", "mechanism").alias("clean_error_cells"),
-        F.coalesce(
-            F.sum(F.when(F.col("stratum") == "previously_truncated", graded_rows)), F.lit(0)
-        ).alias("prior_scorable"),
-        F.coalesce(
-            F.sum(F.when(F.col("stratum") == "matched_clean_control", graded_rows)), F.lit(0)
-        ).alias("control_scorable"),
-    )
-
-
-def _mechanism_measures(cells: DataFrame, spec: GateSpec) -> DataFrame:
-    def rate(arm: str) -> Column:
-        rows = F.col("condition") == arm
-        return F.try_divide(
-            F.sum(F.when(rows, F.col("hits"))), F.sum(F.when(rows, F.col("targets")))
-        )
-
-    effects = cells.groupBy("mechanism").agg(
-        (rate(spec.treated) - rate(spec.control)).alias("_effect")
-    )
-    return effects.agg(
+        *[
+            total(n).alias(n)
+            for n in ("error_questions", "target_questions", "candidate_questions",
+                      "clean_error_questions", "prior_scorable", "control_scorable")
+        ],
+        spans("incorrect", "family").alias("error_families"),
+        spans("correct", "family").alias("correct_families"),
+        spans("t_hits", "family").alias("target_families"),
+        spans("t_hits", "family", "mechanism").alias("target_cells"),
+        spans("clean_incorrect", "family").alias("clean_error_families"),
+        spans("clean_incorrect", "family", "mechanism").alias("clean_error_cells"),
+        total("exact_cells").alias("_exact_cells"),
+        total("target_cells_seen").alias("_target_cells_seen"),
+    )
+    effects = cells.filter("any_counted").groupBy("mechanism").agg(
+        (rate("t_hits", "t_targets") - rate("c_hits", "c_targets")).alias("_effect")
+    )
+    return _side_by_side([out, effects.agg(
         F.count("_effect").alias("mechanisms_with_effect"),
         F.min("_effect").alias("mechanism_effect_min"),
-    )
+    )])
 
 
-def _interval_measures(cells: DataFrame, spec: GateSpec) -> DataFrame:
+def _interval_measures(per_question: DataFrame, spec: GateSpec) -> DataFrame:
+    """Bootstrap the target effect, or else the accuracy, by question."""
     if not (spec.effect or spec.accuracy_interval):
-        return cells.sparkSession.range(1).select(
+        return per_question.sparkSession.range(1).select(
             F.lit(None).cast("double").alias("interval_low"),
             F.lit(None).cast("double").alias("interval_high"),
         )
-    arm = F.col("condition")
     names = ["a_hits", "a_rows", "b_hits", "b_rows"]
     if spec.effect:
-        columns = [
-            F.when(arm == side, F.col(value))
-            for side in (spec.treated, spec.control)
-            for value in ("hits", "targets")
-        ]
+        columns = [F.col(c) for c in ("t_hits", "t_targets", "c_hits", "c_targets")]
     else:
-        graded_rows = F.col("correct") + F.col("incorrect")
-        columns = [F.col("correct"), graded_rows, F.lit(0), F.col("graded")]
-    clusters = cells.groupBy("question_id").agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip(columns, names, strict=True)]
+        columns = [
+            F.col("correct"), F.col("correct") + F.col("incorrect"), F.lit(0).cast("long"),
+            F.col("graded"),
+        ]
+    clusters = per_question.select(
+        "question_id", *[c.alias(n) for c, n in zip(columns, names, strict=True)]
     )
     sums = resampled_sums(
         clusters.filter((F.col("a_rows") > 0) | (F.col("b_rows") > 0)),
@@ -495,21 +591,6 @@ def _interval_measures(cells: DataFrame, spec: GateSpec) -> DataFrame:
     return edges.select(F.col("low").alias("interval_low"), F.col("high").alias("interval_high"))
 
 
-def _design_measures(questions: DataFrame, cells: DataFrame, spec: GateSpec) -> DataFrame:
-    arms = F.explode(F.array(*[F.lit(a) for a in spec.arms])).alias("condition")
-    wanted = questions.select("question_id", arms)
-    seen = cells.groupBy("question_id", "condition").agg(
-        *[F.sum(c).alias(c) for c in ("samples", "seeds", "targets")]
-    )
-    joined = wanted.join(seen, ["question_id", "condition"], "left")
-    exact = (F.col("samples") == spec.samples) & (F.col("seeds") == spec.samples)
-    return joined.agg(
-        F.count_if(~F.coalesce(exact, F.lit(False))).alias("bad_cells"),
-        F.count_if(F.coalesce("targets", F.lit(0)) == 0).alias("missing_target_cells"),
-        (F.count("*") * spec.samples).alias("expected"),
-    )
-
-
 def gate_measures(
     questions: DataFrame,
     rollouts: DataFrame,
@@ -517,10 +598,11 @@ def gate_measures(
     *,
     certificate_violations: DataFrame | None = None,
 ) -> DataFrame:
-    """Compute all measures of a study in one row.
+    """Compute all measures of a study in one row, reading questions and rollouts once each.
 
-    Rollouts may carry ``mention_text``, ``has_reasoning`` and ``bad_prefill``; missing ones
-    count as absent, present and sound.
+    Rollouts are reduced to facts by question and arm, those to questions, those to (family,
+    mechanism), and those to the row. Rollouts may carry ``mention_text``, ``has_reasoning`` and
+    ``bad_prefill``; missing ones count as absent, present and sound.
     """
     defaults = {
         "mention_text": F.lit(""),
@@ -530,53 +612,31 @@ def gate_measures(
     for name, value in defaults.items():
         if name not in rollouts.columns:
             rollouts = rollouts.withColumn(name, value)
-    if "stratum" not in questions.columns:
-        questions = questions.withColumn("stratum", F.lit(None).cast("string"))
-    columns = (
-        "question_id", "family", "mechanism", "stratum", "gold_answer", "target_answer",
-    )
+    paired = "pair_id" in questions.columns
+    for name in ("stratum", "pair_id"):
+        if name not in questions.columns:
+            questions = questions.withColumn(name, F.lit(None).cast("string"))
+    questions = materialize(questions.select(*QUESTION_COLUMNS, "stratum", "pair_id"))
     bare = rollouts.select(
         "rollout_id", "question_id", "condition", "seed", "model", "status", "parsed_answer",
         "provider_request_id", *defaults,
-    )
-    rows = graded(enrich(bare, questions.select(*columns)))
-    design = F.col("condition").isin(*spec.arms) & (F.col("model") == spec.model)
-    known = F.col("known_question")
-    target = F.col("target_answer")
-    sound = target.isNotNull()
-    if spec.strict_target:
-        sound = sound & (target != F.col("gold_answer"))
-    counted = rows.filter(known & design if spec.skip_invalid else known).select(
-        "*",
-        (F.lit(spec.effect) & (F.col("status") == CLEAN_STOP) & ~sound).alias("bad_target"),
-    )
-    counted = counted.withColumn("hit_target", F.when(sound, F.col("hit_target")))
-    # One row per question and arm feeds all measures below.
-    cells = materialize(_per_cell(counted, spec))
-    request = F.col("provider_request_id")
-    filled = request.isNotNull() & (request != "")
-    stored = rows.agg(
-        F.count("*").alias("stored"),
-        F.count_if(F.col("status") == "length_truncated").alias("truncated"),
-        F.count_if(filled).alias("request_ids"),
-        F.countDistinct(F.when(filled, request)).alias("unique_request_ids"),
-        F.countDistinct("rollout_id").alias("unique_rollout_ids"),
-        F.countDistinct(F.when(~known, F.col("question_id"))).alias("unknown_questions"),
-        F.count_if(known & ~design).alias("_outside"),
-    )
+    )
+    per_question = materialize(_per_question(gate_facts(bare, questions, spec), spec))
     certificates = F.lit(0).cast("long")
     parts = [
-        stored,
-        _question_measures(questions, spec),
-        _outcome_measures(cells, spec),
-        _mechanism_measures(cells, spec),
-        _interval_measures(cells, spec),
-        _design_measures(questions, cells, spec),
+        _question_measures(questions, spec, paired),
+        _outcome_measures(per_question),
+        _interval_measures(per_question, spec),
     ]
     if certificate_violations is not None:
         parts.append(certificate_violations.agg(F.count("*").alias("_violations")))
         certificates = F.col("_violations")
-    joined = _side_by_side(parts)
+    planned = F.col("questions") * len(spec.arms)
+    joined = _side_by_side(parts).withColumns({
+        "expected": planned * spec.samples,
+        "bad_cells": planned - F.col("_exact_cells"),
+        "missing_target_cells": planned - F.col("_target_cells_seen"),
+    })
     return joined.select(
         *[c for c in joined.columns if not c.startswith("_")],
         F.try_divide(F.col("truncated"), F.col(spec.truncation_base)).alias("truncation_rate"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from shiftlens.functions.ids import hash_order, stable_id
 from shiftlens.functions.text import pick_wrong_option
 from shiftlens.operators.ranking import rank_by_key
 from shiftlens.schema import JUDGE_VIEWS
-from shiftlens.session import fits_broadcast, setting
+from shiftlens.session import fits_broadcast, materialize, setting, settle
 
 
 def hot_keys(facts: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -78,6 +77,25 @@ def lookup_where(
     )
 
 
+def spread_join(
+    facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner", *, salt: str
+) -> DataFrame:
+    """Join many fact rows on keys of few values, which alone would fill few tasks.
+
+    A lookup table within the broadcast threshold is broadcast. Beyond it each lookup row goes to
+    every part of its key, and a fact to one part, by the hash of its ``salt`` column; so ``dim``
+    should be small in rows, as it is where a key has few values.
+    """
+    on = list(on)
+    if fits_broadcast(dim):
+        return facts.join(F.broadcast(dim), on, how)
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    placed = facts.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    joined = placed.join(dim.withColumn("_part", every), [*on, "_part"], how)
+    return joined.drop("_part")
+
+
 def attach(
     facts: DataFrame,
     dim: DataFrame,
@@ -160,12 +178,22 @@ def pending_work(
     model: str,
     id_col: str = "rollout_id",
     retry_truncated: bool = False,
+    config_sha256: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Return planned work without a usable stored result.
 
     A stored result counts when its model matches and it carries a provider request id;
-    truncated results are tried again on request.
+    truncated results are tried again on request. With ``config_sha256`` (see
+    ``digests.config_digest``) results of another configuration do not count; ``strict`` refuses a
+    store that :func:`resume_problems` finds anything in.
     """
+    if strict:
+        found = resume_problems(plan, done, id_col=id_col, config_sha256=config_sha256)
+        if rows := found.take(1):
+            raise ValueError(f"cannot resume: {rows[0]['problem']} {rows[0][id_col]}")
+    if config_sha256 is not None:
+        done = done.filter(F.col("config_sha256") == config_sha256)
     usable = done.filter(
         (F.col("model") == model)
         & F.col("provider_request_id").isNotNull()
@@ -176,6 +204,25 @@ def pending_work(
     return plan.join(usable.select(id_col), id_col, "left_anti")
 
 
+def resume_problems(
+    plan: DataFrame, done: DataFrame, *, id_col: str = "rollout_id", config_sha256: str | None = None
+) -> DataFrame:
+    """Return what forbids to resume from stored results: one row per id and problem.
+
+    Ids stored twice, ids outside the plan and, with ``config_sha256``, results of another
+    configuration (or of none).
+    """
+    other = F.lit(False) if config_sha256 is None else ~F.col("config_sha256").eqNullSafe(F.lit(config_sha256))
+    stored = done.groupBy(id_col).agg(F.count("*").alias("_n"), F.count_if(other).alias("_other"))
+    planned = plan.select(id_col).distinct().withColumn("_planned", F.lit(True))
+    problems = F.array_compact(F.array(
+        F.when(F.col("_n") > 1, "duplicate_id"),
+        F.when(F.col("_planned").isNull(), "outside_plan"),
+        F.when(F.col("_other") > 0, "different_configuration"),
+    ))
+    return stored.join(planned, id_col, "left").select(id_col, F.explode(problems).alias("problem"))
+
+
 def outside_plan(plan: DataFrame, done: DataFrame, *, id_col: str = "rollout_id") -> DataFrame:
     """Return stored results whose identity is not in the plan."""
     return done.join(plan.select(id_col), id_col, "left_anti")
@@ -312,15 +359,18 @@ def transfer_threshold(
 ) -> DataFrame:
     """Apply thresholds chosen elsewhere once and return recall and false-positive rate."""
     by = list(by)
-    hit = (F.col("score") >= F.col("threshold")).cast("long")
-    joined = lookup_join(scores, thresholds.select(*by, "threshold"), by)
-    positive, negative = F.col("label") == 1, F.col("label") == 0
+    hit = F.col("score") >= F.col("threshold")
+    # Counts by score first: they are combined before any shuffle, and spread by score.
+    sums = scores.groupBy(*by, "score").agg(
+        F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") == 0).alias("_neg")
+    )
+    joined = spread_join(sums, thresholds.select(*by, "threshold"), by, salt="score")
     counts = joined.groupBy(*by).agg(
         F.max("threshold").alias("threshold"),
-        F.count_if(positive).alias("positives"),
-        F.count_if(negative).alias("negatives"),
-        F.coalesce(F.sum(F.when(positive, hit)), F.lit(0)).alias("true_positives"),
-        F.coalesce(F.sum(F.when(negative, hit)), F.lit(0)).alias("false_positives"),
+        F.sum("_pos").alias("positives"),
+        F.sum("_neg").alias("negatives"),
+        F.coalesce(F.sum(F.when(hit, F.col("_pos"))), F.lit(0)).alias("true_positives"),
+        F.coalesce(F.sum(F.when(hit, F.col("_neg"))), F.lit(0)).alias("false_positives"),
     )
     return counts.select(
         "*",
@@ -329,6 +379,29 @@ def transfer_threshold(
     )
 
 
+def _open_cells(open_cases: DataFrame, cells: DataFrame) -> DataFrame:
+    """Give each open case the pool's cells at its nearest level that it may still ask.
+
+    A level is (tier distance, renderer mismatch). A case without any cell left fails the query.
+    """
+    mine = F.struct(
+        F.abs(F.col("_t") - F.col("tier_rank")).cast("long").alias("distance"),
+        (~F.col("_r").eqNullSafe(F.col("renderer_id"))).cast("long").alias("mismatch"),
+    )
+    levels = open_cases.join(cells, "family", "left").withColumn("level", mine)
+    levels = levels.filter(F.col("_t").isNull() | (F.col("level") >= F.col("floor")))
+    nearest = Window.partitionBy("case_index")
+    near = levels.withColumn("_first", F.min("level").over(nearest)).filter(
+        F.col("_t").isNull() | (F.col("level") == F.col("_first"))
+    )
+    asked = near.select("case_index", "family", "_t", "_r", "level", "after")
+    short = open_cases.join(asked, "case_index", "left_anti").select("case_index")
+    lost = short.unionByName(asked.filter("_t IS NULL").select("case_index"))
+    if not lost.isEmpty():
+        raise ValueError("no unused control remains")
+    return asked
+
+
 def matched_controls(
     cases: DataFrame, pool: DataFrame, *, seed: int, pairs: int
 ) -> DataFrame:
@@ -336,63 +409,61 @@ def matched_controls(
 
     ``cases`` has ``case_index`` 0..pairs-1, ``case_id``, ``family``, ``tier_rank``,
     ``renderer_id``; ``pool`` has ``control_id`` and the same attributes. Nearness is (tier
-    distance, renderer mismatch, hash of seed + case index and control id). Case ``i`` can lose
-    at most ``i`` controls to earlier cases, so each case keeps only its best ``i + 1``
-    controls; those bounded lists are then resolved in order.
+    distance, renderer mismatch, hash of seed + case index and control id).
+
+    Cases propose in rounds: each open case to the nearest control that has not refused it, in the
+    nearest (tier, renderer) cells of the pool only; a control keeps its earliest case. This ends
+    where serving the cases in order would. A round reads the pool once, finds the best control of
+    a case by partial minima, and writes one row per case.
     """
-    order = [F.col(c) for c in ("distance", "mismatch", "tie")]
     beyond = F.col("case_index") >= pairs
-    near = cases.select(
-        F.when(beyond, F.raise_error(F.lit("more cases than pairs")))
-        .otherwise(F.col("case_index"))
-        .cast("int")
-        .alias("case_index"),
-        "case_id",
-        "family",
-        F.col("tier_rank").alias("_t"),
-        F.col("renderer_id").alias("_r"),
-    )
-    scored = pool.join(F.broadcast(near), "family").select(
-        "case_index",
-        "case_id",
-        "family",
-        "control_id",
-        F.abs(F.col("tier_rank") - F.col("_t")).alias("distance"),
-        (F.col("renderer_id") != F.col("_r")).cast("int").alias("mismatch"),
-        hash_order(
-            (F.lit(seed) + F.col("case_index")).cast("long"), "control_id"
-        ).alias("tie"),
-    )
-    salted = scored.withColumn("_salt", F.substring("tie", 1, 2))
-    close = Window.partitionBy("case_index", "_salt").orderBy(*order)
-    kept = salted.withColumn("_k", F.row_number().over(close)).filter(F.col("_k") <= pairs)
-    final = Window.partitionBy("case_index").orderBy(*order)
-    short = kept.withColumn("choice", F.row_number().over(final)).filter(
-        F.col("choice") <= F.col("case_index") + 1
-    )
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        chosen = []
-        for _, choices in rows.sort_values(["case_index", "choice"]).groupby("case_index"):
-            free = choices[~choices["control_id"].isin(used)]
-            if free.empty:
-                raise ValueError("no unused control remains")
-            used.add(free.iloc[0]["control_id"])
-            chosen.append(free.iloc[:1])
-        return pd.concat(chosen)[
-            ["case_index", "case_id", "control_id", "family", "distance", "mismatch"]
-        ]
-
-    schema = (
-        "case_index bigint, case_id string, control_id string, family string, "
-        "distance bigint, mismatch bigint"
-    )
-    return (
-        short.withColumn("case_index", F.col("case_index").cast("long"))
-        .withColumn("distance", F.col("distance").cast("long"))
-        .withColumn("mismatch", F.col("mismatch").cast("long"))
-        .drop("_salt", "_k", "tie")
-        .groupBy("family")
-        .applyInPandas(settle, schema)
+    first = F.struct(F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("mismatch"))
+    number = F.when(beyond, F.raise_error(F.lit("more cases than pairs"))).otherwise(F.col("case_index"))
+    key = "struct<tie:string,control_id:string>"
+    state = materialize(
+        cases.select(
+            number.cast("long").alias("case_index"), "case_id", "family", "tier_rank", "renderer_id",
+            first.alias("floor"), F.lit(None).cast(key).alias("after"), F.lit(False).alias("held"),
+        )
+    )
+    pool = settle(
+        pool.select("control_id", "family", F.col("tier_rank").alias("_t"), F.col("renderer_id").alias("_r"))
     )
+    cells = materialize(pool.select("family", "_t", "_r").distinct())
+    while True:
+        waiting = state.filter("NOT held")
+        if waiting.isEmpty():
+            break
+        asked = materialize(_open_cells(waiting, cells))
+        tie = hash_order((F.lit(seed) + F.col("case_index")).cast("long"), "control_id")
+        seen = spread_join(pool, asked, ["family", "_t", "_r"], salt="control_id").withColumn(
+            "key", F.struct(tie.alias("tie"), F.col("control_id"))
+        )
+        best = seen.filter(F.col("after").isNull() | (F.col("key") > F.col("after"))).groupBy(
+            "case_index"
+        ).agg(F.min("key").alias("key"))
+        levels = asked.groupBy("case_index").agg(F.first("level").alias("level"))
+        turns = waiting.drop("held").join(levels, "case_index").join(best, "case_index", "left")
+        # A level that has no control left hands over to the next one.
+        beyond_level = F.struct(
+            F.col("level.distance").alias("distance"), (F.col("level.mismatch") + 1).alias("mismatch")
+        )
+        none = F.col("key").isNull()
+        moved = turns.select(
+            "case_index", "case_id", "family", "tier_rank", "renderer_id",
+            F.when(none, beyond_level).otherwise(F.col("level")).alias("floor"),
+            F.col("key").alias("after"), (~none).alias("held"),
+        )
+        offers = materialize(state.filter("held").unionByName(moved))
+        winners = offers.filter("held").groupBy(F.col("after.control_id").alias("_c")).agg(
+            F.min("case_index").alias("_w")
+        )
+        kept = offers.join(winners, F.col("after.control_id") == F.col("_c"), "left")
+        held = F.col("held") & (F.col("case_index") == F.col("_w"))
+        state = materialize(
+            kept.select(*[c for c in offers.columns if c != "held"], F.coalesce(held, F.lit(False)).alias("held"))
+        )
+    return state.select(
+        "case_index", "case_id", F.col("after.control_id").alias("control_id"), "family",
+        F.col("floor.distance").alias("distance"), F.col("floor.mismatch").alias("mismatch"),
+    )

@@ -222,20 +222,18 @@ def _used_siblings(condition: str, k: int) -> Column:
     )
 
 
-def _truncated_shift(
-    focal: DataFrame, rollouts: DataFrame, k: int, keep: Sequence[str]
-) -> DataFrame:
-    kept = truncate_siblings(rollouts, k)
-    # At most 3 (k + 1) rows per question: the sibling lists fit one short array.
-    lists = kept.groupBy("question_id").agg(
+def _first_siblings(focal: DataFrame, rollouts: DataFrame, k: int) -> DataFrame:
+    """Attach to focal rows the first ``k + 1`` siblings of every arm, at most 3 (k + 1) of them."""
+    lists = truncate_siblings(rollouts, k).groupBy("question_id").agg(
         F.collect_list(
             F.struct("condition", "sibling", "rollout_id", "parsed_answer")
         ).alias("_kept")
     )
-    keyed = focal.select(
-        "rollout_id", "question_id", F.col("parsed_answer").alias("focal_answer"), *keep
-    )
-    joined = attach(keyed, lists, ["question_id"], "left", row_id="rollout_id")
+    return attach(focal, lists, ["question_id"], "left", row_id="rollout_id")
+
+
+def _shift_of(k: int) -> dict[str, Column]:
+    """Return rates, shift and score from exactly the first ``k`` kept siblings of each arm."""
     # Leaving the focal row out moves the cut by one only where the focal row is among the k.
     hits, left = {}, {}
     for condition, arm in _ARM.items():
@@ -247,18 +245,27 @@ def _truncated_shift(
     complete = F.coalesce(
         (left["clean"] == k) & (left["correct"] == k) & (left["corrupted"] == k), F.lit(False)
     )
-    return joined.select(
-        "rollout_id",
-        "question_id",
-        "focal_answer",
-        rate["clean"].alias("clean_frequency"),
-        rate["correct"].alias("correct_state_frequency"),
-        rate["corrupted"].alias("corrupted_state_frequency"),
-        F.when(complete, raw).alias("raw_shift"),
-        F.when(complete, (raw + 1.0) / 2.0).alias("score"),
-        complete.alias("complete"),
-        *keep,
+    return {
+        "clean_frequency": rate["clean"],
+        "correct_state_frequency": rate["correct"],
+        "corrupted_state_frequency": rate["corrupted"],
+        "raw_shift": F.when(complete, raw),
+        "score": F.when(complete, (raw + 1.0) / 2.0),
+        "complete": complete,
+    }
+
+
+def _truncated_shift(
+    focal: DataFrame, rollouts: DataFrame, k: int, keep: Sequence[str]
+) -> DataFrame:
+    keyed = focal.select(
+        "rollout_id", "question_id", F.col("parsed_answer").alias("focal_answer"), *keep
     )
+    joined = _first_siblings(keyed, rollouts, k)
+    return joined.select(
+        "rollout_id", "question_id", "focal_answer",
+        *[c.alias(n) for n, c in _shift_of(k).items()], *keep,
+    )
 
 
 def swap_conditions(
@@ -760,6 +767,16 @@ def baseline_report(rows: DataFrame, *, label: str = "label") -> DataFrame:
     return evaluate_scores(predict(model, rows.filter("split = 'test'")))
 
 
+def _narrow(focal: DataFrame, rollouts: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Write what the answer shift needs of focal rows and siblings, each read once."""
+    names = [c for c in ("rollout_id", "question_id", "condition", "parsed_answer", "status") if c in focal.columns]
+    mine = focal.select(*names, F.col(label).alias("label"))
+    theirs = scorable(rollouts, SHIFT_ARMS).select(
+        "rollout_id", "question_id", "condition", "status", "parsed_answer"
+    )
+    return materialize(mine), materialize(theirs)
+
+
 def sibling_sensitivity(
     focal: DataFrame, rollouts: DataFrame, *, label: str = "label"
 ) -> DataFrame:
@@ -768,15 +785,19 @@ def sibling_sensitivity(
     A reduced score qualifies when it keeps 90 percent of the full AUROC and loses at most
     0.05; ``cheapest`` marks the smallest one that does.
     """
-    labels = focal.select("rollout_id", F.col(label).alias("label"))
-    parts = None
-    for name, k in (("all", None), ("one", 1), ("two", 2)):
-        scored = loo_answer_shift(focal, rollouts, siblings=k).filter("reject_reason IS NULL")
-        part = scored.select("rollout_id", F.lit(name).alias("siblings"), "score")
-        parts = part if parts is None else parts.unionByName(part)
-    rates = evaluate_scores(parts.join(labels, "rollout_id"), ["siblings"]).select(
-        "siblings", "auroc"
-    )
+    focal, rollouts = _narrow(focal, rollouts, label)
+    whole = loo_answer_shift(focal, rollouts, keep=["label", "condition"])
+    whole = whole.filter("reject_reason IS NULL OR reject_reason = 'cell_empty'")
+    # The first siblings that the largest budget asks for hold those of every smaller one.
+    budgets = {"one": 1, "two": 2}
+    listed = _first_siblings(whole.withColumnRenamed("score", "_all"), rollouts, max(budgets.values()))
+    scores = [F.struct(F.lit("all").alias("siblings"), F.col("_all").alias("score"))]
+    scores += [
+        F.struct(F.lit(name).alias("siblings"), _shift_of(k)["score"].alias("score"))
+        for name, k in budgets.items()
+    ]
+    parts = listed.select("label", F.inline(F.array(*scores))).filter("score IS NOT NULL")
+    rates = evaluate_scores(parts, ["siblings"]).select("siblings", "auroc")
     full = rates.filter("siblings = 'all'").select(F.col("auroc").alias("_full"))
     good = (F.col("auroc") >= F.lit(0.90) * F.col("_full")) & (
         F.col("_full") - F.col("auroc") <= F.lit(0.05)
@@ -797,9 +818,9 @@ def placebo_eval(
     focal: DataFrame, rollouts: DataFrame, *, label: str = "label"
 ) -> DataFrame:
     """Evaluate the answer shift after exchanging the correct and the corrupted arm."""
-    shifts = loo_answer_shift(swap_conditions(focal), swap_conditions(rollouts))
-    labels = focal.select("rollout_id", F.col(label).alias("label"))
-    rows = shifts.filter("reject_reason IS NULL").join(labels, "rollout_id")
+    focal, rollouts = _narrow(focal, rollouts, label)
+    shifts = loo_answer_shift(swap_conditions(focal), swap_conditions(rollouts), keep=["label"])
+    rows = shifts.filter("reject_reason IS NULL")
     return evaluate_scores(
         rows.select("rollout_id", "label", "score", F.lit("placebo").alias("component")),
         ["component"],

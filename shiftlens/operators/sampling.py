@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_order
-from shiftlens.operators.joins import lookup_join
+from shiftlens.operators.joins import lookup_join, spread_join
 from shiftlens.operators.ranking import first_k, rank_by_hash, round_robin_quota
 from shiftlens.session import fits_broadcast, literal_rows, setting
 
@@ -204,7 +204,7 @@ def select_screened(
     Only the cell verdict is used, so the outcome of one question never moves its rank.
     """
     good = cells.filter("eligible").select("family", "tier")
-    pool = questions.join(good, ["family", "tier"])
+    pool = spread_join(questions, good, ["family", "tier"], salt="question_id")
     if families is not None:
         pool = pool.filter(F.col("family").isin(*families))
     return balanced_select(
@@ -271,7 +271,7 @@ def group_folds(
     starts = sizes.select(
         "_pos", "_neg", F.coalesce(F.sum("_m").over(order), F.lit(0)).alias("_start")
     )
-    place = F.col("_start") + F.col("_rn") - 1
-    turn, step = F.expr(f"(_start + _rn - 1) div {folds}"), place % folds
+    turn, step = F.expr(f"(_start + _rn - 1) div {folds}"), (F.col("_start") + F.col("_rn") - 1) % folds
     fold = F.when(turn % 2 == 0, step).otherwise(folds - 1 - step)
-    return ranked.join(starts, ["_pos", "_neg"]).select(group, fold.cast("int").alias("fold"))
+    placed = spread_join(ranked, starts, ["_pos", "_neg"], salt=group)
+    return placed.select(group, fold.cast("int").alias("fold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.functions.digests import canonical_digest, canonical_json
+from shiftlens.functions.digests import canonical_digest, canonical_json, config_digest
 from shiftlens.operators import aggregates, gates, graph, interventions, joins, monitors, quality
 from shiftlens.operators.monitors import groups_crossing, leaky_split
 from shiftlens.operators.sampling import balanced_select
@@ -154,6 +154,50 @@ def j4(v: Views) -> DataFrame:
     return rows.select("rollout_id", "seed")
 
 
+# Stored results of two runs: the second one had another sampling temperature.
+_CONFIGS = """CASE WHEN seed % 3 = 0 THEN sha256('{"arms":3,"model":"m","temperature":0.5}')
+  ELSE sha256('{"arms":3,"model":"m","temperature":1.0}') END"""
+
+
+def _configured(v: Views) -> DataFrame:
+    payload = {
+        "arms": F.lit(3), "model": F.lit("m"), "temperature": F.when(F.col("seed") % 3 == 0, 0.5).otherwise(1.0),
+    }
+    done = _done(v)
+    twice = done.unionByName(done.filter(F.col("seed") % 7 == 0))
+    return twice.withColumn("config_sha256", canonical_digest(canonical_json(payload)))
+
+
+_CONFIG = {"temperature": 1.0, "model": "m", "arms": 3}
+
+
+@query(
+    "j4_resume_configuration",
+    f"""
+SELECT p.rollout_id, p.seed FROM ({_PLAN_SQL}) p WHERE p.rollout_id NOT IN (
+  SELECT rollout_id FROM ({_DONE_SQL}) WHERE model = 'm'
+    AND {_CONFIGS} = sha256('{{"arms":3,"model":"m","temperature":1.0}}'))""",
+)
+def j4_resume(v: Views) -> DataFrame:
+    rows = joins.pending_work(_plan(v), _configured(v), model="m", config_sha256=config_digest(_CONFIG))
+    return rows.select("rollout_id", "seed")
+
+
+@query(
+    "j4_resume_problems",
+    f"""
+WITH done AS (SELECT *, {_CONFIGS} AS config FROM ({_DONE_SQL})),
+twice AS (SELECT * FROM done UNION ALL SELECT * FROM done WHERE seed % 7 = 0)
+SELECT rollout_id, 'duplicate_id' AS problem FROM twice GROUP BY rollout_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT rollout_id, 'outside_plan' FROM twice
+  WHERE rollout_id NOT IN (SELECT rollout_id FROM ({_PLAN_SQL}))
+UNION ALL SELECT DISTINCT rollout_id, 'different_configuration' FROM twice
+  WHERE config <> sha256('{{"arms":3,"model":"m","temperature":1.0}}')""",
+)
+def j4_problems(v: Views) -> DataFrame:
+    return joins.resume_problems(_plan(v), _configured(v), config_sha256=config_digest(_CONFIG))
+
+
 @query(
     "j4_outside_plan",
     f"""

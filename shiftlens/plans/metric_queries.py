@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.operators import bootstrap, gates, metrics, monitors, quality
 from shiftlens.operators.joins import lookup_join
+from shiftlens.operators.weights import weights_sql
 from shiftlens.plans.registry import query
 from shiftlens.plans.report_queries import _SIBLING_SQL, CONTROL, TREATED
 from shiftlens.plans.text_queries import _PAYLOADS, judged
@@ -270,28 +271,40 @@ _TEST = "(SELECT * FROM scores WHERE split = 'test')"
 _TEST_GROUPS = "(SELECT DISTINCT question_id FROM scores WHERE split = 'test')"
 
 
-def _replicates_sql(where: str, seed: str) -> str:
-    merged = f"""(SELECT s.component, d.replicate, s.score, sum(s.label)::BIGINT AS pos,
-    sum(1 - s.label)::BIGINT AS neg
-  FROM draws_n d JOIN clusters_n c USING (slot) JOIN {_TEST} s USING (question_id)
-  {where} GROUP BY ALL)"""
-    return f"""{_draws(_TEST_GROUPS, METRIC_SAMPLES, seed)},
-reps_n AS (SELECT * FROM ({_metrics_sql(merged, "component, replicate", counts=True)})
+def _weighted_sql(seed: str) -> str:
+    """Return SQL for the metrics of replicates whose weights are drawn by cluster."""
+    merged = f"""(SELECT s.component, d.replicate, s.score, sum(s.label * d.w)::BIGINT AS pos,
+    sum((1 - s.label) * d.w)::BIGINT AS neg
+  FROM weights_n d JOIN {_TEST} s USING (question_id) WHERE d.w > 0 GROUP BY ALL)"""
+    return f"""weights_n AS MATERIALIZED ({weights_sql(_TEST_GROUPS, "question_id", METRIC_SAMPLES, seed)}),
+{_long_sql(merged)}"""
+
+
+def _long_sql(merged: str) -> str:
+    return f"""reps_n AS (SELECT * FROM ({_metrics_sql(merged, "component, replicate", counts=True)})
   WHERE available),
 long_n AS (SELECT component, replicate, unnest(['auroc', 'auprc', 'false_positive_rate']) AS metric,
   unnest([auroc, auprc, false_positive_rate]) AS value FROM reps_n)"""
 
 
-@query(
-    "b3_cluster_bootstrap_metrics",
-    f"""
-WITH {_replicates_sql("", "19")},
+def _drawn_sql(seed: str) -> str:
+    """Return SQL for the metrics of replicates that draw whole clusters."""
+    merged = f"""(SELECT s.component, d.replicate, s.score, sum(s.label)::BIGINT AS pos,
+    sum(1 - s.label)::BIGINT AS neg
+  FROM draws_n d JOIN clusters_n c USING (slot) JOIN {_TEST} s USING (question_id)
+  GROUP BY ALL)"""
+    return f"{_draws(_TEST_GROUPS, METRIC_SAMPLES, seed)},\n{_long_sql(merged)}"
+
+
+_METRIC_EDGES = f"""
 vals AS (SELECT component, metric, list_sort(list(value)) AS l FROM long_n GROUP BY ALL)
 SELECT component, metric, len(l) AS successful_samples,
   round(l[floor(0.025::DOUBLE * (len(l) - 1))::INT + 1], 9) AS low,
   round(l[floor(0.975::DOUBLE * (len(l) - 1))::INT + 1], 9) AS high,
-  {METRIC_SAMPLES}::BIGINT AS requested_samples FROM vals""",
-)
+  {METRIC_SAMPLES}::BIGINT AS requested_samples FROM vals"""
+
+
+@query("b3_cluster_bootstrap_metrics", f"WITH {_weighted_sql('19')}, {_METRIC_EDGES}")
 def b3(v: Views) -> DataFrame:
     out = bootstrap.cluster_bootstrap_metrics(
         v.scores.filter("split = 'test'"), samples=METRIC_SAMPLES, seed=19
@@ -299,13 +312,21 @@ def b3(v: Views) -> DataFrame:
     return _rounded(out, ("low", "high"))
 
 
+@query("b3_exact_draws", f"WITH {_drawn_sql('19')}, {_METRIC_EDGES}")
+def b3_exact(v: Views) -> DataFrame:
+    out = bootstrap.cluster_bootstrap_metrics(
+        v.scores.filter("split = 'test'"), samples=METRIC_SAMPLES, seed=19, method="draws"
+    )
+    return _rounded(out, ("low", "high"))
+
+
 _PAIR = ("counterfactual_answer_shift", "control_suppression_only")
 
 
 @query(
     "b4_paired_bootstrap_difference",
     f"""
-WITH {_replicates_sql("", "20")},
+WITH {_weighted_sql("20")},
 diffs AS (SELECT a.metric, a.value - b.value AS value FROM long_n a JOIN long_n b
   ON a.replicate = b.replicate AND a.metric = b.metric
   WHERE a.component = '{_PAIR[0]}' AND b.component = '{_PAIR[1]}'),

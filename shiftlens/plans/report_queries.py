@@ -362,14 +362,35 @@ def a21(v: Views) -> DataFrame:
     return out.withColumn("kappa", F.round("kappa", 9))
 
 
-@query("a22_exact_binomial_ci")
+def _tail_sql(steps: str, p: str) -> str:
+    """Return SQL for the chance of a number of successes in a range."""
+    term = f"lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})"
+    return f"list_sum(list_transform(range({steps}), lambda i: exp({term})))"
+
+
+@query(
+    "a22_exact_binomial_ci",
+    f"""
+WITH RECURSIVE report AS (SELECT condition, family, count(*) FILTER (hit_target) AS k,
+    count(*) FILTER (grade IN ('correct', 'incorrect')) AS n FROM graded GROUP BY ALL),
+halving AS (SELECT *, 0 AS step, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d FROM report
+  UNION ALL
+  SELECT condition, family, k, n, step + 1, CASE WHEN low THEN m ELSE a END, CASE WHEN low THEN b ELSE m END,
+    CASE WHEN high THEN w ELSE c END, CASE WHEN high THEN d ELSE w END
+  FROM (SELECT *, {_tail_sql("k, n + 1", "m")} < 0.025::DOUBLE AS low, {_tail_sql("0, k + 1", "w")} > 0.025::DOUBLE AS high
+    FROM (SELECT *, (a + b) / 2 AS m, (c + d) / 2 AS w FROM halving WHERE step < 60)))
+SELECT condition, family, k AS target_selections, n AS scorable,
+  round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE a END, 8) AS low,
+  round(CASE WHEN k = n THEN 1.0::DOUBLE ELSE d END, 8) AS high FROM halving WHERE step = 60""",
+)
 def a22(v: Views) -> DataFrame:
     report = aggregates.condition_report(v.graded, ["condition", "family"])
-    return metrics.exact_binomial_ci(
+    out = metrics.exact_binomial_ci(
         report.select("condition", "family", "target_selections", "scorable"),
         "target_selections",
         "scorable",
     )
+    return out.withColumns({c: F.round(c, 8) for c in ("low", "high")})
 
 
 @query(

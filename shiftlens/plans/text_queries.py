@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from shiftlens.operators import interventions, joins, monitors
 from shiftlens.operators.aggregates import scorable
 from shiftlens.plans.registry import query
 from shiftlens.plans.views import Views
+from shiftlens.session import checkpoint_folder
 from shiftlens.sources import tables
 
 NOVEL = "This is a new problem. "
@@ -104,6 +108,44 @@ def s6(v: Views) -> DataFrame:
     return found.select(F.substring_index("path", "/", -1).alias("artifact"), "length", "sha256")
 
 
+def _written_nations(v: Views) -> str:
+    """Write the nations of each region as one text file, once; a second write is refused."""
+    path = f"{checkpoint_folder(v.spark)}/nations-{uuid.uuid4().hex}"
+    lines = v.table("nation").select("n_regionkey", F.concat_ws(";", "n_nationkey", "n_name").alias("value"))
+    placed = lines.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "value")
+    tables.write_once(placed, path, "text", by=["n_regionkey"])
+    return path
+
+
+@query(
+    "s3_write_once",
+    """
+SELECT n_regionkey AS region, n_nationkey || ';' || n_name AS value, TRUE AS second_write_refused FROM nation""",
+)
+def s3(v: Views) -> DataFrame:
+    path = _written_nations(v)
+    try:
+        tables.write_once(v.table("nation").select("n_name"), path, "text")
+        refused = False
+    except AnalysisException as error:
+        refused = error.getCondition() == "PATH_ALREADY_EXISTS"
+    rows = v.spark.read.text(path)
+    return rows.select(F.col("n_regionkey").alias("region"), "value", F.lit(refused).alias("second_write_refused"))
+
+
+@query(
+    "s6_digests_of_written",
+    """
+SELECT n_regionkey AS region, length(body)::BIGINT AS length, sha256(body) AS sha256
+FROM (SELECT n_regionkey, string_agg(line || chr(10), '' ORDER BY line) AS body
+  FROM (SELECT n_regionkey, n_nationkey || ';' || n_name AS line FROM nation) GROUP BY n_regionkey)""",
+)
+def s6_written(v: Views) -> DataFrame:
+    found = tables.artifact_digests(v.spark, f"{_written_nations(v)}/*/*.txt")
+    region = F.regexp_extract("path", r"n_regionkey=(\d+)/", 1).cast("int")
+    return found.select(region.alias("region"), "length", "sha256")
+
+
 @query(
     "s7_verify_artifacts",
     """

@@ -18,6 +18,7 @@ from shiftlens.operators.joins import lookup_join
 from shiftlens.operators.monitors import error_kind, loo_answer_shift, score_decomposition
 from shiftlens.operators.sampling import grouped_split
 from shiftlens.schema import SHIFT_ARMS
+from shiftlens.session import materialize
 
 
 class Views:
@@ -94,11 +95,15 @@ class Views:
             "k",
         )
 
+    @cached_property
+    def users(self) -> DataFrame:
+        """The distinct users, written once: the split reads them several times."""
+        return materialize(self.table("events").select("user_id").distinct())
+
     @cached_property
     def questions(self) -> DataFrame:
         """One row per user, with a frozen grouped split."""
-        users = self.table("events").select("user_id").distinct()
-        base = users.select("user_id", *_question_columns())
+        base = self.users.select("user_id", *_question_columns())
         split = grouped_split(base, seed=17)
         return lookup_join(base, split, ["question_id"]).select(
             "*",

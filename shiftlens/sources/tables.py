@@ -104,9 +104,12 @@ def json_objects(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def write_once(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Write a new dataset; an existing path is an error."""
-    df.write.mode("errorifexists").format(file_format).save(path)
+def write_once(
+    df: DataFrame, path: str, file_format: str = "parquet", *, by: Sequence[str] = ()
+) -> None:
+    """Write a new dataset, in a folder for each value of ``by``; an existing path is an error."""
+    writer = df.write.mode("errorifexists").format(file_format)
+    (writer.partitionBy(*by) if by else writer).save(path)
 
 
 def normalize_mcq(rows: DataFrame, *, source_split: str, prefix: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Answer extraction, normalisation, grading and text features."""
 
 import hashlib
+import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,8 +168,42 @@ def test_boxes_at_any_depth_and_long_fractions(frame):
 
 def test_grades_of_long_fractions_and_names(frame):
     a, b = "1" * 34 + "/" + "7" * 33, "1" * 34 + "/" + "7" * 34
-    pairs = [(a, a, "correct"), (a, b, "review"), ("b", "a", "incorrect"), ("1" * 50, "2" * 50, "incorrect"),
-             ("x + 1", "a", "review"), (a, "1/2", "review")]
+    pairs = [(a, a, "correct"), (a, b, "incorrect"), ("b", "a", "incorrect"), ("1" * 50, "2" * 50, "incorrect"),
+             ("x + 1", "a", "review"), (a, "1/2", "incorrect")]
     rows = frame([(i, p, g) for i, (p, g, _) in enumerate(pairs)], "i int, p string, g string")
     got = {r.i: r.v for r in rows.select("i", answers.grade(F.col("p"), F.col("g")).alias("v")).collect()}
     assert [got[i] for i in range(len(pairs))] == [w for *_, w in pairs]
+
+
+def test_long_fractions_reduce_and_grade_exactly(frame):
+    d = 10**39 + 7
+    inputs = [
+        f"{3 * d}/{5 * d}", f"\\frac{{{-3 * d}}}{{{5 * d}}}", f"0.{'5' * 40}", f"{d}/{d}", f"{d}/0", f"0/{d}",
+        f"\\frac{{{d}}}{{{-7 * d}}}", "9" * 5000 + "/" + "3" * 5000,
+    ]
+    expected = ["3/5", "-3/5", str(Fraction(f"0.{'5' * 40}")), "1", None, "0", "-1/7", "3"]
+    assert values(frame, inputs, answers.normalize_answer) == expected
+    rows = [
+        (f"{3 * d}/{5 * d}", f"{6 * d}/{10 * d}", "correct"), (f"{3 * d}/{5 * d}", "3/5", "correct"),
+        (f"{3 * d}/{5 * d}", "0.6", "correct"), (f"-{3 * d}/{5 * d}", "3/5", "incorrect"),
+        (f"{3 * d + 1}/{5 * d}", "3/5", "incorrect"), (f"{d}/{d}", "1", "correct"), (f"{d}/{d}", "x", "review"),
+        (f"\\frac{{{-d}}}{{{-2 * d}}}", "1/2", "correct"), (f"0/{d}", "0", "correct"),
+        ("7" * 700 + "/" + "1" * 700, "7", "correct"), ("7" * 700 + "/" + "1" * 699 + "2", "7", "incorrect"),
+    ]
+    df = frame([(i, *r) for i, r in enumerate(rows)], "i int, p string, g string, want string")
+    found = df.orderBy("i").select(answers.grade(F.col("p"), F.col("g")).alias("got"), "want").collect()
+    assert [r.got for r in found] == [r.want for r in found]
+    same = f"\\boxed{{{3 * d}/{5 * d}}} so \\boxed{{0.6}}"
+    assert values(frame, [same], answers.extract_final_answer) == ["3/5"]
+
+
+def test_boxes_at_any_depth_and_number(frame):
+    many = "".join("} \\boxed{%d} {" % i for i in range(10_000))
+    nested = "\\boxed{" * 300 + "1" + "}" * 300
+    inputs = ["a } \\boxed{x{y}z} {", "\\boxed{a\\boxed{b}} \\boxed{", many, nested, "none", None, "\\boxed{}", "{\\boxed{q}"]
+    found = values(frame, inputs, answers.boxed_answers)
+    assert found[:2] == [["x{y}z"], ["a\\boxed{b}", "b"]] and found[2] == [str(i) for i in range(10_000)]
+    assert len(found[3]) == 300 and found[3][-1] == "1" and found[4:] == [[], [], [""], ["q"]]
+    start = time.perf_counter()
+    values(frame, ["\\boxed{1} " * 100_000], answers.extract_final_answer)
+    assert time.perf_counter() - start < 60

@@ -215,7 +215,9 @@ def test_bootstrap_metrics_against_brute_force(spark, frame):
     counts = metrics.score_counts(df, ["component", "question_id"])
     got = {
         r.replicate: (r.auroc, r.auprc)
-        for r in bootstrap.replicate_metrics(counts, ["component"], samples=20, seed=4).collect()
+        for r in bootstrap.replicate_metrics(
+            counts, ["component"], samples=20, seed=4, method="draws"
+        ).collect()
     }
     indexed = bootstrap.indexed_clusters(df.select("question_id").distinct(), [], "question_id")
     names = {r._slot: r.question_id for r in indexed.collect()}
