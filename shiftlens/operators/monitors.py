@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +19,7 @@ from shiftlens.operators.joins import (
     lookup_where,
     transfer_threshold,
 )
+from shiftlens.operators.logistic import LogisticFit, fit
 from shiftlens.operators.metrics import evaluate_scores, exact_binomial_ci
 from shiftlens.operators.quality import group_leakage, require_empty
 from shiftlens.operators.ranking import first_k, rank_by_hash
@@ -481,32 +480,16 @@ def fit_logistic(
     *,
     features: str = "features",
     label: str = "label",
-    max_iter: int = 2000,
-) -> PipelineModel:
+    max_iter: int = 200,
+) -> LogisticFit:
     """Fit the class-balanced L2 logistic regression with unit inverse penalty."""
-    weighted, n = balanced_weights(rows, label)
-    model = LogisticRegression(
-        featuresCol=features,
-        labelCol=label,
-        weightCol="_weight",
-        regParam=1.0 / n,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-8,
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
-        predictionCol="_prediction",
-    )
-    return Pipeline(stages=[*stages, model]).fit(weighted)
-
-
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    weighted, _ = balanced_weights(rows, label)
+    return fit(weighted, stages, features=features, label=label, weight="_weight", max_iter=max_iter)
+
+
+def predict(model: LogisticFit, rows: DataFrame) -> DataFrame:
     """Add the positive-class probability as ``score``."""
-    scored = model.transform(rows)
-    return scored.select(
-        *rows.columns, vector_to_array(F.col("_probability"))[1].alias("score")
-    )
+    return model.scores(rows)
 
 
 def with_surface_features(
@@ -529,7 +512,7 @@ def surface_table(
     return materialize(with_surface_features(rows, text, answer).drop(text))
 
 
-def surface_monitor(train: DataFrame, label: str = "label") -> PipelineModel:
+def surface_monitor(train: DataFrame, label: str = "label") -> LogisticFit:
     """Fit the surface monitor on rows that carry the feature columns."""
     assemble = VectorAssembler(inputCols=list(SURFACE_FEATURES), outputCol="features")
     return fit_logistic(train, [assemble], label=label)
@@ -551,7 +534,7 @@ def template_monitor(
     train: DataFrame,
     columns: Sequence[str] = ("family", "tier", "renderer_id"),
     label: str = "label",
-) -> PipelineModel:
+) -> LogisticFit:
     """Fit the nuisance control on one-hot identities; unknown categories score as zeros."""
     indexed = [f"_i_{c}" for c in columns]
     encoded = [f"_e_{c}" for c in columns]
@@ -566,7 +549,7 @@ def template_monitor(
 
 def linear_probe(train: DataFrame, column: str = "embedding", label: str = "label"):
     """Fit the linear probe on an array column turned into ``features``."""
-    return fit_logistic(as_features(train, column), [], label=label, max_iter=3000)
+    return fit_logistic(as_features(train, column), [], label=label)
 
 
 def as_features(rows: DataFrame, column: str = "embedding") -> DataFrame:
@@ -729,7 +712,7 @@ def invalid_split_diagnostic(examples: DataFrame, *, seed: int) -> DataFrame:
 
 
 def external_transfer(
-    model: PipelineModel, thresholds: DataFrame, study: DataFrame, *, component: str
+    model: LogisticFit, thresholds: DataFrame, study: DataFrame, *, component: str
 ) -> DataFrame:
     """Apply a frozen model and its frozen threshold to another study without refitting.
 

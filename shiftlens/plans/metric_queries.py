@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from shiftlens.operators import bootstrap, gates, metrics, monitors, quality
 from shiftlens.operators.joins import lookup_join
 from shiftlens.operators.weights import weights_sql
-from shiftlens.plans.registry import query
-from shiftlens.plans.report_queries import _SIBLING_SQL, CONTROL, TREATED
+from shiftlens.plans.fit_sql import logistic_fit, score
+from shiftlens.plans.registry import ORACLES, query
+from shiftlens.plans.report_queries import _SIBLING_SQL, CONTROL, TREATED, _tail_sql
 from shiftlens.plans.text_queries import _PAYLOADS, judged
 from shiftlens.plans.views import Views
 
@@ -394,46 +395,107 @@ def b6(v: Views) -> DataFrame:
 
 
 # ---- fitted monitors ---------------------------------------------------------------------
+# Both sides fit to the optimum by themselves; scores are compared to four digits.
+
+_FEATURED = """
+featured AS MATERIALIZED (SELECT l.example_id, l.question_id, l.family, l.split, l.label,
+  [character_count, token_proxy_count, uncertainty_count, backtrack_count, contradiction_count,
+    answer_mentions]::DOUBLE[] AS f
+  FROM labelled_text l JOIN (""" + ORACLES["p18_surface_features"] + """) s ON l.example_id = s.doc_id::VARCHAR)"""
+_TRAIN = "SELECT 'all' AS g, label AS y, f FROM featured WHERE split = 'train'"
+
+
+def _scores_sql(width: int, train: str, features: str = "f", rows: str = "featured", before: str = _FEATURED) -> str:
+    """Return SQL that fits one model and scores all rows."""
+    return f"""
+WITH RECURSIVE {before},
+{logistic_fit(train, width)}
+SELECT example_id, split, label, round({score(features)}, 4) AS score FROM {rows}, fit_n"""
 
 
 def _featured(v: Views) -> DataFrame:
     return monitors.surface_table(v.labelled_text)
 
 
+def _shown(scored: DataFrame, *columns: str) -> DataFrame:
+    return scored.select(*columns, F.round("score", 4).alias("score"))
+
+
 def _fit_and_score(rows: DataFrame, fit) -> DataFrame:
     model = fit(rows.filter("split = 'train'"))
-    return monitors.predict(model, rows).select("example_id", "split", "label", "score")
+    return _shown(monitors.predict(model, rows), "example_id", "split", "label")
 
 
-@query("l1_surface_monitor")
+@query("l1_surface_monitor", _scores_sql(6, _TRAIN))
 def l1(v: Views) -> DataFrame:
     return _fit_and_score(_featured(v), monitors.surface_monitor)
 
 
-@query("l2_length_monitor")
+@query("l2_length_monitor", _scores_sql(1, _TRAIN.replace(" f FROM", " f[1:1] AS f FROM"), "f[1:1]"))
 def l2(v: Views) -> DataFrame:
     return _fit_and_score(_featured(v), monitors.length_monitor)
 
 
-@query("l3_template_monitor")
+_TEMPLATES = """
+cells AS (SELECT * FROM (SELECT DISTINCT 'family' AS kind, family AS name FROM labelled_text WHERE split = 'train'
+  UNION SELECT DISTINCT 'tier', (example_id::BIGINT % 3)::VARCHAR FROM labelled_text WHERE split = 'train'
+  UNION SELECT DISTINCT 'renderer', (example_id::BIGINT % 2)::VARCHAR FROM labelled_text WHERE split = 'train')),
+known AS (SELECT list(kind || ':' || name ORDER BY kind, name) AS names,
+  list_transform(range(12 - count(*)::INT), lambda i: 0.0::DOUBLE) AS fill FROM cells),
+templated AS MATERIALIZED (SELECT example_id, split, label, list_concat(list_transform(names, lambda c:
+  CASE WHEN c IN ('family:' || family, 'tier:' || example_id::BIGINT % 3, 'renderer:' || example_id::BIGINT % 2)
+    THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), fill) AS f FROM labelled_text, known)"""
+
+
+@query(
+    "l3_template_monitor",
+    _scores_sql(12, "SELECT 'all' AS g, label AS y, f FROM templated WHERE split = 'train'", rows="templated",
+                before=_TEMPLATES),
+)
 def l3(v: Views) -> DataFrame:
     return _fit_and_score(v.labelled_text, monitors.template_monitor)
 
 
-@query("l4_shuffled_label_monitor")
+_PERMUTED = _FEATURED + """,
+slots AS (SELECT example_id, row_number() OVER (ORDER BY sha256('4|rows|' || example_id)) AS i
+  FROM featured WHERE split = 'train'),
+dealt AS (SELECT label, row_number() OVER (ORDER BY sha256('4|labels|' || example_id)) AS i
+  FROM featured WHERE split = 'train')"""
+
+
+@query(
+    "l4_shuffled_label_monitor",
+    _scores_sql(6, "SELECT 'all' AS g, d.label AS y, f FROM featured JOIN slots USING (example_id) JOIN dealt d USING (i)",
+                before=_PERMUTED),
+)
 def l4(v: Views) -> DataFrame:
     rows = _featured(v)
     train = rows.filter("split = 'train'")
     permuted = monitors.permute_labels(train, "label", 4)
     shuffled = train.join(permuted, "example_id").withColumn("label", F.col("permuted_label"))
     model = monitors.surface_monitor(shuffled)
-    return monitors.predict(model, rows).select("example_id", "split", "label", "score")
+    return _shown(monitors.predict(model, rows), "example_id", "split", "label")
+
+
+# Groups of one class mix are dealt back and forth, the mixes in order.
+_FOLDS = _FEATURED + """,
+mixes AS (SELECT question_id, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n
+  FROM featured WHERE split = 'train' GROUP BY ALL),
+places AS (SELECT question_id, row_number() OVER (ORDER BY p, n, sha256('5|' || question_id), question_id) - 1 AS i FROM mixes),
+folded AS MATERIALIZED (SELECT f.*, CASE WHEN i // 5 % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold
+  FROM featured f JOIN places USING (question_id) WHERE split = 'train')"""
 
 
-@query("l5_oof_scores")
+@query(
+    "l5_oof_scores",
+    f"""
+WITH RECURSIVE {_FOLDS},
+{logistic_fit("SELECT t AS g, label AS y, f FROM folded, range(5) r(t) WHERE fold <> t", 6)}
+SELECT example_id, fold::INT AS fold, label, round({score("f")}, 4) AS score FROM folded JOIN fit_n ON g = fold""",
+)
 def l5(v: Views) -> DataFrame:
     train = _featured(v).filter("split = 'train'")
-    return monitors.oof_scores(train, seed=5).select("example_id", "fold", "label", "score")
+    return _shown(monitors.oof_scores(train, seed=5), "example_id", "fold", "label")
 
 
 @query(
@@ -462,12 +524,76 @@ def _local(v: Views) -> DataFrame:
     )
 
 
-@query("l7_local_component_scores")
+_SURFACE = ORACLES["p18_surface_features"]
+_OWN_ANSWER = _SURFACE.replace("SELECT doc_id, ", "SELECT example_id, ").replace("w = 'the'", "w = answer").replace(
+    "FROM documents", "FROM own"
+)
+# All examples with their features; primary ones of the training split fit the monitors.
+_LOCAL = f"""
+own AS MATERIALIZED (SELECT e.example_id, e.question_id, e.split, e.is_primary, e.binary_label AS label, e.family,
+    e.tier, e.renderer_id, e.parsed_answer AS answer, e.k, t.response AS text
+  FROM examples e JOIN rollout_texts t USING (rollout_id)),
+rows_l AS MATERIALIZED (SELECT o.* EXCLUDE (text), is_primary AND split = 'train' AS training,
+  [character_count, token_proxy_count, uncertainty_count, backtrack_count, contradiction_count, answer_mentions]::DOUBLE[] AS f
+  FROM own o JOIN ({_OWN_ANSWER}) s USING (example_id)),
+slots_l AS (SELECT example_id, row_number() OVER (ORDER BY sha256('8|rows|' || example_id)) AS i FROM rows_l WHERE training),
+dealt_l AS (SELECT label, row_number() OVER (ORDER BY sha256('8|labels|' || example_id)) AS i FROM rows_l WHERE training),
+mixes_l AS (SELECT question_id, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM rows_l
+  WHERE training GROUP BY ALL),
+places_l AS (SELECT question_id, row_number() OVER (ORDER BY p, n, sha256('7|' || question_id), question_id) - 1 AS i FROM mixes_l),
+folded_l AS MATERIALIZED (SELECT r.*, CASE WHEN i // 5 % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold
+  FROM rows_l r JOIN places_l USING (question_id) WHERE training),
+names_l AS (SELECT list(name ORDER BY name) AS names, list_transform(range(16 - count(*)::INT), lambda i: 0.0::DOUBLE) AS fill
+  FROM (SELECT DISTINCT unnest(['f:' || family, 't:' || tier, 'r:' || renderer_id]) AS name FROM rows_l WHERE training)),
+templated_l AS MATERIALIZED (SELECT example_id, training, label, list_concat(list_transform(names, lambda c:
+  CASE WHEN c IN ('f:' || family, 't:' || tier, 'r:' || renderer_id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), fill) AS f
+  FROM rows_l, names_l),
+{logistic_fit("SELECT 'all' AS g, label AS y, f FROM rows_l WHERE training", 6, "surf", 25)},
+{logistic_fit("SELECT 'all' AS g, label AS y, f[1:1] AS f FROM rows_l WHERE training", 1, "len", 25)},
+{logistic_fit("SELECT 'all' AS g, label AS y, f FROM templated_l WHERE training", 16, "temp", 25)},
+{logistic_fit("SELECT 'all' AS g, d.label AS y, f FROM rows_l JOIN slots_l USING (example_id) JOIN dealt_l d USING (i)", 6, "perm", 25)},
+{logistic_fit("SELECT t AS g, label AS y, f FROM folded_l, range(5) r(t) WHERE fold <> t", 6, "oof", 25)},
+surface_l AS MATERIALIZED (SELECT example_id, {score("f")} AS score, 'five_fold_question_oof' AS score_origin
+    FROM folded_l JOIN oof_n ON g = fold
+  UNION ALL SELECT example_id, {score("f")}, 'full_train_model' FROM rows_l, surf_n WHERE NOT training),
+shift_l AS MATERIALIZED (SELECT f.example_id, (count(*) FILTER (s.condition = 'corrupted_continuation' AND hit)
+      / count(*) FILTER (s.condition = 'corrupted_continuation')::DOUBLE
+    - greatest(count(*) FILTER (s.condition = 'clean' AND hit) / count(*) FILTER (s.condition = 'clean')::DOUBLE,
+      count(*) FILTER (s.condition = 'correct_continuation' AND hit)
+        / count(*) FILTER (s.condition = 'correct_continuation')::DOUBLE) + 1.0::DOUBLE) / 2.0::DOUBLE AS score
+  FROM examples f JOIN siblings s ON s.question_id = f.question_id AND s.rollout_id <> f.rollout_id,
+    LATERAL (SELECT s.parsed_answer = f.parsed_answer AS hit) GROUP BY ALL)"""
+
+
+@query(
+    "l7_local_component_scores",
+    f"""
+WITH RECURSIVE {_LOCAL}
+SELECT example_id, question_id, split, component, round(score, 4) AS score, score_origin FROM rows_l JOIN (
+  SELECT example_id, 'correctness_only' AS component, 1.0::DOUBLE AS score,
+    'constant_known_incorrect_control' AS score_origin FROM rows_l
+  UNION ALL SELECT example_id, 'reasoning_length', {score("f[1:1]")}, 'full_train_model' FROM rows_l, len_n
+  UNION ALL SELECT example_id, 'template_identity', {score("f")}, 'full_train_model' FROM templated_l, temp_n
+  UNION ALL SELECT example_id, 'shuffled_label_surface', {score("f")}, 'full_train_model' FROM rows_l, perm_n
+  UNION ALL SELECT example_id, 'counterfactual_answer_shift', score, 'fixed_label_free' FROM shift_l
+  UNION ALL SELECT example_id, 'surface', score, score_origin FROM surface_l) USING (example_id)""",
+)
 def l7(v: Views) -> DataFrame:
-    return _local(v)
+    return _local(v).withColumn("score", F.round("score", 4))
 
 
-@query("l8_hybrid_scores")
+@query(
+    "l8_hybrid_scores",
+    f"""
+WITH RECURSIVE {_LOCAL},
+fused AS MATERIALIZED (SELECT r.example_id, question_id, split, label,
+    [u.score, k / 99.0::DOUBLE, (99 - k) / 99.0::DOUBLE, h.score]::DOUBLE[] AS f
+  FROM rows_l r JOIN surface_l u USING (example_id) JOIN shift_l h USING (example_id) WHERE is_primary),
+{logistic_fit("SELECT 'all' AS g, label AS y, f FROM fused WHERE split = 'train'", 4, "fuse", 25)}
+SELECT example_id, question_id, split, 'hybrid' AS component, round({score("f")}, 4) AS score,
+  'five_fold_oof_component_fusion' AS score_origin
+FROM fused, fuse_n WHERE split IN ('validation', 'test')""",
+)
 def l8(v: Views) -> DataFrame:
     primary = _text_examples(v).filter("is_primary")
     view = F.explode(F.array(F.lit("transcript_only"), F.lit("context_aware"))).alias("view")
@@ -478,24 +604,89 @@ def l8(v: Views) -> DataFrame:
         (F.when(F.col("view") == "context_aware", 99 - F.col("k")).otherwise(F.col("k")) / 99.0)
         .alias("score"),
     )
-    return monitors.hybrid_scores(primary, _local(v), judge)
+    return monitors.hybrid_scores(primary, _local(v), judge).withColumn("score", F.round("score", 4))
+
 
+_EMBEDDED = """
+base AS (SELECT vec_id::VARCHAR AS example_id, embedding::DOUBLE[] AS f, (label < 5)::INT AS label FROM embeddings),
+ranked AS (SELECT *, row_number() OVER (ORDER BY sha256('17|' || example_id)) AS rn, count(*) OVER () AS n FROM base),
+embedded AS MATERIALIZED (SELECT example_id, label, f, CASE WHEN rn <= round_even(n * 0.6, 0) THEN 'train'
+  WHEN rn <= round_even(n * 0.6, 0) + round_even(n * 0.2, 0) THEN 'validation' ELSE 'test' END AS split FROM ranked)"""
 
-@query("l9_linear_probe")
+
+@query(
+    "l9_linear_probe",
+    _scores_sql(64, "SELECT 'all' AS g, label AS y, f FROM embedded WHERE split = 'train'", rows="embedded", before=_EMBEDDED),
+)
 def l9(v: Views) -> DataFrame:
     rows = v.embeddings
     model = monitors.linear_probe(rows.filter("split = 'train'"))
-    return monitors.predict(model, monitors.as_features(rows)).select(
-        "example_id", "split", "label", "score"
-    )
+    scored = monitors.predict(model, monitors.as_features(rows))
+    return _shown(scored, "example_id", "split", "label")
+
+
+def _report_sql(before: str, train: str, rows: str) -> str:
+    """Return CTEs that score rows by a fitted model as ``scored``, in ``component`` surface."""
+    return f"""{before},
+{logistic_fit(train, 6)},
+scored AS MATERIALIZED (SELECT *, 'surface' AS component, {score("f")} AS score FROM ({rows}), fit_n)"""
 
 
-@query("l10_invalid_split_diagnostic")
+_LEAKY = _FEATURED + """,
+leaky AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY sha256('10|' || example_id), example_id)
+    <= round_even(count(*) OVER (PARTITION BY label) * 0.2, 0) THEN 'test' ELSE 'train' END AS leaky_split FROM featured)"""
+
+
+@query(
+    "l10_invalid_split_diagnostic",
+    f"""
+WITH RECURSIVE {_report_sql(_LEAKY, "SELECT 'all' AS g, label AS y, f FROM leaky WHERE leaky_split = 'train'",
+                            "SELECT * FROM leaky WHERE leaky_split = 'test'")}
+SELECT n, positives, available, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(threshold, 4) AS threshold,
+  round(achieved_recall, 6) AS achieved_recall, round(false_positive_rate, 6) AS false_positive_rate,
+  (SELECT count(*) FROM (SELECT question_id FROM leaky WHERE leaky_split = 'train' INTERSECT
+    SELECT question_id FROM leaky WHERE leaky_split = 'test')) AS question_groups_crossing_split,
+  'invalid_leakage_diagnostic_not_research_evidence' AS status
+FROM ({_metrics_sql("scored", "component")})""",
+)
 def l10(v: Views) -> DataFrame:
-    return monitors.invalid_split_diagnostic(_featured(v), seed=10)
+    out = monitors.invalid_split_diagnostic(_featured(v), seed=10)
+    return _rounded_metrics(out)
+
+
+def _rounded_metrics(df: DataFrame) -> DataFrame:
+    digits = {"auroc": 6, "auprc": 6, "achieved_recall": 6, "false_positive_rate": 6, "threshold": 4}
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items() if c in df.columns})
+
+
+_HALVING = f"""
+halving AS (SELECT *, 0 AS step, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d FROM cases
+  UNION ALL
+  SELECT what, k, n, step + 1, CASE WHEN low THEN m ELSE a END, CASE WHEN low THEN b ELSE m END,
+    CASE WHEN high THEN w ELSE c END, CASE WHEN high THEN d ELSE w END
+  FROM (SELECT *, {_tail_sql("k, n + 1", "m")} < 0.025::DOUBLE AS low, {_tail_sql("0, k + 1", "w")} > 0.025::DOUBLE AS high
+    FROM (SELECT *, (a + b) / 2 AS m, (c + d) / 2 AS w FROM halving WHERE step < 60))),
+ends AS (SELECT what, round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE a END, 6) AS low,
+  round(CASE WHEN k = n THEN 1.0::DOUBLE ELSE d END, 6) AS high FROM halving WHERE step = 60)"""
 
 
-@query("l11_external_transfer")
+@query(
+    "l11_external_transfer",
+    f"""
+WITH RECURSIVE {_report_sql(_FEATURED, _TRAIN + " AND family <> 'de'", "SELECT * FROM featured")},
+chosen AS (SELECT threshold AS t FROM ({_metrics_sql("(SELECT * FROM scored WHERE split = 'validation' AND family <> 'de')", "component")})),
+away AS MATERIALIZED (SELECT * FROM scored WHERE family = 'de'),
+moved AS (SELECT max(t) AS t, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n,
+  count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label = 0 AND score >= t) AS fp FROM away, chosen),
+cases AS (SELECT 'recall' AS what, tp AS k, p AS n FROM moved UNION ALL SELECT 'fpr', fp, n FROM moved), {_HALVING}
+SELECT component, r.n, positives, available, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc,
+  round(threshold, 4) AS threshold, round(achieved_recall, 6) AS achieved_recall,
+  round(false_positive_rate, 6) AS false_positive_rate, round(t, 4) AS transferred_threshold, tp AS true_positives,
+  fp AS false_positives, moved.n AS negatives, round(tp / p::DOUBLE, 6) AS transferred_recall,
+  round(fp / moved.n::DOUBLE, 6) AS transferred_false_positive_rate, a.low AS recall_low, a.high AS recall_high,
+  b.low AS fpr_low, b.high AS fpr_high
+FROM ({_metrics_sql("away", "component")}) r, moved, ends a, ends b WHERE a.what = 'recall' AND b.what = 'fpr'""",
+)
 def l11(v: Views) -> DataFrame:
     rows = _featured(v)
     home, away = rows.filter("family <> 'de'"), rows.filter("family = 'de'")
@@ -504,12 +695,22 @@ def l11(v: Views) -> DataFrame:
         "component", F.lit("surface")
     )
     thresholds = metrics.threshold_for_recall(validation, 0.5, ["component"])
-    return monitors.external_transfer(model, thresholds, away, component="surface")
+    out = monitors.external_transfer(model, thresholds, away, component="surface")
+    rates = ("transferred_recall", "transferred_false_positive_rate", "recall_low", "recall_high", "fpr_low", "fpr_high")
+    rounded = {c: F.round(c, 6) for c in rates} | {"transferred_threshold": F.round("transferred_threshold", 4)}
+    return _rounded_metrics(out).withColumns(rounded)
 
 
-@query("l12_baseline_report")
+@query(
+    "l12_baseline_report",
+    f"""
+WITH RECURSIVE {_report_sql(_FEATURED, _TRAIN, "SELECT * FROM featured WHERE split = 'test'")}
+SELECT n, positives, available, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(threshold, 4) AS threshold,
+  round(achieved_recall, 6) AS achieved_recall, round(false_positive_rate, 6) AS false_positive_rate
+FROM ({_metrics_sql("scored", "component")})""",
+)
 def l12(v: Views) -> DataFrame:
-    return monitors.baseline_report(_featured(v))
+    return _rounded_metrics(monitors.baseline_report(_featured(v)))
 
 
 @query(

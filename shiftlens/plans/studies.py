@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.operators import bootstrap, gates, metrics, monitors, quality
+from shiftlens.operators.logistic import LogisticFit
 from shiftlens.operators.aggregates import (
     dataset_summary,
     graded,
@@ -158,7 +158,7 @@ def label_rollouts(
 
 
 def external_evaluation(
-    model: PipelineModel,
+    model: LogisticFit,
     thresholds: DataFrame,
     examples: DataFrame,
     rollouts: DataFrame,

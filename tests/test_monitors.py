@@ -231,9 +231,29 @@ def test_logistic_matches_newton(spark):
         gradient = x.T @ (weight * (prob - y)) + penalty @ beta
         hessian = (x * (weight * prob * (1 - prob))[:, None]).T @ x + penalty
         beta -= np.linalg.solve(hessian, gradient)
-    fitted = model.stages[-1]
-    found = [*fitted.coefficients.toArray(), fitted.intercept]
-    assert np.allclose(found, beta, atol=1e-4)
+    assert np.allclose([*model.coefficients, model.intercept], beta, rtol=1e-10, atol=1e-12)
+    scores = monitors.predict(model, with_features(df)).toPandas()["score"]
+    assert np.allclose(scores, 1 / (1 + np.exp(-x @ beta)), atol=1e-12)
+
+
+def with_features(df):
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).drop("features")
+
+
+def test_newton_on_features_of_any_scale(spark):
+    """Separable classes, a constant feature and scales a million apart still end at the optimum."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i), 1e6 + i % 7, 5.0, int(i >= 50)) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label int").repartition(40)
+    model = monitors.fit_logistic(df, [VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")])
+    x = np.array([r[:3] for r in rows])
+    y = np.array([r[3] for r in rows])
+    p = 1 / (1 + np.exp(-(x @ model.coefficients + model.intercept)))
+    gradient = (x - x.mean(axis=0)).T @ (p - y) + model.coefficients
+    assert np.abs(gradient).max() < 1e-6 and abs((p - y).sum()) < 1e-9 and model.coefficients[2] == 0
 
 
 def test_group_folds_are_disjoint_and_balanced(spark):
@@ -276,7 +296,7 @@ def test_template_monitor_scores_unknown_as_baseline(spark):
     new = spark.createDataFrame(
         [("zz", "zz", "zz", 0)], "family string, tier string, renderer_id string, label int"
     )
-    intercept = model.stages[-1].intercept
+    intercept = model.intercept
     assert monitors.predict(model, new).first().score == pytest.approx(
         1 / (1 + np.exp(-intercept)), abs=1e-9
     )
