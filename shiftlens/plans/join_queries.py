@@ -523,9 +523,10 @@ FROM rollout_texts"""
     "q6_smoke_gate",
     f"""
 SELECT completed, scorable, truncated, truncated / completed::DOUBLE AS truncation_rate,
-  FALSE AS smoke_gate_passed, 'complete_with_invalid' AS run_status,
-  'quality_failed' AS smoke_status
-FROM ({_SUMMARY_SQL})""",
+  good AS smoke_gate_passed, CASE WHEN invalid > 0 THEN 'complete_with_invalid' ELSE 'complete' END AS run_status,
+  CASE WHEN NOT good THEN 'quality_failed' WHEN invalid > 0 THEN 'complete_with_invalid' ELSE 'complete' END AS smoke_status
+FROM (SELECT *, scorable >= 1 AND truncated / completed::DOUBLE <= 0.1::DOUBLE AND parse_invalid = 0
+  AND malformed = 0 AND unique_provider_request_ids = completed AS good FROM ({_SUMMARY_SQL}))""",
 )
 def q6(v: Views) -> DataFrame:
     report = gates.smoke_gate(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.operators import bootstrap, gates, metrics, monitors, quality
@@ -13,6 +13,7 @@ from shiftlens.plans.registry import ORACLES, query
 from shiftlens.plans.report_queries import _SIBLING_SQL, CONTROL, TREATED, _tail_sql
 from shiftlens.plans.text_queries import _PAYLOADS, judged
 from shiftlens.plans.views import Views
+from shiftlens.session import materialize
 
 SAMPLES = 1000
 METRIC_SAMPLES = 1000
@@ -715,15 +716,34 @@ def l12(v: Views) -> DataFrame:
 
 @query(
     "q5_require_gate",
-    """
-SELECT study, count(*) AS checks FROM (VALUES ('natural_errors'), ('natural_errors'),
-  ('natural_errors')) t(study), (SELECT count(*) AS n FROM rollouts) WHERE n > 0 GROUP BY study""",
+    f"""
+SELECT study, "check", value, passed, bool_and(passed) OVER (PARTITION BY study) AS accepted,
+  value <> value AS altered_accepted
+FROM (SELECT * FROM ({ORACLES["a14_natural_error_gate"]}) UNION ALL
+  SELECT * FROM ({ORACLES["a19_gate_mixed_outcome_v2"]}))""",
 )
 def q5(v: Views) -> DataFrame:
     rows = v.rollouts.filter("condition = 'clean'")
-    report = gates.gate_report(v.questions, rows, gates.GATES["natural_errors"])
-    gates.require_gate(report, report)
-    return report.groupBy("study").agg(F.count("*").alias("checks"))
+    even = F.col("user_id") % 2 == 0
+    stratum = F.when(even, "previously_truncated").otherwise("matched_clean_control")
+    questions = v.questions.withColumn("stratum", stratum)
+
+    def accepted(stored: DataFrame, again: DataFrame) -> Column:
+        try:
+            gates.require_gate(stored, again)
+        except PermissionError:
+            return F.lit(False)
+        return F.lit(True)
+
+    parts = []
+    for study in ("natural_errors", "mixed_outcome_v2"):
+        report = materialize(gates.gate_report(questions, rows, gates.GATES[study]))
+        altered = report.withColumn("value", F.col("value") + 1)
+        parts.append(report.select(
+            "study", "check", "value", "passed", accepted(report, report).alias("accepted"),
+            accepted(altered, report).alias("altered_accepted"),
+        ))
+    return parts[0].unionByName(parts[1])
 
 
 @query(
