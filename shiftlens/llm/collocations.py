@@ -44,7 +44,10 @@ PIECE_BITS = 1 << 19
 SPREAD = 64
 
 #: UTF-8 bytes that a task counts at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 19
+
+#: A phrase that often in a chunk is held back until a task ends, and so many of them at most.
+HEAVY, MOST_HEAVY = 16, 100_000
 
 PIECE, BLANK = 10, 32
 #: A-Z become lower case, what ends a piece becomes ``PIECE``, a tab a space.
@@ -54,7 +57,7 @@ FOLD = np.array(
 )
 STEP = U64(0x9E3779B97F4A7C15)
 
-COUNTS = "lang string, words int, phrase string, n long"
+COUNTS = "lang string, phrase string, n long"
 
 
 class Mined(NamedTuple):
@@ -119,7 +122,19 @@ def count_phrases(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy: dict[tuple[str, str | None], int] = {}
+
+        def rows_of(pairs: list[tuple[tuple[str, str | None], int]]) -> pa.RecordBatch:
+            keys = [k for k, _ in pairs]
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array([n for _, n in pairs], pa.int64())], names=["lang", "phrase", "n"]
+            )
+
         for batch in chunks(batches, most_bytes=CHUNK_BYTES):
+            if len(heavy) > MOST_HEAVY:
+                yield rows_of(list(heavy.items()))
+                heavy.clear()
             names = batch.column("lang").to_pylist()
             number = {x: i for i, x in enumerate(dict.fromkeys(names))}
             words, text, piece = words_of(batch.column("text"))
@@ -133,24 +148,28 @@ def count_phrases(
             string = coded.dictionary.cast(pa.binary()).cast(pa.string())
             hashed = mix(hashed_strings(string)[ids] + mix(hashed_strings(langs))[lang])
 
-            def table(keys, n, size, phrases):
+            def table(keys, n, phrases):
+                much = n >= HEAVY
+                at = pa.array(np.flatnonzero(much))
+                pairs = zip(langs.take(pa.array(keys[much])).to_pylist(), phrases.take(at).to_pylist(), strict=True)
+                for key, count in zip(pairs, n[much].tolist(), strict=True):
+                    heavy[key] = heavy.get(key, 0) + count
+                few = pa.array(np.flatnonzero(~much))
                 return pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(keys)), pa.array(np.full(len(n), size), pa.int32()), phrases, pa.array(n)],
-                    names=["lang", "words", "phrase", "n"],
+                    [langs.take(pa.array(keys[~much])), phrases.take(few), pa.array(n[~much])],
+                    names=["lang", "phrase", "n"],
                 )
 
             if words_too:
-                keys, n = np.unique(lang * width + ids, return_counts=True)
-                yield table(keys // width, n, 1, string.take(pa.array(keys % width)))
+                found = pa.array(lang * width + ids).value_counts()
+                keys, n = (found.field(i).to_numpy() for i in (0, 1))
+                yield table(keys // width, n, string.take(pa.array(keys % width)))
                 n = np.bincount(lang, minlength=len(number))
-                yield table(np.arange(len(number)), n, 1, pa.nulls(len(n), pa.string()))
+                yield table(np.arange(len(number)), n, pa.nulls(len(n), pa.string()))
             # Of each level: places where a phrase begins, which of the earlier passes counted it,
             # its number, its spelling and its hash.
             at, done = np.arange(len(ids)), [np.ones(len(ids), bool) for _ in counted]
-            code, owner, part = lang * width + ids, lang, hashed
-            keys = np.arange(len(number) * width) if len(number) * width < 4 * len(ids) else np.unique(code)
-            code = np.searchsorted(keys, code)
-            spelling = string.take(pa.array(keys % width))
+            code, owner, part, spelling = lang * width + ids, lang, hashed, string
             for size in range(2, most_words + 1):
                 # Two phrases of size - 1 that begin one word apart, in one piece.
                 ahead = np.flatnonzero((np.diff(at) == 1) & (piece[at[:-1]] == piece[np.minimum(at[:-1] + size - 1, len(ids) - 1)]))
@@ -158,12 +177,13 @@ def count_phrases(
                 if admit is not None:
                     ahead = ahead[admit.has(part[ahead]) & admit.has(part[ahead + 1])]
                 last = at[ahead] + size - 1
-                pair = code[ahead] * width + ids[last]
-                keys, inverse = np.unique(pair, return_inverse=True)
+                pairs = pa.array(code[ahead] * width + ids[last]).dictionary_encode()
+                keys, inverse = pairs.dictionary.to_numpy(), pairs.indices.to_numpy()
                 owner_of = np.zeros(len(keys), np.int64)
                 owner_of[inverse] = owner[ahead]
+                first = keys // width % width if size == 2 else keys // width
                 spelling = pc.binary_join_element_wise(
-                    spelling.take(pa.array(keys // width)), string.take(pa.array(keys % width)), " "
+                    spelling.take(pa.array(first)), string.take(pa.array(keys % width)), " "
                 )
                 before, after = part[ahead], part[ahead + 1]
                 # An earlier pass reached a phrase only if it had reached both of these.
@@ -171,12 +191,20 @@ def count_phrases(
                 new = ~np.logical_or.reduce(done) if done else np.ones(len(ahead), bool)
                 n = np.bincount(inverse[new], minlength=len(keys))
                 some = np.flatnonzero(n)
-                yield table(owner_of[some], n[some], size, spelling.take(pa.array(some)))
-                part = extended(before, hashed[last])
-                at, code, owner = at[ahead], inverse, owner[ahead]
-
-    counts = rows.mapInArrow(count, COUNTS)
-    return counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+                yield table(owner_of[some], n[some], spelling.take(pa.array(some)))
+                if size < most_words:
+                    part = extended(before, hashed[last])
+                    at, code, owner = at[ahead], inverse.astype(np.int64), owner[ahead]
+
+        if heavy:
+            yield rows_of(list(heavy.items()))
+
+    # Most phrases of a task occur in it once: frequent ones are summed in it, the others after the
+    # shuffle only, where a hash table is as small as its part.
+    counts = rows.mapInArrow(count, COUNTS).repartition("lang", "phrase")
+    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    added = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return added.select("lang", (spaces + 1).alias("words"), "phrase", "n")
 
 
 def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
