@@ -345,8 +345,7 @@ def stratum_quantiles(scores: DataFrame, points: Sequence | None = None) -> Data
     rows = counts.select("component", F.explode(strata).alias("stratum"), "score", "_c")
     merged = settle(rows.groupBy("component", "stratum", "score").agg(F.sum("_c").alias("_c")))
     means = merged.groupBy("component", "stratum").agg(
-        (F.sum(F.col("score").cast("decimal(20,15)") * F.col("_c")).cast("double")
-         / F.sum("_c")).alias("mean")
+        (F.sum(F.col("score") * F.col("_c")) / F.sum("_c")).alias("mean")
     )
     quantiles = exact_quantiles(
         merged,

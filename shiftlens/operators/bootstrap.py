@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.ids import hash_draw
-from shiftlens.operators.joins import attach, lookup_join
+from shiftlens.operators.joins import attach, lookup_join, spread_join
 from shiftlens.operators.metrics import evaluate_counts, score_counts
 from shiftlens.operators.ranking import exact_quantiles, rank_by_hash, split_points
 from shiftlens.operators.weights import weighted_metrics, weighted_sums
@@ -32,7 +32,7 @@ def indexed_clusters(clusters: DataFrame, by: Sequence[str], group: str) -> Data
     by = list(by)
     ranked = rank_by_hash(clusters, by, group, INDEX_SEED, rank="_rank")
     sizes = clusters.groupBy(*by).agg(F.count("*").alias("_g"))
-    joined = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))
+    joined = spread_join(ranked, sizes, by, salt=group) if by else ranked.crossJoin(F.broadcast(sizes))
     return joined.withColumn("_slot", F.col("_rank") - 1).drop("_rank")
 
 

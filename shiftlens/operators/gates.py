@@ -65,6 +65,7 @@ class GateSpec:
     checks: tuple[Check, ...] = field(default=())
 
 
+# The names of checks, as reports have them.
 _INTEGRITY = (
     check("all_requests_stored", "stored", "=", 1.0, of="expected"),
     check("exact_unique_samples", "bad_cells", "=", 0),

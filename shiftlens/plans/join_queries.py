@@ -83,6 +83,48 @@ def j3(v: Views) -> DataFrame:
     return interventions.verify_digests(v.questions, _certified(v))
 
 
+_TAMPERED = {
+    "payload_digest": "user_id % 11 = 3", "prompt_digest": "user_id % 7 = 4", "gold_answer": "user_id % 5 = 2",
+    "target_is_wrong": "user_id % 17 = 5", "target_answer": "user_id % 17 = 5 OR user_id % 19 = 6",
+    "parent_digest": "user_id % 23 = 7", "field:family": "user_id % 29 = 8",
+}
+
+
+@query(
+    "j3_all_rules",
+    "SELECT question_id, 'missing_certificate' AS rule FROM questions WHERE user_id % 13 = 1"
+    + "".join(
+        f"\nUNION ALL SELECT question_id, '{rule}' FROM questions WHERE user_id % 13 <> 1 AND ({where})"
+        for rule, where in _TAMPERED.items()
+    )
+    + "\nUNION ALL SELECT DISTINCT 'other:' || family, 'missing_problem' FROM questions",
+)
+def j3_all(v: Views) -> DataFrame:
+    def either(rule: str, bad, good) -> F.Column:
+        return F.when(F.expr(_TAMPERED[rule]), bad).otherwise(good)
+
+    payload = canonical_json({"gold": F.col("gold_answer"), "id": F.col("question_id")})
+    other = v.questions.filter(F.col("user_id") % 13 != 1).select("user_id", "question_id", "gold_answer", "target_answer", "prompt", "family")
+    unknown = other.select(F.concat(F.lit("other:"), "family").alias("question_id")).distinct()
+    held = other.select(
+        "question_id",
+        payload.alias("payload"),
+        either("payload_digest", F.lit("0"), canonical_digest(payload)).alias("digest"),
+        either("prompt_digest", F.lit("0"), F.sha2("prompt", 256)).alias("prompt_sha256"),
+        either("gold_answer", F.lit("9"), F.col("gold_answer")).alias("gold_answer"),
+        either("target_is_wrong", F.col("gold_answer"),
+               either("target_answer", F.lit("8"), F.col("target_answer"))).alias("target_answer"),
+        F.sha2("question_id", 256).alias("parent_sha256"),
+        either("field:family", F.lit("fx"), F.col("family")).alias("family"),
+    )
+    sources = v.questions.select(
+        "question_id", either("parent_digest", F.lit("0"), F.sha2("question_id", 256)).alias("digest")
+    )
+    return interventions.verify_digests(
+        v.questions, held.unionByName(unknown, allowMissingColumns=True), sources=sources, fields={"family": "family"}
+    )
+
+
 _ALLCONDS = ("clean", "correct_continuation")
 
 

@@ -146,6 +146,24 @@ def s6_written(v: Views) -> DataFrame:
     return found.select(region.alias("region"), "length", "sha256")
 
 
+@query(
+    "s6_manifest_digest",
+    """
+WITH entries AS (SELECT 'd/' || doc_id AS path, strlen(text) AS length, sha256(text) AS sha FROM documents),
+buckets AS (SELECT substr(sha256(path), 1, 3) AS bucket, count(*) AS n, sum(length) AS bytes,
+  sha256(string_agg(path || '|' || length || '|' || sha, chr(10) ORDER BY path || '|' || length || '|' || sha)) AS digest
+  FROM entries GROUP BY bucket)
+SELECT sum(n)::BIGINT AS artifacts, sum(bytes)::BIGINT AS bytes,
+  sha256(string_agg(bucket || '|' || digest, chr(10) ORDER BY bucket || '|' || digest)) AS manifest_sha256 FROM buckets""",
+)
+def s6_manifest(v: Views) -> DataFrame:
+    rows = v.table("documents").select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"),
+        F.octet_length("text").cast("long").alias("length"), _sha(F.col("text")).alias("sha256"),
+    )
+    return tables.manifest_digest(rows)
+
+
 @query(
     "s7_verify_artifacts",
     """
@@ -710,6 +728,16 @@ def p24(v: Views) -> DataFrame:
     return v.examples.select("example_id", "kind", "binary_label", "is_primary", "split")
 
 
+@query(
+    "p24_external_examples",
+    """
+SELECT example_id, kind, binary_label::INT AS binary_label, 'external_test' AS split FROM examples WHERE is_primary""",
+)
+def p24_external(v: Views) -> DataFrame:
+    rows = monitors.error_kind(v.graded, external=True)
+    return rows.select("example_id", "kind", "binary_label", "split")
+
+
 @query(
     "p25_scorable",
     "SELECT rollout_id, condition, parsed_answer FROM siblings",
@@ -774,6 +802,31 @@ def p27(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "p27_assistant_prefills",
+    f"""
+SELECT question_id, right_text AS correct_text, wrong_text AS corrupted_text,
+  CASE WHEN user_id % 5 = 0 THEN 'exposes_provenance' END AS reject_reason,
+  sha256('{{"correct_text":"' || right_text || '","corrupted_text":"' || wrong_text || '","family":"' || family
+    || '","gold_answer":"' || gold_answer || '","intervention_version":"v3","question_id":"' || question_id
+    || '","single_changed_field":"state","source_certificate_sha256":"' || sha256(prompt)
+    || '","target_answer":"' || target_answer || '"}}') AS intervention_sha256
+FROM (SELECT *, 'I''ll use D_1=' || gold_answer || '. ' AS right_text,
+  CASE WHEN user_id % 5 = 0 THEN 'I''ll use the provided 4. ' ELSE 'I''ll use D_1=' || target_answer || '. ' END
+    AS wrong_text FROM ({_FROZEN}))""",
+)
+def p27_prefills(v: Views) -> DataFrame:
+    named = v.questions.select("question_id", (F.col("user_id") % 5 == 0).alias("named"))
+    text = F.when(F.col("named"), "Use the provided 4. Continue to 5").otherwise(F.col("corrupted_text"))
+    notes = planted(v).join(named, "question_id").withColumn("corrupted_text", text).drop("named")
+    frozen = interventions.freeze_interventions(
+        v.questions, certificates(v), notes, version="v1", changed_field="state", per_family=3, seed=5
+    )
+    return interventions.assistant_prefills(frozen, version="v3").select(
+        "question_id", "correct_text", "corrupted_text", "reject_reason", "intervention_sha256"
+    )
+
+
 @query(
     "p28_rebind_ids",
     """
