@@ -61,8 +61,8 @@ def op6_golden_schedule(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
-    """Remove repeated 400-byte strings from every document."""
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    """Remove repeated 400-byte strings from every document, and tell repeated passages of over 50 words."""
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), words=51)
 
 
 def op8_bm25_packing(spark: SparkSession, folder: str) -> DataFrame:

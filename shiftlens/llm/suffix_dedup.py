@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlens.llm.texts import U64, WordHashes, chunks, flat_bytes, mix, texts_of
-from shiftlens.session import materialize
+from shiftlens.session import discard, materialize
 
 #: Bytes hashed for an anchor, at most half of a window.
 ANCHOR = 100
@@ -287,9 +287,9 @@ def repeated_spans(docs: DataFrame, window: int, words: bool = False) -> DataFra
     groups = (
         found.groupBy(*segment).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
     )
-    groups = materialize(groups)
-    hashes = groups.groupBy("hash").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    groups = materialize(groups.join(hashes.filter("all > 1"), "hash"))
+    alike = Window.partitionBy("hash")
+    groups = groups.withColumns({"all": F.sum("n").over(alike), "kinds": F.count("*").over(alike)})
+    groups = materialize(groups.filter("all > 1"))
     twice = groups.filter("n > 1")
     whole = found.join(twice.select(*segment), segment).select(
         "uid", (F.col("at") - F.col("high")).alias("start"),
@@ -348,11 +348,13 @@ def repeated_spans(docs: DataFrame, window: int, words: bool = False) -> DataFra
         "uid", (F.col("at") - F.col("high")).cast("long").alias("start"),
         (F.col("at") - F.col("high") + window).cast("long").alias("stop"),
     )
-    return (
+    spans = materialize(
         whole.select("uid", F.col("start").cast("long"), F.col("stop").cast("long"))
         .unionByName(sorted_).unionByName(singly)
         .groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     )
+    discard(found, groups, pieces)
+    return spans
 
 
 def hot_segments(docs: DataFrame) -> int:
@@ -378,10 +380,10 @@ def kept_runs(size: int, spans: list | None) -> tuple[list[tuple[int, int]], int
     return runs, removed, count
 
 
-def spans_in_bytes(body: bytes, spans: list | None, word_spans: list | None) -> list:
-    """Return the spans together, sorted, those of words as the bytes from first to last word."""
+def passages(body: bytes, word_spans: list | None) -> list[dict[str, int]]:
+    """Return the maximal runs of words that the spans cover, as the bytes from first to last word."""
     if not word_spans:
-        return spans or []
+        return []
     edges = [m.span() for m in WORD.finditer(body)]
     merged: list[list[int]] = []
     for span in word_spans:
@@ -389,8 +391,13 @@ def spans_in_bytes(body: bytes, spans: list | None, word_spans: list | None) ->
             merged[-1][1] = max(merged[-1][1], span["stop"])
         else:
             merged.append([span["start"], span["stop"]])
-    found = [{"start": edges[a][0], "stop": edges[b - 1][1]} for a, b in merged]
-    return sorted([*(spans or []), *found], key=lambda span: (span["start"], span["stop"]))
+    return [{"start": edges[a][0], "stop": edges[b - 1][1]} for a, b in merged]
+
+
+def spans_in_bytes(body: bytes, spans: list | None, word_spans: list | None) -> list:
+    """Return the spans together, sorted, those of words as bytes."""
+    found = [*(spans or []), *passages(body, word_spans)]
+    return sorted(found, key=lambda span: (span["start"], span["stop"]))
 
 
 def _prepared(docs: DataFrame, key: str, text: str, window: int, words: int | None = None) -> DataFrame:
@@ -410,7 +417,7 @@ def _prepared(docs: DataFrame, key: str, text: str, window: int, words: int | No
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400, words: int | None = None
 ) -> DataFrame:
     """Remove every byte that a ``window``-byte string covers which starts elsewhere as well.
 
@@ -420,26 +427,38 @@ def remove_repeats(
     each other, so they lose all that windows cover. Null keys are kept as they are. Any number
     of equal strings is handled: equal segments are counted, not listed, and a hash with very
     many different segments (``spark.shiftlens.hotSegments``) is compared window by window.
+
+    With ``words`` two columns tell of passages that have fewer bytes: n_passages and passage_bytes,
+    the maximal runs of words covered by that many words that start elsewhere as well (compared as
+    words, whatever white space is between them). They are counted, not removed.
     """
-    rows = _prepared(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key", "body", window)
+    rows = _prepared(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key", "body", window, words)
+    told = [] if words is None else ["n_passages", "passage_bytes"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             data = batch.column("text").cast(pa.binary()).to_pylist()
-            for body, spans in zip(data, batch.column("spans").to_pylist(), strict=True):
+            by_words = batch.column("word_spans").to_pylist() if told else [None] * len(data)
+            for body, spans, word_spans in zip(data, batch.column("spans").to_pylist(), by_words, strict=True):
                 runs, removed, count = kept_runs(len(body), spans)
                 left = b"".join(body[a:b] for a, b in runs)
-                out.append((len(body), removed, count, hashlib.sha256(left).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [*[pa.int64()] * 3, pa.string()]
+                row = [len(body), removed, count, hashlib.sha256(left).hexdigest()]
+                if told:
+                    found = passages(body, word_spans)
+                    row += [len(found), sum(x["stop"] - x["start"] for x in found)]
+                out.append(row)
+            kinds = [*[pa.int64()] * 3, pa.string(), *[pa.int64()] * len(told)]
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names
             )
 
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *told]
     schema = f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.select("row.key", "text", "spans").mapInArrow(finish, schema).withColumnRenamed("key", key)
+    schema += "".join(f", {c} long" for c in told)
+    columns = ["row.key", "text", "spans", *(["word_spans"] if told else [])]
+    return rows.select(*columns).mapInArrow(finish, schema).withColumnRenamed("key", key)
 
 
 def cut_repeats(
