@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.llm.graph import components
 from shiftlens.llm.texts import U64, WordHashes, chunks, mix, texts_of
-from shiftlens.session import materialize
+from shiftlens.session import discard, materialize
 
 WIDTH = 5
 COORDINATES = 112
@@ -196,7 +196,7 @@ def near_duplicates(
         known = materialize(known)
         if known.isEmpty():
             break
-        pairs = star_pairs(known, turn) if turn < STAR_ROUNDS else cross_pairs(known, percent)
+        pairs = star_pairs(known, turn) if turn < STAR_ROUNDS else cross_pairs(known, sets, percent)
         new = materialize(confirmed(materialize(pairs), active, sets, percent))
         links = new if links is None else materialize(links.unionByName(new))
         labels = components(links)
@@ -268,23 +268,59 @@ def star_pairs(known: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def cross_pairs(known: DataFrame, percent: int) -> DataFrame:
-    """Pair the documents of a list that are in different components and close in size.
+def rare_prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Return (id, rare, common): the shingles of each document that one linked with it must share.
+
+    Of n shingles, linked sets share ``least`` = ceil(percent * n / 100) or more, so one of the
+    n - least + 1 rarest (ordered alike for all) is shared. Those that no other document of ``ids`` has
+    cannot be; a document with nothing else there is linked with none of them and left out.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in shingles])
+            values = np.concatenate([*shingles, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(values)], names=["id", "shingle"])
+
+    mine = sets.join(ids.select("id").distinct(), "id").mapInArrow(flat, "id long, shingle long")
+    mine = materialize(mine)
+    counts = mine.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = mine.groupBy("id").agg(F.count("*").alias("size"))
+    shared = mine.join(counts, "shingle").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("shared")
+    )
+    # The shingles of one document alone come first in the order.
+    alone = F.col("size") - F.size("shared")
+    room = F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1 - alone
+    rare = F.slice("shared", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+    kept = materialize(
+        shared.join(sizes, "id").filter(room > 0).select(
+            "id", F.transform(rare, lambda x: x["shingle"]).alias("rare"), F.size("shared").alias("common")
+        )
+    )
+    discard(mine)
+    return kept
+
+
+def cross_pairs(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pair the documents of a list that are in different components, close in size and rare alike.
 
     A pair that meets in several lists is kept at the first of them and skipped in the others.
     """
     lists = known.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    known = known.join(lists, "id")
+    known = known.join(lists, "id").join(rare_prefixes(known, sets, percent), "id")
     left, right = (
-        known.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n_shingles", "tokens")])
+        known.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n_shingles", "tokens", "rare", "common")])
         for side in ("a", "b")
     )
     first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == left["token"]
-    close = F.expr(
-        f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
-    )
+    # Two sets share no more than either has in common with any other.
+    most = "least(common_a, common_b)"
+    close = F.expr(f"100 * {most} >= {percent} * (n_shingles_a + n_shingles_b - {most})")
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
-    return left.join(right, (left["token"] == right["token"]) & apart & close & first).select(
+    rare = F.arrays_overlap("rare_a", "rare_b")
+    return left.join(right, (left["token"] == right["token"]) & apart & close & rare & first).select(
         F.col("id_a").alias("a"), F.col("id_b").alias("b")
     )
 

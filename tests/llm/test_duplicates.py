@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from shiftlens.llm import coordinate_join, graph, suffix_dedup
+from shiftlens.session import checkpoint_folder
 
 SCHEMA = "doc_id long, text string"
 
@@ -115,6 +117,38 @@ def test_groups_of_awkward_rows(awkward, empty):
     assert coordinate_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_prefixes_lose_no_link(spark, percent):
+    """Sets over a common base with few or many shingles of their own, against all pairs."""
+    draw = random.Random(percent)
+    base = list(range(100))
+    sets = {}
+    for i in range(60):
+        own = draw.choice((0, 3, 8, 15, 40))
+        shared = draw.sample(range(200, 230), draw.randrange(12))
+        sets[i] = draw.sample(base, 100 - draw.randrange(8)) + shared + [1000 * (i + 1) + k for k in range(own)]
+    rows = [(i, bytearray(np.array(sorted(s), np.int64).tobytes())) for i, s in sets.items()]
+    table = spark.createDataFrame(rows, "id long, shingles binary")
+    kept = coordinate_join.rare_prefixes(table, table, percent).collect()
+    found, most = {r.id: set(r.rare) for r in kept}, {r.id: r.common for r in kept}
+    linked = 0
+    for a in sets:
+        for b in range(a):
+            common = len(set(sets[a]) & set(sets[b]))
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                linked += 1
+                assert found[a] & found[b] and common <= min(most[a], most[b])
+    assert linked > 20 and len(found) < len(sets)  # those with many shingles of their own are left out
+
+
+def test_intermediate_tables_are_deleted(spark, awkward):
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("shiftlens-*"))
+    suffix_dedup.remove_repeats(awkward, words=51).count()
+    left = set(folder.glob("shiftlens-*")) - before
+    assert len(left) == 2  # the spans of bytes and those of words
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, x) for x in range(1001, 1300)]
@@ -203,6 +237,10 @@ def test_stage_cuts_passages_of_over_50_words(spark, hot):
         spark.conf.unset("spark.shiftlens.hotSegments")
     got = sorted((r.doc_id, " ".join(r.text.split())) for r in out)
     assert got == repeated_words(rows, 51)
+    told = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), words=51).collect()
+    for r, (_, text) in zip(sorted(told, key=lambda r: r.doc_id), got, strict=True):
+        lost = len(" ".join((dict(rows)[r.doc_id] or "").split())) - len(text)
+        assert (r.n_passages > 0) == (lost > 0) and abs(r.passage_bytes - lost) <= r.n_passages
     left = dict(got)
     assert all(" ".join(passages[n]) not in t for t in left.values() for n in (51, 52, 55, 60))
     assert " ".join(passages[50]) in left[4] and " ".join(passages[30]) in left[0]
